@@ -7,6 +7,9 @@ def load():
     from usageloom.catalog import (  # noqa: F401
         rollups,
         cache,
+        views,
+        sessions,
+        state,
     )
 
     return registry

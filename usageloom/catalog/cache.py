@@ -47,9 +47,12 @@ def breaks_of(L):
     return C.cache_identity(L.request, L.hook_event)
 
 
+def priced_breaks_of(L):
+    return C.cache_identity(L.cost, L.hook_event, keep=("cache_write_usd",))
+
+
 def priced(L):
-    breaks = A.period_filter(breaks_of(L), W14, TZ)
-    return C.priced_breaks(breaks, scoped(L), L.session)
+    return A.join_project(A.period_filter(priced_breaks_of(L), W14, TZ), L.session, "inner")
 
 
 @query("w01_cache_identity", WITH_BREAKS + "SELECT * REPLACE (round(gap_seconds, 6) AS gap_seconds) FROM breaks")
@@ -62,7 +65,7 @@ hook_event h WHERE h.session_id = r.session_id AND h.kind = 'PreCompact' AND h.u
 r.us + 600000000) AS INT) AS near FROM request r""")
 def _(L):
     out = C.exists_hook_near(L.request, L.hook_event, ("PreCompact",),
-                             micros("ts") - 600_000_000, micros("ts") + 600_000_000, "near")
+                             micros("ts") - 600_000_000, micros("ts"), 600_000_000, "near")
     return out.select("request_id", "near")
 
 
@@ -177,5 +180,5 @@ active_days < 10 THEN 'insufficient_data' WHEN usd / evidence_span_days < 5 OR 1
 
 @query("a32_ttl_review", ttl_sql(14))
 def _(L):
-    out = C.ttl_review(L.cost, breaks_of(L), AS_OF, 14, TZ)
+    out = C.ttl_review(L.cost, priced_breaks_of(L), AS_OF, 14, TZ)
     return rounded(out, all_cache_write_usd=8, ttl_expiry_rebuild_usd=8, ttl_share_pct=6, avoidable_usd_per_calendar_day=6)

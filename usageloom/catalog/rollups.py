@@ -129,11 +129,11 @@ FROM cost JOIN session s USING (session_id) WHERE {between()} GROUP BY session_i
 
 @query("a06_session_rollup", with_tables("cost", "session", extra=(("sr", SESSION_ROLLUP),)) +
        "SELECT * REPLACE (round(cost_usd, 8) AS cost_usd, round(duration_s, 6) AS duration_s, "
-       "round(usd_per_prompt, 10) AS usd_per_prompt) FROM sr")
+       "round(usd_per_prompt, 12) AS usd_per_prompt) FROM sr")
 def _(L):
     out = A.session_rollup(scoped(L), L.session)
     out = out.withColumn("first_us", us("first_ts")).withColumn("last_us", us("last_ts"))
-    return rounded(out.drop("first_ts", "last_ts"), cost_usd=8, duration_s=6, usd_per_prompt=10)
+    return rounded(out.drop("first_ts", "last_ts"), cost_usd=8, duration_s=6, usd_per_prompt=12)
 
 
 @query("a07_project_rollup", with_tables("cost", "session", extra=(
@@ -148,12 +148,12 @@ def _(L):
 round(sum(cost_usd), 8) AS cost_usd, CAST(sum(ns) AS BIGINT) AS n_sessions, CAST(sum(np) AS BIGINT) AS n_prompts,
 CAST(sum(nr) AS BIGINT) AS n_requests, round(max(a.avg_peak), 6) AS avg_peak_context,
 round(100.0 * sum(cost_usd) / (SELECT sum(cost_usd) FROM cost WHERE {between()}), 6) AS share_pct,
-round(sum(cost_usd) / nullif(sum(np), 0), 10) AS usd_per_prompt
+round(sum(cost_usd) / nullif(sum(np), 0), 12) AS usd_per_prompt
 FROM lb l LEFT JOIN (SELECT label, avg(peak) AS avg_peak FROM pk JOIN lb ON pk.project IS NOT DISTINCT FROM lb.project
 GROUP BY label) a USING (label) GROUP BY l.label""")
 def _(L):
     return rounded(A.project_rollup(scoped(L), L.session, keep=8),
-                   cost_usd=8, avg_peak_context=6, share_pct=6, usd_per_prompt=10)
+                   cost_usd=8, avg_peak_context=6, share_pct=6, usd_per_prompt=12)
 
 
 TOTALS = f"""SELECT coalesce(sum(cost_usd), 0) AS cost_usd, count(*) AS request_count,

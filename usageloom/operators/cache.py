@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from usageloom.fixed_values import CAUSES
 from usageloom.functions.scalar import local_day, micros, model_family, nz, seconds, share
 from usageloom.operators.pricing import join_project
-from usageloom.operators.temporal import asof_backward, with_last_seen, with_previous
+from usageloom.operators.temporal import (
+    latest_per_channel, with_last_seen, with_previous_and_last_seen,
+)
 
 SECOND_US = 1_000_000
 TOLERANCE_TOK = 16
@@ -18,21 +20,21 @@ COMPACTION_KINDS = ("PreCompact", "PostCompact")
 
 
 def exists_hook_near(
-    rows: DataFrame, hooks: DataFrame, kinds: tuple[str, ...], low_us: Column, high_us: Column,
-    name: str,
+    rows: DataFrame, hooks: DataFrame, kinds: tuple[str, ...], low_us: Column, at_us: Column,
+    after_us: int, name: str,
 ) -> DataFrame:
-    """Flag rows with a hook event of the same session in ``[low, high]`` (J-04).
+    """Flag rows with a hook event of the same session in ``[low, at + after]`` (J-04).
 
-    Such an event exists exactly if the latest one at or before ``high`` is not
-    earlier than ``low``, which is an as-of lookup and forms no pairs.
+    Such an event exists exactly if the latest one up to the upper bound is not
+    earlier than ``low``: an as-of lookup, which forms no pairs.
     """
-    wanted = hooks.where(F.col("kind").isin(*kinds)).select("session_id", "ts", "kind")
-    tagged = rows.withColumn("_low", low_us).withColumn("_high", high_us)
-    found = asof_backward(
-        tagged, wanted, "session_id", F.col("_high"), micros("ts"), "kind", ["kind"], "_hook"
+    wanted = hooks.where(F.col("kind").isin(*kinds))
+    found = latest_per_channel(
+        rows.withColumn("_low", low_us).withColumn("_at", at_us), wanted, "session_id",
+        F.col("_at"), micros("ts") - after_us, {"_hook_us": micros("ts")},
     )
-    hit = F.coalesce(F.col("_hook.match_us") >= F.col("_low"), F.lit(False))
-    return found.withColumn(name, hit.cast("int")).drop("_low", "_high", "_hook")
+    hit = F.coalesce(F.col("_hook_us") >= F.col("_low"), F.lit(False))
+    return found.withColumn(name, hit.cast("int")).drop("_low", "_at", "_hook_us")
 
 
 def anti_live_1h(req: DataFrame) -> DataFrame:
@@ -44,54 +46,64 @@ def anti_live_1h(req: DataFrame) -> DataFrame:
     return out.withColumn("live_1h", F.coalesce(live, F.lit(False)).cast("int")).drop("_w1h_us")
 
 
-def cache_identity(req: DataFrame, hooks: DataFrame) -> DataFrame:
+def cache_identity(
+    req: DataFrame, hooks: DataFrame, keep: tuple[str, ...] = ()
+) -> DataFrame:
     """Requests whose cache read is not what the request before left behind, with cause (W-01).
 
     Causes in order of precedence: interruption, compaction, model switch,
-    configuration change, expiry, unknown.
+    configuration change, expiry, unknown.  ``keep`` names further columns of
+    ``req`` to pass through, so that a priced frame needs no join afterwards.
     """
-    cc = F.col("cache_w5m_tok") + F.col("cache_w1h_tok")
     usable = (
         req.where((F.col("is_synthetic") == 0) & (F.col("source") == "transcript"))
-        .withColumn("cc", cc)
+        .withColumn("cc", F.col("cache_w5m_tok") + F.col("cache_w1h_tok"))
         .select(
             "lineage_id", "session_id", "request_id", "ts", "end_ts", "model", "is_interrupted",
-            "cache_read_tok", "cc", "input_tok", "cache_w5m_tok", "cache_w1h_tok",
+            "cache_read_tok", "cc", "input_tok", "cache_w5m_tok", "cache_w1h_tok", *keep,
         )
     )
     lagged = (
         "cache_read_tok", "cc", "cache_w5m_tok", "cache_w1h_tok", "input_tok", "model", "ts",
         "end_ts", "is_interrupted",
     )
-    seq = with_previous(
-        anti_live_1h(usable), "lineage_id", micros("ts"), "request_id", lagged
+    seq = with_previous_and_last_seen(
+        usable, "lineage_id", micros("ts"), "request_id", lagged, F.col("cache_w1h_tok") > 0
     )
     left = F.col("prev.cache_read_tok") + F.col("prev.cc")
     breaks = seq.where(
         F.col("prev.cache_read_tok").isNotNull()
         & (F.abs(F.col("cache_read_tok") - left) > nz("prev.input_tok") + TOLERANCE_TOK)
     )
+    # Compaction counts until some minutes after the request: its events are looked up earlier.
     slack = COMPACTION_SLACK_S * SECOND_US
-    breaks = exists_hook_near(
-        breaks, hooks, COMPACTION_KINDS,
-        micros("prev.ts") - slack, micros("ts") + slack, "_compacted",
-    )
-    breaks = exists_hook_near(
-        breaks, hooks, ("SessionStart",), micros("prev.ts"), micros("ts"), "_restarted"
-    )
+    compaction = F.col("kind").isin(*COMPACTION_KINDS)
+    hook_us = micros("ts")
+    breaks = latest_per_channel(
+        breaks,
+        hooks.where(compaction | (F.col("kind") == "SessionStart")),
+        "session_id", micros("ts"), F.when(compaction, hook_us - slack).otherwise(hook_us),
+        {
+            "_compacted_us": F.when(compaction, hook_us),
+            "_started_us": F.when(~compaction, hook_us),
+        },
+    )
+    compacted = F.coalesce(F.col("_compacted_us") >= micros("prev.ts") - slack, F.lit(False))
+    restarted = F.coalesce(F.col("_started_us") >= micros("prev.ts"), F.lit(False))
+    live = F.coalesce(micros("ts") - F.col("last_seen_us") < HOUR_S * SECOND_US, F.lit(False))
     idle_us = micros("ts") - micros("prev.ts")
     short_lived = (
         (F.col("prev.cache_w5m_tok") > 0)
         & (F.col("prev.cache_w1h_tok") == 0)
         & (micros("ts") - micros("prev.end_ts") > FIVE_MINUTES_S * SECOND_US)
         & (F.col("cache_read_tok") < left * F.lit(0.1))
-        & (F.col("live_1h") == 0)
+        & ~live
     )
     cause = (
         F.when(F.col("prev.is_interrupted") == 1, F.lit("interruption"))
-        .when(F.col("_compacted") == 1, F.lit("compaction"))
+        .when(compacted, F.lit("compaction"))
         .when(F.col("model") != F.col("prev.model"), F.lit("model_switch"))
-        .when(F.col("_restarted") == 1, F.lit("config_change"))
+        .when(restarted, F.lit("config_change"))
         .when((idle_us > HOUR_S * SECOND_US) | short_lived, F.lit("ttl_expiry"))
         .otherwise(F.lit("unknown"))
     )
@@ -100,13 +112,18 @@ def cache_identity(req: DataFrame, hooks: DataFrame) -> DataFrame:
         (F.col("cache_read_tok") - left).alias("gap"),
         cause.alias("cause"),
         (idle_us / F.lit(1e6)).alias("gap_seconds"),
+        *keep,
     )
 
 
 def priced_breaks(breaks: DataFrame, cost: DataFrame, session: DataFrame | None = None) -> DataFrame:
-    """Breaks with the money spent on rewriting the cache; with ``session`` known ones only."""
-    money = cost.select("request_id", "cache_write_usd")
-    out = breaks.join(money, "request_id")
+    """Breaks with the money spent on rewriting the cache; with ``session`` known ones only.
+
+    Breaks found on a priced frame with ``keep=("cache_write_usd",)`` have it already.
+    """
+    out = breaks
+    if "cache_write_usd" not in breaks.columns:
+        out = breaks.join(cost.select("request_id", "cache_write_usd"), "request_id")
     return out if session is None else join_project(out, session, "inner")
 
 

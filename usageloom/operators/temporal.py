@@ -20,6 +20,15 @@ def _bucket(us: Column, width_us: int) -> Column:
     return F.floor(us / F.lit(float(width_us))).cast("bigint")
 
 
+def _earlier_rows():
+    """Rows of the bucket at a strictly earlier instant."""
+    return W.partitionBy(*_KEYS).orderBy("_us").rangeBetween(W.unboundedPreceding, -1)
+
+
+def _earlier_buckets():
+    return W.partitionBy("_k").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+
+
 def _carry_join(rows: DataFrame, carry: DataFrame) -> DataFrame:
     return rows.join(carry, list(_KEYS), "left")
 
@@ -84,19 +93,52 @@ def with_last_seen(
         .withColumn("_b", _bucket(F.col("_us"), bucket_us))
         .withColumn("_hit", F.when(flag, F.col("_us")))
     )
-    earlier = W.partitionBy(*_KEYS).orderBy("_us").rangeBetween(W.unboundedPreceding, -1)
-    before = W.partitionBy("_k").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     carry = (
         rows.groupBy(*_KEYS).agg(F.max("_hit").alias("_m"))
-        .select(*_KEYS, F.max("_m").over(before).alias("_carry"))
+        .select(*_KEYS, F.max("_m").over(_earlier_buckets()).alias("_carry"))
     )
     return (
-        _carry_join(rows.withColumn("_in", F.max("_hit").over(earlier)), carry)
+        _carry_join(rows.withColumn("_in", F.max("_hit").over(_earlier_rows())), carry)
         .withColumn(name, F.coalesce("_in", "_carry"))
         .drop("_us", "_hit", "_in", "_carry", *_KEYS)
     )
 
 
+def with_previous_and_last_seen(
+    df: DataFrame, key: str, us: Column, tie: str, columns: Sequence[str], flag: Column,
+    bucket_us: int = HOUR_US,
+) -> DataFrame:
+    """``with_previous`` (as ``prev``) and ``with_last_seen`` (as ``last_seen_us``) in one pass."""
+    rows = (
+        df.withColumn("_us", us)
+        .withColumn("_k", F.col(key))
+        .withColumn("_b", _bucket(F.col("_us"), bucket_us))
+        .withColumn("_hit", F.when(flag, F.col("_us")))
+    )
+    payload = F.struct(*columns)
+    inside = W.partitionBy(*_KEYS).orderBy("_us", tie)
+    carry = (
+        rows.groupBy(*_KEYS)
+        .agg(
+            F.max_by(payload, F.struct("_us", tie)).alias("_tail"), F.max("_hit").alias("_m")
+        )
+        .select(
+            *_KEYS,
+            F.lag("_tail").over(W.partitionBy("_k").orderBy("_b")).alias("_carry"),
+            F.max("_m").over(_earlier_buckets()).alias("_carry_hit"),
+        )
+    )
+    marked = rows.withColumn("_lag", F.lag(payload).over(inside)).withColumn(
+        "_in", F.max("_hit").over(_earlier_rows())
+    )
+    return (
+        _carry_join(marked, carry)
+        .withColumn("prev", F.coalesce("_lag", "_carry"))
+        .withColumn("last_seen_us", F.coalesce("_in", "_carry_hit"))
+        .drop("_us", "_hit", "_lag", "_in", "_carry", "_carry_hit", *_KEYS)
+    )
+
+
 def last_non_null(
     df: DataFrame, key: str, order: Sequence[str], bucket: Sequence[str], value: str, name: str,
 ) -> DataFrame:
@@ -107,12 +149,11 @@ def last_non_null(
     """
     rows = df.withColumn("_k", F.col(key)).withColumn("_b", F.struct(*bucket))
     inside = W.partitionBy(*_KEYS).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    before = W.partitionBy("_k").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     known = F.col(value).isNotNull()
     carry = (
         rows.groupBy(*_KEYS)
         .agg(F.max_by(value, F.when(known, F.struct(*order))).alias("_tail"))
-        .select(*_KEYS, F.last("_tail", ignorenulls=True).over(before).alias("_carry"))
+        .select(*_KEYS, F.last("_tail", ignorenulls=True).over(_earlier_buckets()).alias("_carry"))
     )
     return (
         _carry_join(rows.withColumn("_in", F.last(value, ignorenulls=True).over(inside)), carry)
@@ -147,7 +188,6 @@ def asof_backward(
     inside = W.partitionBy(*_KEYS).orderBy("_us", "_side", "_tie").rowsBetween(
         W.unboundedPreceding, 0
     )
-    before = W.partitionBy("_k").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     carry = (
         both.groupBy(*_KEYS)
         .agg(
@@ -155,7 +195,7 @@ def asof_backward(
                 "_tail"
             )
         )
-        .select(*_KEYS, F.last("_tail", ignorenulls=True).over(before).alias("_carry"))
+        .select(*_KEYS, F.last("_tail", ignorenulls=True).over(_earlier_buckets()).alias("_carry"))
     )
     seen = both.withColumn("_in", F.last("_take", ignorenulls=True).over(inside)).where(
         F.col("_row").isNotNull()
@@ -163,6 +203,39 @@ def asof_backward(
     return _carry_join(seen, carry).select("_row.*", F.coalesce("_in", "_carry").alias(name))
 
 
+def latest_per_channel(
+    left: DataFrame, right: DataFrame, by: str, left_us: Column, right_us: Column,
+    channels: dict[str, Column], bucket_us: int = HOUR_US,
+) -> DataFrame:
+    """For each left row and channel, the largest channel value among right rows at or before it.
+
+    ``channels`` maps output names to expressions on ``right``, NULL where a row
+    does not belong to the channel.  All channels share one sort of both sides.
+    """
+    names = list(channels)
+    a = left.select(
+        F.col(by).alias("_k"), left_us.alias("_us"), F.struct(*left.columns).alias("_row")
+    )
+    b = right.where(F.col(by).isNotNull()).select(
+        F.col(by).alias("_k"), right_us.alias("_us"), *[c.alias(n) for n, c in channels.items()]
+    )
+    both = a.unionByName(b, allowMissingColumns=True).withColumn(
+        "_b", _bucket(F.col("_us"), bucket_us)
+    )
+    # A range frame includes right rows of the same instant wherever they sort.
+    inside = W.partitionBy(*_KEYS).orderBy("_us").rangeBetween(W.unboundedPreceding, 0)
+    carry = (
+        both.groupBy(*_KEYS).agg(*[F.max(n).alias(n) for n in names])
+        .select(*_KEYS, *[F.max(n).over(_earlier_buckets()).alias(f"_c_{n}") for n in names])
+    )
+    seen = both.select(
+        *_KEYS, "_row", *[F.max(n).over(inside).alias(f"_in_{n}") for n in names]
+    ).where(F.col("_row").isNotNull())
+    return _carry_join(seen, carry).select(
+        "_row.*", *[F.greatest(f"_in_{n}", f"_c_{n}").alias(n) for n in names]
+    )
+
+
 def band_join(
     intervals: DataFrame, points: DataFrame, by: str, start_us: Column, width_us: int,
     point_us: Column,

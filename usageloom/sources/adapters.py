@@ -18,14 +18,14 @@ BASE = {
     "id": "event_id",
     "us": "{us}",
     "v": "CAST(floor(value * 100) AS BIGINT)",
-    "usr": "CAST(floor(user_id / 10.0) AS BIGINT)",
+    "usr": "CAST(floor(user_id / 1e1) AS BIGINT)",
     "et": "event_type",
     "props": "props",
 }
 
-_SESSION_NO = "(usr * 1000 + CAST(floor(us / 172800000000.0) AS BIGINT) % 1000)"
-_PROMPT_NO = "(usr * 100000 + CAST(floor(us / 10800000000.0) AS BIGINT) % 100000)"
-_MODEL_NO = "((CAST(floor(us / 43200000000.0) AS BIGINT) + usr) % 3)"
+_SESSION_NO = "(usr * 1000 + CAST(floor(us / 1.728e11) AS BIGINT) % 1000)"
+_PROMPT_NO = "(usr * 100000 + CAST(floor(us / 1.08e10) AS BIGINT) % 100000)"
+_MODEL_NO = "((CAST(floor(us / 4.32e10) AS BIGINT) + usr) % 3)"
 _SESSION = f"concat('s', CAST({_SESSION_NO} AS STRING))"
 _AGENT = (
     f"CASE WHEN id % 5 = 0 THEN concat('a', CAST({_SESSION_NO} AS STRING), '-', "
@@ -46,7 +46,7 @@ REQUEST = {
     "ELSE 'px-opus-3' END",
     "input_tok": "v % 97",
     "output_tok": "CASE WHEN id % 37 <> 0 THEN v % 1009 END",
-    "cache_read_tok": "CASE WHEN id % 50 = 0 THEN 200000 + (v * 13) % 600000 "
+    "cache_read_tok": "CASE WHEN id % 50 = 7 THEN 200000 + (v * 13) % 600000 "
     "WHEN id % 4 = 0 THEN (v * 7) % 200003 ELSE 40000 + usr * 100 END",
     "cache_w5m_tok": "CASE WHEN id % 6 = 0 THEN v % 4001 ELSE 0 END",
     "cache_w1h_tok": "CASE WHEN id % 7 = 1 THEN v % 8009 ELSE 0 END",
@@ -65,9 +65,9 @@ REQUEST = {
     "query_source": "CASE WHEN id % 80 = 0 THEN 'title' WHEN id % 40 = 0 THEN 'summary' END",
     "effort": "CASE WHEN id % 5 = 4 THEN NULL WHEN id % 4 = 0 THEN 'low' WHEN id % 4 = 1 THEN "
     "'medium' WHEN id % 4 = 2 THEN 'high' ELSE 'max' END",
-    "cost_usd_sdk": "CASE WHEN id % 4 = 1 THEN (v % 500) / 10000.0 + 0.01 END",
+    "cost_usd_sdk": "CASE WHEN id % 4 = 1 THEN (v % 500) / 1e4 + 1e-2 END",
     "end_us": "CASE WHEN id % 53 <> 0 THEN us + (v % 30000) * 1000 END",
-    "api_duration_ms": "CASE WHEN id % 4 = 2 THEN (v % 20000) * 1.0 END",
+    "api_duration_ms": "CASE WHEN id % 4 = 2 THEN CAST(v % 20000 AS DOUBLE) END",
 }
 
 TOOL_CALL = {
@@ -90,7 +90,7 @@ HOOKS = (
     ("id % 33 = 11", "SessionStart", -3, "NULL"),
     ("id % 6 = 5", "UserPromptSubmit", -1, "NULL"),
     ("id % 9 = 8", "Stop", 20, "NULL"),
-    ("id % 7 = 3", "statusline_sample", 4, "(us % 86400000000) / 10000000000.0 + (v % 100) / 1000.0"),
+    ("id % 7 = 3", "statusline_sample", 4, "(us % 86400000000) / 1e10 + (v % 100) / 1e3"),
     ("id % 47 = 7", "nudge_fired", 1, "NULL"),
 )
 # The text of a submitted prompt; a few of them are hand-offs.
@@ -187,7 +187,7 @@ class DriverLedger:
         rows = self.base.groupBy(F.expr(_SESSION).alias("session_id")).agg(
             F.min("usr").alias("n"), F.min("us").alias("first_us"), F.max("us").alias("last_us")
         )
-        rows = rows.where("(n * 7 + CAST(floor(first_us / 172800000000.0) AS BIGINT)) % 17 <> 0")
+        rows = rows.where("(n * 7 + CAST(floor(first_us / 1.728e11) AS BIGINT)) % 17 <> 0")
         rows = rows.withColumn("project", F.expr(PROJECT.format(n="n"))).drop("n")
         return _instants(rows, {"first_us": "first_ts", "last_us": "last_ts"})
 
@@ -224,10 +224,37 @@ class DriverLedger:
                 f"CAST({cost} AS DOUBLE) AS total_cost_usd",
                 f"CASE WHEN '{kind}' = 'UserPromptSubmit' THEN {HOOK_PROMPT} END AS prompt",
                 f"CASE WHEN '{kind}' = 'nudge_fired' THEN {NUDGE_RULE} END AS rule",
+                f"CASE WHEN '{kind}' = 'statusline_sample' THEN CAST(v % 100 AS DOUBLE) END AS context_pct",
             )
             parts = part if parts is None else parts.unionByName(part)
         return _instants(parts, {"us": "ts"})
 
+    def _derived(self, name: str) -> DataFrame:
+        source, where, exprs, *grouped = DERIVED[name]
+        if source == "base":
+            rows = self.base
+        elif source in DERIVED:
+            rows = self._derived(source)
+        else:
+            rows = self.table(source)
+        rows = rows.where(where)
+        if not grouped:
+            return rows.selectExpr(*_select(exprs))
+        (key, expr), *aggs = exprs.items()
+        return rows.groupBy(F.expr(expr).alias(key)).agg(*[F.expr(e).alias(n) for n, e in aggs])
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in DERIVED:
+            raise AttributeError(name)
+        rows = self._derived(name)
+        return _instants(rows, {a: b for a, b in _US_NAMES.items() if a in rows.columns})
+
+    @property
+    def fired(self) -> DataFrame:
+        return self.hook_event.where("kind = 'nudge_fired'").selectExpr(
+            "rule", "ts AS fired_ts", "session_id"
+        )
+
     @property
     def price(self) -> DataFrame:
         return self.spark.sql(
@@ -250,6 +277,79 @@ class DriverLedger:
         return cost_requests(self.request, self.price, self.price_tool)
 
 
+_ORDER_US = "1704067200000000 + (o_orderkey % 2900) * 900000000"
+_ORDER_END = f"CASE WHEN o_orderkey % 150 <> 0 THEN {_ORDER_US} + (o_custkey % 500) * 60000000 END"
+
+# Judgment tables: source, filter, columns.
+DERIVED = {
+    "prompt_base": (
+        "base", "id % 23 <> 0",
+        {
+            "prompt_id": f"concat('p', CAST({_PROMPT_NO} AS STRING))",
+            "session_id": f"min({_SESSION})", "us": "min(us)", "n": "min(id)",
+        },
+        "GROUP",
+    ),
+    "outcome": (
+        "prompt_base", "n % 6 < 3",
+        {
+            "prompt_id": "prompt_id", "us": "us + 3600000000",
+            "label": "CASE WHEN n % 6 = 1 THEN 'reverted' ELSE 'completed' END",
+            "source": "CASE WHEN n % 12 = 1 THEN 'manual' ELSE 'auto' END",
+        },
+    ),
+    "work_task": (
+        "orders", "o_orderkey % 50 = 0",
+        {
+            "task_id": "concat('k', CAST(o_orderkey AS STRING))",
+            "title": "concat('task ', o_orderpriority)",
+            "category": "CASE WHEN o_orderkey % 100 = 0 THEN 'feature' ELSE 'chore' END",
+            "us_start": _ORDER_US,
+            "us_end": _ORDER_END,
+            "outcome": "CASE WHEN o_orderkey % 150 <> 0 THEN CASE WHEN o_orderstatus = 'F' THEN "
+            "'completed' ELSE 'partial' END END",
+            "quality_score": "CASE WHEN o_orderkey % 200 <> 0 THEN o_custkey % 5 + 1 END",
+        },
+    ),
+    "task_prompt": (
+        "prompt_base", "n % 4 = 0",
+        {
+            "task_id": "concat('k', CAST(CAST(floor(n / 2e2) AS BIGINT) * 50 AS STRING))",
+            "prompt_id": "prompt_id", "us": "us",
+        },
+    ),
+    "marker": (
+        "orders", "o_orderkey % 100 = 7",
+        {
+            "marker_id": "concat('v', CAST(o_orderkey AS STRING))",
+            "category": "o_orderpriority",
+            "us_start": _ORDER_US,
+            "us_end": f"CASE WHEN o_orderkey % 300 <> 7 THEN {_ORDER_US} + (1 + o_custkey % 500) * 600000000 END",
+            "verdict": "CASE WHEN o_orderkey % 3 = 0 THEN 'win' WHEN o_orderkey % 3 = 1 THEN 'loss' END",
+            "us_verdict": f"CASE WHEN o_orderkey % 2 = 1 THEN {_ORDER_US} + 864000000000 END",
+            "saving_usd": "o_totalprice / 1e4",
+            "saving_low_usd": "CASE WHEN o_custkey % 3 <> 0 THEN o_totalprice / 2e4 END",
+            "saving_high_usd": "CASE WHEN o_custkey % 4 <> 0 THEN o_totalprice / 5e3 END",
+        },
+    ),
+    "roi_cost": (
+        "orders", "o_orderkey % 60 = 3",
+        {
+            "cost_id": "concat('c', CAST(o_orderkey AS STRING))", "us": _ORDER_US,
+            "kind": "CASE WHEN o_custkey % 2 = 0 THEN 'review' ELSE 'setup' END",
+            "minutes": "CASE WHEN o_custkey % 3 <> 0 THEN CAST(o_custkey % 50 AS DOUBLE) END",
+            "usd": "CASE WHEN o_custkey % 3 <> 1 THEN o_totalprice / 1e5 END",
+        },
+    ),
+    "quarantine": (
+        "base", "id % 997 = 3",
+        {"us": "us", "src": "'transcript'", "reason": "concat('bad record of kind ', et)"},
+    ),
+    "ingest_log": ("base", "id % 1000 = 999", {"us": "us + 60000000", "records": "id"}),
+    "otel_event": ("base", "id % 4 = 0", {"us": "us", "kind": "'api_request'", "session_id": _SESSION}),
+}
+_US_NAMES = {"us": "ts", "us_start": "ts_start", "us_end": "ts_end", "us_verdict": "verdict_ts"}
+
 PROMPT = {
     "prompt_id": "prompt_id",
     "session_id": "session_id",
@@ -265,7 +365,7 @@ AGENT = {
     "session_id": "session_id",
     "agent_type": "CASE WHEN n % 2 = 0 THEN 'explore' ELSE 'worker' END",
     "parent_tool_use_id": "CASE WHEN n % 35 <> 0 THEN concat('t', CAST(2 * "
-    "CAST(floor(n / 4.0) AS BIGINT) AS STRING)) END",
+    "CAST(floor(n / 4e0) AS BIGINT) AS STRING)) END",
     "spawn_depth": "n % 3",
     "resolved_model": "CASE WHEN n % 4 = 0 THEN 'px-haiku-1' END",
     "workflow_run_id": "CAST(NULL AS STRING)",
@@ -290,16 +390,22 @@ def sql_tables() -> dict[str, str]:
         f"SELECT us + {after} * 1000000 AS us, '{kind}' AS kind, {_SESSION} AS session_id, "
         f"CAST(NULL AS STRING) AS prompt_id, CAST({cost} AS DOUBLE) AS total_cost_usd, "
         f"CASE WHEN '{kind}' = 'UserPromptSubmit' THEN {HOOK_PROMPT} END AS prompt, "
-        f"CASE WHEN '{kind}' = 'nudge_fired' THEN {NUDGE_RULE} END AS rule FROM base WHERE {where}"
+        f"CASE WHEN '{kind}' = 'nudge_fired' THEN {NUDGE_RULE} END AS rule, CASE WHEN '{kind}' = "
+        f"'statusline_sample' THEN CAST(v % 100 AS DOUBLE) END AS context_pct FROM base WHERE {where}"
         for where, kind, after, cost in HOOKS
     )
-    return {
+    derived = {
+        name: f"SELECT {', '.join(_select(exprs))} FROM {source} WHERE {where}"
+        + (" GROUP BY 1" if grouped else "")
+        for name, (source, where, exprs, *grouped) in DERIVED.items()
+    }
+    return derived | {
         "base": f"SELECT {base} FROM events",
         "request": f"SELECT {request} FROM base",
         "tool_call": f"SELECT {', '.join(_select(TOOL_CALL))} FROM base WHERE {TOOL_CALL_FILTER}",
         "session": f"SELECT session_id, {PROJECT.format(n='n')} AS project, first_us, last_us FROM "
         f"(SELECT {_SESSION} AS session_id, min(usr) AS n, min(us) AS first_us, max(us) AS last_us "
-        "FROM base GROUP BY 1) WHERE (n * 7 + CAST(floor(first_us / 172800000000.0) AS BIGINT)) "
+        "FROM base GROUP BY 1) WHERE (n * 7 + CAST(floor(first_us / 1.728e11) AS BIGINT)) "
         "% 17 <> 0",
         "prompt": f"SELECT {', '.join(_select(PROMPT))} FROM (SELECT concat('p', "
         f"CAST({_PROMPT_NO} AS STRING)) AS prompt_id, min({_SESSION}) AS session_id, min(us) AS us, "
@@ -340,6 +446,7 @@ def sql_tables() -> dict[str, str]:
 
 
 DEPENDS = {
+    **{n: (d[0],) if d[0] == "base" or d[0] in DERIVED else () for n, d in DERIVED.items()},
     "base": (),
     "request": ("base",),
     "tool_call": ("base",),
