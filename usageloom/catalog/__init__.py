@@ -10,6 +10,8 @@ def load():
         views,
         sessions,
         state,
+        ingest,
+        judgments,
     )
 
     return registry

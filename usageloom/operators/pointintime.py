@@ -161,8 +161,9 @@ def session_cache_state(
         .when(has, F.lit("5m")).otherwise(F.lit("unknown"))
     )
     anchor = F.when(has, F.when(F.col("l.touched"), F.col("l.ts")).otherwise(F.col("w.ts")))
-    ttl_min = F.when(F.col("ttl_kind") == "1h", 3600).when(F.col("ttl_kind") != "unknown", 300)
-    ttl_max = F.when(F.col("ttl_kind").isin("1h", "mixed"), 3600).when(F.col("ttl_kind") == "5m", 300)
+    hour, minutes = F.lit(3600).cast("bigint"), F.lit(300).cast("bigint")
+    ttl_min = F.when(F.col("ttl_kind") == "1h", hour).when(F.col("ttl_kind") != "unknown", minutes)
+    ttl_max = F.when(F.col("ttl_kind").isin("1h", "mixed"), hour).when(F.col("ttl_kind") == "5m", minutes)
     anchor_us = micros("cache_ts")
     out = rows.select(
         "session_id", "last_ts", F.col("l.ctx").alias("context_tok"), F.col("l.model").alias("model"),

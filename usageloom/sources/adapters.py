@@ -28,7 +28,7 @@ _PROMPT_NO = "(usr * 100000 + CAST(floor(us / 1.08e10) AS BIGINT) % 100000)"
 _MODEL_NO = "((CAST(floor(us / 4.32e10) AS BIGINT) + usr) % 3)"
 _SESSION = f"concat('s', CAST({_SESSION_NO} AS STRING))"
 _AGENT = (
-    f"CASE WHEN id % 5 = 0 THEN concat('a', CAST({_SESSION_NO} AS STRING), '-', "
+    f"CASE WHEN id % 5 = 0 THEN concat('a', CAST({_SESSION_NO} AS STRING), 'b', "
     "CAST(id % 3 AS STRING)) END"
 )
 
@@ -38,7 +38,7 @@ REQUEST = {
     "session_id": _SESSION,
     "agent_id": _AGENT,
     "lineage_id": f"concat({_SESSION}, CASE WHEN id % 5 = 0 THEN concat('/a', "
-    f"CAST({_SESSION_NO} AS STRING), '-', CAST(id % 3 AS STRING)) ELSE '' END)",
+    f"CAST({_SESSION_NO} AS STRING), 'b', CAST(id % 3 AS STRING)) ELSE '' END)",
     "prompt_id": f"CASE WHEN id % 23 <> 0 THEN concat('p', CAST({_PROMPT_NO} AS STRING)) END",
     "us": "us",
     "model": "CASE WHEN et = 'error' AND id % 4 = 0 THEN 'px-new-9' "
@@ -375,6 +375,8 @@ AGENT = {
 # ---- the same tables as common table expressions of the comparison SQL ----
 
 def _cte(name: str, body: str) -> str:
+    if body.startswith("MATERIALIZED "):
+        return f"{name} AS MATERIALIZED ({body.removeprefix('MATERIALIZED ')})"
     return f"{name} AS ({body})"
 
 
