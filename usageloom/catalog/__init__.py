@@ -12,6 +12,7 @@ def load():
         state,
         ingest,
         judgments,
+        streams,
     )
 
     return registry

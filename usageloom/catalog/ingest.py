@@ -103,7 +103,7 @@ def _(L):
 
 
 @query("t06_merge_tool_calls", with_tables("base", extra=EVP) + """SELECT tid AS tool_use_id, CASE WHEN valid THEN rid END AS request_id, sess AS session_id, hexid AS agent_id,
-CASE WHEN valid THEN CASE WHEN id % 43 = 0 AND n >= 2 THEN pid ELSE prompt_id END END AS prompt_id, CASE WHEN valid THEN CASE WHEN id % 4 = 0 THEN 'Edit'
+CASE WHEN valid THEN coalesce(prompt_id, CASE WHEN id % 43 = 0 AND n >= 2 THEN pid END) END AS prompt_id, CASE WHEN valid THEN CASE WHEN id % 4 = 0 THEN 'Edit'
 ELSE 'Bash' END END AS name, CASE WHEN valid THEN us + 1000000 END AS us, CAST(id % 33 = 0 AS INT) AS is_error, 15 + length(CAST(v AS STRING)) AS result_bytes, us + 6000000 AS
 result_us, CASE WHEN valid AND id % 4 = 0 THEN concat('/f', tid) END AS file_path, CASE WHEN valid AND id % 4 = 0 THEN CASE WHEN id % 8 = 0 THEN 3 ELSE 2 END END::BIGINT AS
 lines_changed, CASE WHEN id % 10 <> 0 AND id % 18 = 4 THEN concat('wf_', CAST(id % 5 AS STRING)) END AS workflow_run_id FROM ep WHERE id % 2 = 0""")
@@ -332,8 +332,8 @@ def _(L):
     return sinks.as_json(L.work_task.select("task_id", "category", "outcome"))
 
 
-_SEGMENTS = """SELECT concat('f', CAST(o_custkey AS STRING)) AS path, o_orderkey % 2 AS gen, 100 * (row_number() OVER (PARTITION BY o_custkey, o_orderkey % 2 ORDER BY o_orderkey) - 1) + CASE WHEN
-o_orderkey % 97 = 0 THEN 7 ELSE 0 END AS start, 100 * row_number() OVER (PARTITION BY o_custkey, o_orderkey % 2 ORDER BY o_orderkey) AS "end", concat('g', CAST(o_orderkey AS STRING)) AS seg
+_SEGMENTS = """SELECT concat('f', CAST(o_custkey AS STRING)) AS path, o_orderkey % 2 AS gen, CAST(100 * (row_number() OVER (PARTITION BY o_custkey, o_orderkey % 2 ORDER BY o_orderkey) - 1) + CASE WHEN
+o_orderkey % 97 = 0 THEN 7 ELSE 0 END AS BIGINT) AS start, CAST(100 * row_number() OVER (PARTITION BY o_custkey, o_orderkey % 2 ORDER BY o_orderkey) AS BIGINT) AS "end", concat('g', CAST(o_orderkey AS STRING)) AS seg
 FROM orders"""
 
 

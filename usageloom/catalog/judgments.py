@@ -103,7 +103,7 @@ def _(L):
     return replay(L)["invoice"].select("month", "billed_usd")
 
 
-@query("t16_rejected", WITH_O + """SELECT reason, count(*) AS n FROM (SELECT CASE k WHEN 5 THEN 'marker not found' WHEN 60 THEN 'marker not found' WHEN 30 THEN CASE WHEN g NOT IN (SELECT g
+@query("t16_rejected", WITH_O + """SELECT reason, count(DISTINCT u) AS n FROM (SELECT CASE k WHEN 22 THEN 0 ELSE o_orderkey END AS u, CASE k WHEN 5 THEN 'marker not found' WHEN 60 THEN 'marker not found' WHEN 30 THEN CASE WHEN g NOT IN (SELECT g
 FROM o WHERE k = 10) THEN 'marker not found' END WHEN 40 THEN CASE WHEN g NOT IN (SELECT g FROM o WHERE k = 10) THEN 'marker not found' END WHEN 50 THEN CASE WHEN o_custkey % 5 = 0 THEN
 'invalid verdict' WHEN o_custkey % 7 = 0 THEN 'invalid decided_by' WHEN g NOT IN (SELECT g FROM o WHERE k = 10) THEN 'marker not found' END WHEN 11 THEN CASE WHEN o_custkey % 7 = 0 THEN
 'invalid task category' END WHEN 12 THEN CASE WHEN g NOT IN (SELECT g FROM ks) THEN 'task not found' WHEN o_custkey % 6 = 0 THEN 'prompt not found' END WHEN 13 THEN CASE WHEN g NOT IN
@@ -158,13 +158,13 @@ def commit_hooks(L):
 ATTRIBUTED = (
     ("c", _COMMITS),
     ("pp", "SELECT p.prompt_id, p.us, s.project FROM prompt p JOIN session s USING (session_id)"),
-    ("at", "SELECT c.*, (SELECT prompt_id FROM pp WHERE pp.project = replace(c.repo_path, '/', '-') AND pp.us <= c.us AND c.us - pp.us <= 21600000000 ORDER BY pp.us DESC, pp.prompt_id DESC "
+    ("atr", "SELECT c.*, (SELECT prompt_id FROM pp WHERE pp.project = replace(c.repo_path, '/', '-') AND pp.us <= c.us AND c.us - pp.us <= 21600000000 ORDER BY pp.us DESC, pp.prompt_id DESC "
            "LIMIT 1) AS prompt_id FROM c"),
 )
 REVERTED = (
     ("rv", "SELECT us, lower(regexp_extract(body, 'This reverts commit ([0-9a-fA-F]+)', 1)) AS px FROM c WHERE body LIKE '%This reverts commit%'"),
-    ("ro", "SELECT DISTINCT us, (SELECT prompt_id FROM at WHERE starts_with(sha, px) AND prompt_id IS NOT NULL ORDER BY length(sha), sha LIMIT 1) AS prompt_id FROM rv"),
-    ("oc", "SELECT prompt_id, us, arg_min(insertions, sha) AS ins, arg_min(deletions, sha) AS del FROM at WHERE prompt_id IS NOT NULL GROUP BY 1, 2"),
+    ("ro", "SELECT DISTINCT us, (SELECT prompt_id FROM atr WHERE starts_with(sha, px) AND prompt_id IS NOT NULL ORDER BY length(sha), sha LIMIT 1) AS prompt_id FROM rv"),
+    ("oc", "SELECT prompt_id, us, arg_min(insertions, sha) AS ins, arg_min(deletions, sha) AS del FROM atr WHERE prompt_id IS NOT NULL GROUP BY 1, 2"),
 )
 
 
@@ -173,7 +173,7 @@ def attributed(L):
     return commits, J.attribute_commits(commits, L.prompt, L.session)
 
 
-@query("t18_attribute_commits", with_tables("prompt", "session", extra=ATTRIBUTED) + "SELECT sha, us, prompt_id FROM at")
+@query("t18_attribute_commits", with_tables("prompt", "session", extra=ATTRIBUTED) + "SELECT sha, us, prompt_id FROM atr")
 def _(L):
     return attributed(L)[1].select("sha", us("ts").alias("us"), "prompt_id")
 

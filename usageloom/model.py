@@ -6,8 +6,6 @@ import datetime as dt
 from dataclasses import dataclass
 from zoneinfo import ZoneInfo
 
-from pyspark.sql import types as T
-
 
 @dataclass(frozen=True)
 class Window:
@@ -74,11 +72,8 @@ def utc(text: str) -> dt.datetime:
     return value if value.tzinfo else value.replace(tzinfo=dt.timezone.utc)
 
 
-def _schema(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
-
-
-REQUEST = _schema(
+# Table schemas, as the DDL text that readers and ``createDataFrame`` take.
+REQUEST = (
     "request_id string, message_id string, session_id string, agent_id string, lineage_id string, "
     "prompt_id string, ts timestamp, model string, input_tok bigint, output_tok bigint, "
     "cache_read_tok bigint, cache_w5m_tok bigint, cache_w1h_tok bigint, server_tool_use string, "
@@ -86,35 +81,35 @@ REQUEST = _schema(
     "is_interrupted int, source string, raw_path string, query_source string, effort string, "
     "cost_usd_sdk double, end_ts timestamp, api_duration_ms double"
 )
-PROMPT = _schema(
+PROMPT = (
     "prompt_id string, session_id string, ts timestamp, text string, "
     "interrupted_message_id string, task_label string"
 )
-TOOL_CALL = _schema(
+TOOL_CALL = (
     "tool_use_id string, request_id string, session_id string, agent_id string, prompt_id string, "
     "name string, ts timestamp, is_error int, result_bytes bigint, file_path string, "
     "lines_changed bigint, result_ts timestamp, workflow_run_id string"
 )
-AGENT = _schema(
+AGENT = (
     "agent_id string, session_id string, agent_type string, parent_tool_use_id string, "
     "spawn_depth bigint, resolved_model string, workflow_run_id string"
 )
-SESSION = _schema(
+SESSION = (
     "session_id string, project string, slug string, git_branch string, cc_version string, "
     "first_ts timestamp, last_ts timestamp"
 )
-HOOK_EVENT = _schema(
+HOOK_EVENT = (
     "ts timestamp, kind string, session_id string, prompt_id string, payload_json string"
 )
-PRICE = _schema(
+PRICE = (
     "model string, valid_from date, valid_to date, in_usd double, out_usd double, "
     "cache_read_x double, cache_w5m_x double, cache_w1h_x double, batch_x double, fast_x double, "
     "geo_us_x double, source_url string"
 )
-PRICE_TOOL = _schema(
+PRICE_TOOL = (
     "tool string, valid_from date, valid_to date, usd_per_unit double, source_url string"
 )
-NUDGE = _schema(
+NUDGE = (
     "rule string, fired_ts timestamp, session_id string, detail_json string, "
     "experiment_group string"
 )

@@ -57,33 +57,62 @@ def _links(agents: DataFrame, notes: DataFrame, tool_calls: DataFrame, req: Data
     )
     linked = wanted.join(calls, "tool_use_id")
     return linked.join(requests, "request_id", "left").select(
-        "kind", "node", "on_agent",
-        F.when(F.col("has_request"), F.col("seen_prompt")).otherwise(F.col("call_prompt")).alias("seen"),
-        "call_prompt",
+        "kind", "node", "on_agent", F.coalesce("has_request", F.lit(False)).alias("has_request"),
+        F.col("seen_prompt").alias("work"), F.col("call_prompt").alias("call"),
+        F.lit(None).cast("string").alias("moved"),
     )
 
 
-def _fold(rows: DataFrame, prompt: str, origins: DataFrame) -> DataFrame:
-    """Replace a notification's own id by the prompt it came from, where that is known."""
-    target = origins.select(F.col("prompt_id").alias("_note"), F.col("origin").alias("_origin"))
-    known = target.where(F.col("_origin").isNotNull())
+def _origins(notes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Where each notification folds to now: by its call, else by the agent it names."""
+    by_call = nodes.where("kind = 'note'").select(F.col("node").alias("prompt_id"), F.col("call").alias("a"))
+    by_agent = nodes.where("kind = 'agent'").select(F.col("node").alias("agent_id"), F.col("call").alias("b"))
+    found = (
+        notes.select("prompt_id", "agent_id")
+        .join(by_call, "prompt_id", "left")
+        .join(by_agent, "agent_id", "left")
+        .select(F.col("prompt_id").alias("_note"), F.coalesce("a", "b").alias("_origin"))
+    )
+    return found.where(F.col("_origin").isNotNull() & (F.col("_origin") != F.col("_note")))
+
+
+def _fold(rows: DataFrame, column: str, origins: DataFrame) -> DataFrame:
+    """Replace a notification's id in ``column`` by the prompt it came from, where that is known."""
     return (
-        rows.join(known, F.col(prompt) == F.col("_note"), "left")
-        .withColumn(prompt, F.coalesce("_origin", prompt))
+        rows.join(origins, F.col(column) == F.col("_note"), "left")
+        .withColumn(column, F.coalesce("_origin", column))
         .drop("_note", "_origin")
     )
 
 
-def _origins(notes: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Origin of each notification: by its call, else by the agent it names."""
-    by_call = nodes.where("kind = 'note'").select(F.col("node").alias("prompt_id"), F.col("val").alias("a"))
-    by_agent = nodes.where("kind = 'agent'").select(F.col("node").alias("agent_id"), F.col("val").alias("b"))
-    return (
-        notes.select("prompt_id", "agent_id")
-        .join(by_call, "prompt_id", "left")
-        .join(by_agent, "agent_id", "left")
-        .select("prompt_id", F.coalesce("a", "b").alias("origin"))
+def _round(nodes: DataFrame, notes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One round over all nodes; ``changed`` tells where something moved.
+
+    ``work`` is the prompt of the request a node hangs on, ``call`` that of the
+    tool call, and ``moved`` the prompt an agent's own requests were given.
+    Work folds first and then follows its spawning call; calls follow their request.
+    """
+    origins = _origins(notes, nodes)
+    parents = nodes.where("kind = 'agent'").select(
+        F.col("node").alias("_agent"), F.col("call").alias("_parent_call")
     )
+    before = nodes.select("*", F.struct("work", "call", "moved").alias("_old"))
+    folded = _fold(_fold(before, "work", origins), "moved", origins)
+    stepped = (
+        folded.join(parents, F.col("on_agent") == F.col("_agent"), "left")
+        .withColumn("work", F.coalesce("_parent_call", "work"))
+        .withColumn("moved", F.when(F.col("kind") == "agent", F.coalesce("call", "moved")))
+        .withColumn("call", F.when(F.col("has_request"), F.col("work")).otherwise(F.col("call")))
+        .withColumn("changed", ~F.struct("work", "call", "moved").eqNullSafe(F.col("_old")))
+        .drop("_agent", "_parent_call", "_old")
+    )
+    told = _fold(notes.withColumn("_was", F.col("at")), "at", origins)
+    told = told.withColumn("changed", F.col("at") != F.col("_was")).drop("_was")
+    return stepped, told
+
+
+def _settled(df: DataFrame) -> bool:
+    return df.where("changed").limit(1).count() == 0
 
 
 def causal_attribution(
@@ -95,42 +124,38 @@ def causal_attribution(
     An agent's work belongs to the prompt of the call that spawned it, the work
     on a notification to the prompt of the task it reports.  Chains that do not
     resolve keep the observed prompt.  Each round moves every chain one link;
-    rounds stop when nothing changes.  The node table is checkpointed to the
-    shared folder between rounds, as an executor may be lost at any time.
+    rounds stop when nothing changes.  The search runs on one row per agent and
+    notification, and its state is checkpointed to the shared folder between
+    rounds, as an executor may be lost at any time.
     """
-    notes = parse_notification(prompt)
-    nodes = cut_lineage(
-        _links(agents, notes, tool_calls, req).withColumn("val", F.col("call_prompt"))
-    )
-    notes = cut_lineage(notes)
+    notes = cut_lineage(parse_notification(prompt).withColumn("at", F.col("prompt_id")))
+    nodes = cut_lineage(_links(agents, notes, tool_calls, req))
     for _ in range(max_rounds):
-        parents = nodes.where("kind = 'agent'").select(
-            F.col("node").alias("_agent"), F.col("val").alias("_parent_val")
-        )
-        stepped = (
-            nodes.join(parents, F.col("on_agent") == F.col("_agent"), "left")
-            .withColumn("next", F.coalesce("_parent_val", "seen"))
-            .drop("_agent", "_parent_val")
-        )
-        stepped = cut_lineage(_fold(stepped, "next", _origins(notes, nodes)))
-        changed = stepped.where(~F.col("next").eqNullSafe(F.col("val"))).limit(1).count()
-        nodes = stepped.withColumn("val", F.col("next")).drop("next")
-        if changed == 0:
+        stepped, told = (cut_lineage(df) for df in _round(nodes, notes))
+        done = _settled(stepped) and _settled(told)
+        nodes, notes = stepped.drop("changed"), told.drop("changed")
+        if done:
             break
-    spawned = nodes.where("kind = 'agent'").select(
-        F.col("node").alias("_agent"), F.col("val").alias("_cause")
+    spawned = nodes.where((F.col("kind") == "agent") & F.col("moved").isNotNull()).select(
+        F.col("node").alias("_agent"), F.col("moved").alias("_cause")
+    )
+    folded = notes.where(F.col("at") != F.col("prompt_id")).select(
+        F.col("prompt_id").alias("_note"), F.col("at").alias("_at")
     )
-    keyed = req.withColumn("_key", salted_null_key("agent_id", "request_id"))
     moved = (
-        keyed.join(spawned, F.col("_key") == F.col("_agent"), "left")
-        .withColumn("prompt_id", F.coalesce("_cause", "prompt_id"))
-        .drop("_key", "_agent", "_cause")
+        req.withColumn("_key", salted_null_key("agent_id", "request_id"))
+        .join(spawned, F.col("_key") == F.col("_agent"), "left")
+        .withColumn("_seen", salted_null_key("prompt_id", "request_id"))
+        .join(folded, F.col("_seen") == F.col("_note"), "left")
+        .withColumn("prompt_id", F.coalesce("_cause", "_at", "prompt_id"))
+        .drop("_key", "_agent", "_cause", "_seen", "_note", "_at")
+    )
+    owners = moved.select(
+        F.col("request_id").alias("_rid"), F.col("prompt_id").alias("_owner"), F.lit(True).alias("_has")
     )
-    moved = _fold(moved, "prompt_id", _origins(notes, nodes))
-    owners = moved.select("request_id", F.col("prompt_id").alias("_owner"), F.lit(True).alias("_has"))
     calls = (
         tool_calls.withColumn("_key", salted_null_key("request_id", "tool_use_id"))
-        .join(owners.withColumnRenamed("request_id", "_rid"), F.col("_key") == F.col("_rid"), "left")
+        .join(owners, F.col("_key") == F.col("_rid"), "left")
         .withColumn("prompt_id", F.when(F.col("_has"), F.col("_owner")).otherwise(F.col("prompt_id")))
         .drop("_key", "_rid", "_owner", "_has")
     )

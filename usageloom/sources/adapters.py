@@ -156,11 +156,19 @@ def _instants(df: DataFrame, names: dict[str, str]) -> DataFrame:
 class DriverLedger:
     """Lazily derived ledger tables over one folder of driver tables."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, stream: bool = False):
+        self.spark, self.dir, self.stream = spark, sf_dir, stream
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        path = f"{self.dir}/{name}.parquet"
+        if self.stream:
+            schema = self.spark.read.parquet(path).schema
+            return self.spark.readStream.schema(schema).parquet(path + "*")
+        return self.spark.read.parquet(path)
+
+    def streaming(self) -> "DriverLedger":
+        """The same tables as streams over the files."""
+        return DriverLedger(self.spark, self.dir, stream=True)
 
     @property
     def base(self) -> DataFrame:
