@@ -48,14 +48,14 @@ def _(L):
     return out.select("session_id", "n_events", us("start_ts").alias("start_us"), us("end_ts").alias("end_us"))
 
 
-@query("t09_carry_prompt_stream", with_tables("base", extra=EVP) + "SELECT DISTINCT rid AS request_id, prompt_id FROM ep WHERE valid")
+@query("t09_carry_prompt_stream", with_tables("base", extra=EVP) + "SELECT rid AS request_id, prompt_id FROM ep WHERE valid")
 def _(L):
     parsed = S.parse_records(RL.transcript_lines(L.streaming())).where("reason IS NULL")
     own = F.nullif(F.col("rec.promptId"), F.lit(""))
     rows = parsed.where(F.col("rec.type").isin("user", "assistant")).select(
         "lineage_id", F.col("seq.line").alias("ord"), (F.col("rec.type") == "user").alias("is_user"), own.alias("own_prompt"), "request_id")
     first = SW.run_available(ST.carry_prompt_stream(rows.where("is_user OR request_id IS NOT NULL")), "carry")
-    return first.distinct()
+    return first.groupBy("request_id").agg(F.min_by("prompt_id", "ord").alias("prompt_id"))
 
 
 @query("r09_throttle_stream", with_tables("hook_event", extra=(
@@ -76,3 +76,34 @@ def _(L):
     rows = L.streaming().hook_event.where("kind = 'nudge_fired'").selectExpr(
         "rule", "session_id", "concat(rule, ':', CAST(unix_micros(ts) AS STRING)) AS key", "ts")
     return SW.run_available(ST.fire_nudges_stream(rows, "Asia/Tokyo", daily_cap=1), "nudges")
+
+
+_CTX = "coalesce(input_tok,0) + coalesce(cache_read_tok,0) + coalesce(cache_w5m_tok,0) + coalesce(cache_w1h_tok,0)"
+
+
+@query("r04_cache_state_stream", with_tables("request", extra=(
+    ("mn", f"SELECT *, {_CTX} AS ctx FROM request WHERE agent_id IS NULL"),
+    ("l", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY us DESC) AS rn FROM mn) WHERE rn = 1"),
+    ("w", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY us DESC) AS rn FROM mn WHERE cache_w5m_tok > 0 OR cache_w1h_tok > 0) WHERE rn = 1"),
+    ("k", "SELECT l.session_id, l.ctx AS context_tok, CASE WHEN w.us IS NULL THEN 'unknown' WHEN w.cache_w5m_tok > 0 AND w.cache_w1h_tok > 0 THEN 'mixed' WHEN w.cache_w1h_tok > 0 THEN '1h' ELSE "
+          "'5m' END AS ttl_kind, CASE WHEN w.us IS NOT NULL THEN CASE WHEN l.cache_read_tok > 0 OR l.cache_w5m_tok > 0 OR l.cache_w1h_tok > 0 THEN l.us ELSE w.us END END AS a FROM l LEFT JOIN w "
+          "USING (session_id)"),
+    ("x", "SELECT *, a + CASE WHEN ttl_kind = '5m' THEN 300000000 ELSE 3600000000 END AS expires_us FROM k"),
+)) + """SELECT session_id, CASE WHEN a IS NULL THEN 'none' ELSE 'live' END AS status, ttl_kind, context_tok, expires_us FROM x UNION ALL SELECT session_id, 'expired', ttl_kind, context_tok,
+expires_us FROM x WHERE expires_us // 1000 <= (SELECT max(us) FROM mn) // 1000 - 60000""")
+def _(L):
+    """State after all files, and the sessions whose cache ran out before the watermark."""
+    return SW.run_available(ST.cache_state_stream(L.streaming().request), "cache")
+
+
+@query("r05_inflight_stream", with_tables("hook_event", extra=(
+    ("sp", "SELECT * FROM hook_event WHERE kind = 'statusline_sample'"),
+    ("pp", "SELECT session_id, max(us) FILTER (kind = 'UserPromptSubmit') AS prompt_us, max(us) FILTER (kind = 'Stop') AS stop_us FROM hook_event WHERE kind IN ('UserPromptSubmit', 'Stop', "
+           "'statusline_sample') GROUP BY 1"),
+    ("op", "SELECT session_id, prompt_us, coalesce(prompt_us IS NOT NULL AND (stop_us IS NULL OR stop_us < prompt_us), false) AS is_open FROM pp"),
+    ("i", "SELECT op.*, (SELECT total_cost_usd FROM sp WHERE sp.session_id = op.session_id ORDER BY us DESC LIMIT 1) AS cur, (SELECT total_cost_usd FROM sp WHERE sp.session_id = op.session_id AND "
+          "us <= prompt_us ORDER BY us DESC LIMIT 1) AS ini FROM op"),
+)) + """SELECT session_id, prompt_us, CAST(is_open AS INT) AS is_open, CASE WHEN is_open AND cur >= ini THEN round(cur - ini, 6) END AS inflight_usd FROM i""")
+def _(L):
+    out = SW.run_available(ST.inflight_stream(L.streaming().hook_event), "inflight")
+    return out.withColumn("is_open", F.col("is_open").cast("int"))

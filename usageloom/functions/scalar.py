@@ -57,10 +57,7 @@ def in_window(ts, w: Window, tz: str) -> Column:
 def context_tokens(prefix: str = "") -> Column:
     """Input-side tokens of a request (F-07)."""
     names = ("input_tok", "cache_read_tok", "cache_w5m_tok", "cache_w1h_tok")
-    total = F.lit(0).cast("bigint")
-    for name in names:
-        total = total + F.coalesce(F.col(prefix + name), F.lit(0))
-    return total
+    return F.expr(" + ".join(f"coalesce({prefix}{name}, 0)" for name in names))
 
 
 def normalize_model(model) -> Column:

@@ -10,7 +10,7 @@ from usageloom.fixed_values import CAUSES
 from usageloom.functions.scalar import local_day, micros, model_family, nz, seconds, share
 from usageloom.operators.pricing import join_project
 from usageloom.operators.temporal import (
-    latest_per_channel, with_last_seen, with_previous_and_last_seen,
+    latest_per_channel, with_previous_and_seen, with_seen_within,
 )
 
 SECOND_US = 1_000_000
@@ -39,11 +39,10 @@ def exists_hook_near(
 
 def anti_live_1h(req: DataFrame) -> DataFrame:
     """``live_1h``: a one-hour cache write less than an hour ago on this lineage (J-05)."""
-    out = with_last_seen(
-        req, "lineage_id", micros("ts"), F.col("cache_w1h_tok") > 0, name="_w1h_us"
+    out = with_seen_within(
+        req, "lineage_id", micros("ts"), F.col("cache_w1h_tok") > 0, HOUR_S * SECOND_US, "_live"
     )
-    live = micros("ts") - F.col("_w1h_us") < HOUR_S * SECOND_US
-    return out.withColumn("live_1h", F.coalesce(live, F.lit(False)).cast("int")).drop("_w1h_us")
+    return out.withColumn("live_1h", F.col("_live").cast("int")).drop("_live")
 
 
 def cache_identity(
@@ -67,8 +66,9 @@ def cache_identity(
         "cache_read_tok", "cc", "cache_w5m_tok", "cache_w1h_tok", "input_tok", "model", "ts",
         "end_ts", "is_interrupted",
     )
-    seq = with_previous_and_last_seen(
-        usable, "lineage_id", micros("ts"), "request_id", lagged, F.col("cache_w1h_tok") > 0
+    seq = with_previous_and_seen(
+        usable, "lineage_id", micros("ts"), "request_id", lagged, F.col("cache_w1h_tok") > 0,
+        HOUR_S * SECOND_US,
     )
     left = F.col("prev.cache_read_tok") + F.col("prev.cc")
     breaks = seq.where(
@@ -90,14 +90,13 @@ def cache_identity(
     )
     compacted = F.coalesce(F.col("_compacted_us") >= micros("prev.ts") - slack, F.lit(False))
     restarted = F.coalesce(F.col("_started_us") >= micros("prev.ts"), F.lit(False))
-    live = F.coalesce(micros("ts") - F.col("last_seen_us") < HOUR_S * SECOND_US, F.lit(False))
     idle_us = micros("ts") - micros("prev.ts")
     short_lived = (
         (F.col("prev.cache_w5m_tok") > 0)
         & (F.col("prev.cache_w1h_tok") == 0)
         & (micros("ts") - micros("prev.end_ts") > FIVE_MINUTES_S * SECOND_US)
         & (F.col("cache_read_tok") < left * F.lit(0.1))
-        & ~live
+        & ~F.col("seen")
     )
     cause = (
         F.when(F.col("prev.is_interrupted") == 1, F.lit("interruption"))

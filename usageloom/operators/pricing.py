@@ -21,38 +21,23 @@ def price_segments(price: DataFrame, key: str, values: tuple[str, ...]) -> DataF
     that once on the price list (a few rows per key) leaves a fact at most one
     match, so that pricing needs neither a sort nor a shuffle of the facts.
     """
-    grouped = price.groupBy(key).agg(
-        F.collect_list(F.struct("valid_from", "valid_to", *values)).alias("rows")
+    columns = ", ".join(("valid_from", "valid_to", *values))
+    grouped = price.groupBy(key).agg(F.expr(f"collect_list(struct({columns}))").alias("rows"))
+    bounds = (
+        "array_sort(array_distinct(concat(transform(rows, r -> r.valid_from), "
+        "filter(transform(rows, r -> r.valid_to), d -> d IS NOT NULL)))) AS bounds"
     )
-    bounds = F.array_sort(
-        F.array_distinct(
-            F.concat(
-                F.transform("rows", lambda r: r["valid_from"]),
-                F.filter(F.transform("rows", lambda r: r["valid_to"]), lambda d: d.isNotNull()),
-            )
-        )
-    )
-    grouped = grouped.withColumn("bounds", bounds)
-
-    def winner(day: Column) -> Column:
-        return F.array_max(
-            F.filter(
-                "rows",
-                lambda r: (r["valid_from"] <= day)
-                & (r["valid_to"].isNull() | (day < r["valid_to"])),
-            )
-        )
-
-    pieces = F.transform(
-        "bounds",
-        lambda day, i: F.struct(
-            day.alias("seg_from"), F.get("bounds", i + 1).alias("seg_to"), winner(day).alias("row")
-        ),
+    # Of the rows that cover a bound, the largest struct is the one that starts last.
+    pieces = (
+        "explode(transform(bounds, (day, i) -> struct(day AS seg_from, get(bounds, i + 1) AS seg_to, "
+        "array_max(filter(rows, r -> r.valid_from <= day AND (r.valid_to IS NULL OR day < r.valid_to))) "
+        "AS row))) AS s"
     )
     return (
-        grouped.select(key, F.explode(pieces).alias("s"))
-        .where(F.col("s.row").isNotNull())
-        .select(key, "s.seg_from", "s.seg_to", *[F.col(f"s.row.{v}").alias(v) for v in values])
+        grouped.selectExpr(key, "rows", bounds)
+        .selectExpr(key, pieces)
+        .where("s.row IS NOT NULL")
+        .selectExpr(key, "s.seg_from", "s.seg_to", *[f"s.row.{v} AS {v}" for v in values])
     )
 
 
@@ -67,29 +52,15 @@ def tool_units(server_tool_use) -> Column:
 
 def _inline_tool_usd(req: DataFrame, price_tool: DataFrame) -> DataFrame:
     segments = price_segments(price_tool, "tool", ("usd_per_unit",))
-    rates = segments.agg(
-        F.collect_list(F.struct("tool", "seg_from", "seg_to", "usd_per_unit"))
-    ).scalar()
-    day = utc_day("ts")
-
-    def charge(acc: Column, unit: Column) -> Column:
-        rate = F.get(
-            F.filter(
-                F.col("_rates"),
-                lambda r: (r["tool"] == unit["key"])
-                & (day >= r["seg_from"])
-                & (r["seg_to"].isNull() | (day < r["seg_to"])),
-            ),
-            F.lit(0),
-        )["usd_per_unit"]
-        return acc + F.coalesce(unit["value"].try_cast("double") * rate, F.lit(0.0))
-
-    usd = F.aggregate(F.map_entries(tool_units("server_tool_use")), F.lit(0.0), charge)
-    return (
-        req.withColumn("_rates", rates)
-        .withColumn("server_tool_usd", F.coalesce(usd, F.lit(0.0)))
-        .drop("_rates")
+    rates = segments.agg(F.expr("collect_list(struct(tool, seg_from, seg_to, usd_per_unit))")).scalar()
+    day = "date_from_unix_date(CAST(floor(unix_micros(ts) / 8.64E10) AS INT))"
+    usd = (
+        "CASE WHEN server_tool_use IS NULL THEN 0.0D ELSE coalesce(aggregate("
+        "map_entries(from_json(server_tool_use, 'map<string,string>')), 0.0D, "
+        "(acc, unit) -> acc + coalesce(try_cast(unit.value AS DOUBLE) * get(filter(_rates, r -> r.tool = unit.key "
+        f"AND r.seg_from <= {day} AND (r.seg_to IS NULL OR {day} < r.seg_to)), 0).usd_per_unit, 0.0D)), 0.0D) END"
     )
+    return req.withColumn("_rates", rates).withColumn("server_tool_usd", F.expr(usd)).drop("_rates")
 
 
 def server_tool_cost(req: DataFrame, price_tool: DataFrame) -> DataFrame:
@@ -135,28 +106,24 @@ def cost_requests(
     carry their size, so the planner broadcasts them below its threshold and
     otherwise shuffles on ``model``.
     """
-    facts = with_tool_cost(req.where(F.col("is_synthetic") == 0), price_tool, inline)
+    facts = with_tool_cost(req.where("is_synthetic = 0"), price_tool, inline)
     rates = price_segments(price, "model", PRICE_COLUMNS).withColumnRenamed("model", "_model")
     priced = facts.join(
         rates, (facts["model"] == rates["_model"]) & covers(utc_day(facts["ts"])), "left"
     ).withColumn("price_factor", price_factor())
-    rate = F.col("in_usd")
     writes = (
-        nz("cache_w5m_tok") * rate * F.col("cache_w5m_x")
-        + nz("cache_w1h_tok") * rate * F.col("cache_w1h_x")
+        "coalesce(cache_w5m_tok, 0) * in_usd * cache_w5m_x + coalesce(cache_w1h_tok, 0) * in_usd * cache_w1h_x"
     )
     tokens = (
-        nz("input_tok") * rate
-        + nz("cache_read_tok") * rate * F.col("cache_read_x")
-        + nz("cache_w5m_tok") * rate * F.col("cache_w5m_x")
-        + nz("cache_w1h_tok") * rate * F.col("cache_w1h_x")
-        + nz("output_tok") * F.col("out_usd")
+        "coalesce(input_tok, 0) * in_usd + coalesce(cache_read_tok, 0) * in_usd * cache_read_x "
+        f"+ {writes} + coalesce(output_tok, 0) * out_usd"
     )
-    return (
-        priced.withColumn("token_cost_usd", tokens / F.lit(1e6) * F.col("price_factor"))
-        .withColumn("cost_usd", F.col("token_cost_usd") + F.col("server_tool_usd"))
-        .withColumn("cache_write_usd", writes / F.lit(1e6) * F.col("price_factor"))
-        .drop("_model", "seg_from", "seg_to", "batch_x", "fast_x", "geo_us_x")
+    carried = [*req.columns, *PRICE_COLUMNS[:5], "price_factor", "server_tool_usd"]
+    return priced.selectExpr(
+        *carried,
+        f"({tokens}) / 1E6 * price_factor AS token_cost_usd",
+        f"({tokens}) / 1E6 * price_factor + server_tool_usd AS cost_usd",
+        f"({writes}) / 1E6 * price_factor AS cache_write_usd",
     )
 
 

@@ -2,8 +2,11 @@
 
 A window function handles each partition key in one task.  Because one session
 or lineage may hold a large share of all rows, keys are split into time
-buckets; what a bucket needs to know of the time before it is carried over in a
-table with one row per key and bucket.
+buckets.  What a bucket must know of earlier ones is taken from the last row of
+each bucket, a table with one row per key and bucket.
+
+Rows are shuffled once: the branch that looks at the edges of buckets keeps the
+same columns as the main one, so that Spark reuses the exchange.
 """
 
 from __future__ import annotations
@@ -20,17 +23,40 @@ def _bucket(us: Column, width_us: int) -> Column:
     return F.floor(us / F.lit(float(width_us))).cast("bigint")
 
 
-def _earlier_rows():
-    """Rows of the bucket at a strictly earlier instant."""
-    return W.partitionBy(*_KEYS).orderBy("_us").rangeBetween(W.unboundedPreceding, -1)
-
+def _keyed(df: DataFrame, key: str, us: Column, bucket_us: int) -> DataFrame:
+    return (
+        df.withColumn("_us", us)
+        .withColumn("_k", F.col(key))
+        .withColumn("_b", _bucket(F.col("_us"), bucket_us))
+    )
 
-def _earlier_buckets():
-    return W.partitionBy("_k").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
 
+def _neighbour(
+    df: DataFrame, key: str, us: Column, tie: str, columns: Sequence[str], bucket_us: int,
+    name: str, step: int,
+) -> DataFrame:
+    """Struct of the row ``step`` (-1 or 1) away in the order of a key.
 
-def _carry_join(rows: DataFrame, carry: DataFrame) -> DataFrame:
-    return rows.join(carry, list(_KEYS), "left")
+    Inside a bucket that is a window function.  The rows at the edges of buckets
+    are ordered once more per key: there the neighbour of a bucket's first row
+    is the last row of the bucket before it, and the other way round.
+    """
+    payload = F.struct(*columns)
+    inside = W.partitionBy(*_KEYS).orderBy("_us", tie)
+    along = W.partitionBy("_k").orderBy("_us", tie)
+    near, far = (F.lag, F.lead) if step < 0 else (F.lead, F.lag)
+    marked = (
+        _keyed(df, key, us, bucket_us)
+        .withColumn("_near", near(payload).over(inside))
+        .withColumn("_edge", far(F.lit(1)).over(inside).isNull())
+    )
+    within = marked.where(F.col("_near").isNotNull()).withColumn(name, F.col("_near"))
+    edges = (
+        marked.where(F.col("_near").isNull() | F.col("_edge"))
+        .withColumn(name, near(payload).over(along))
+        .where(F.col("_near").isNull())
+    )
+    return within.unionByName(edges).drop("_us", "_near", "_edge", *_KEYS)
 
 
 def with_previous(
@@ -41,22 +67,7 @@ def with_previous(
 
     Order is (``us``, ``tie``); the struct is NULL on a key's first row.
     """
-    rows = (
-        df.withColumn("_us", us)
-        .withColumn("_k", F.col(key))
-        .withColumn("_b", _bucket(F.col("_us"), bucket_us))
-    )
-    payload = F.struct(*columns)
-    inside = W.partitionBy(*_KEYS).orderBy("_us", tie)
-    tails = rows.groupBy(*_KEYS).agg(F.max_by(payload, F.struct("_us", tie)).alias("_tail"))
-    carry = tails.select(
-        *_KEYS, F.lag("_tail").over(W.partitionBy("_k").orderBy("_b")).alias("_carry")
-    )
-    return (
-        _carry_join(rows.withColumn("_lag", F.lag(payload).over(inside)), carry)
-        .withColumn(name, F.coalesce("_lag", "_carry"))
-        .drop("_us", "_lag", "_carry", *_KEYS)
-    )
+    return _neighbour(df, key, us, tie, columns, bucket_us, name, -1)
 
 
 def with_next(
@@ -64,79 +75,82 @@ def with_next(
     bucket_us: int = HOUR_US, name: str = "next",
 ) -> DataFrame:
     """Add struct ``name`` with ``columns`` of the following row of the same key."""
-    rows = (
-        df.withColumn("_us", us)
-        .withColumn("_k", F.col(key))
-        .withColumn("_b", _bucket(F.col("_us"), bucket_us))
-    )
-    payload = F.struct(*columns)
-    inside = W.partitionBy(*_KEYS).orderBy("_us", tie)
-    heads = rows.groupBy(*_KEYS).agg(F.min_by(payload, F.struct("_us", tie)).alias("_head"))
-    carry = heads.select(
-        *_KEYS, F.lead("_head").over(W.partitionBy("_k").orderBy("_b")).alias("_carry")
+    return _neighbour(df, key, us, tie, columns, bucket_us, name, 1)
+
+
+def _with_ghosts(df: DataFrame, key: str, us: Column, flag: Column, within_us: int) -> DataFrame:
+    """Keyed rows with ``_hit`` (time of a flagged row), and each hit once more in the next bucket.
+
+    A look-back of one bucket width sees its own bucket and the one before, so
+    the repeated hits, which carry only key and time, replace any other lookup.
+    """
+    rows = _keyed(df, key, us, within_us).withColumn("_real", F.lit(True)).withColumn(
+        "_hit", F.when(flag, F.col("_us"))
     )
-    return (
-        _carry_join(rows.withColumn("_lead", F.lead(payload).over(inside)), carry)
-        .withColumn(name, F.coalesce("_lead", "_carry"))
-        .drop("_us", "_lead", "_carry", *_KEYS)
+    ghosts = _keyed(df.where(flag), key, us, within_us).select(
+        "_us", "_k", (F.col("_b") + 1).alias("_b"), F.lit(False).alias("_real"), F.col("_us").alias("_hit")
     )
+    return rows.unionByName(ghosts, allowMissingColumns=True)
+
+
+def _last_hit() -> Column:
+    earlier = W.partitionBy(*_KEYS).orderBy("_us").rangeBetween(W.unboundedPreceding, -1)
+    return F.max("_hit").over(earlier)
 
 
-def with_last_seen(
-    df: DataFrame, key: str, us: Column, flag: Column,
-    bucket_us: int = HOUR_US, name: str = "last_seen_us",
+def with_seen_within(
+    df: DataFrame, key: str, us: Column, flag: Column, within_us: int, name: str = "seen"
 ) -> DataFrame:
-    """Add the latest ``us`` strictly before each row at which ``flag`` held for the key."""
-    rows = (
-        df.withColumn("_us", us)
-        .withColumn("_k", F.col(key))
-        .withColumn("_b", _bucket(F.col("_us"), bucket_us))
-        .withColumn("_hit", F.when(flag, F.col("_us")))
-    )
-    carry = (
-        rows.groupBy(*_KEYS).agg(F.max("_hit").alias("_m"))
-        .select(*_KEYS, F.max("_m").over(_earlier_buckets()).alias("_carry"))
-    )
-    return (
-        _carry_join(rows.withColumn("_in", F.max("_hit").over(_earlier_rows())), carry)
-        .withColumn(name, F.coalesce("_in", "_carry"))
-        .drop("_us", "_hit", "_in", "_carry", *_KEYS)
-    )
+    """Whether ``flag`` held for the key strictly before the row and less than ``within_us`` ago."""
+    marked = _with_ghosts(df, key, us, flag, within_us).withColumn("_last", _last_hit())
+    seen = F.coalesce(F.col("_us") - F.col("_last") < within_us, F.lit(False))
+    return marked.where("_real").withColumn(name, seen).drop("_us", "_real", "_hit", "_last", *_KEYS)
 
 
-def with_previous_and_last_seen(
+def with_previous_and_seen(
     df: DataFrame, key: str, us: Column, tie: str, columns: Sequence[str], flag: Column,
-    bucket_us: int = HOUR_US,
+    within_us: int,
 ) -> DataFrame:
-    """``with_previous`` (as ``prev``) and ``with_last_seen`` (as ``last_seen_us``) in one pass."""
-    rows = (
-        df.withColumn("_us", us)
-        .withColumn("_k", F.col(key))
-        .withColumn("_b", _bucket(F.col("_us"), bucket_us))
-        .withColumn("_hit", F.when(flag, F.col("_us")))
-    )
-    payload = F.struct(*columns)
-    inside = W.partitionBy(*_KEYS).orderBy("_us", tie)
-    carry = (
-        rows.groupBy(*_KEYS)
-        .agg(
-            F.max_by(payload, F.struct("_us", tie)).alias("_tail"), F.max("_hit").alias("_m")
-        )
-        .select(
-            *_KEYS,
-            F.lag("_tail").over(W.partitionBy("_k").orderBy("_b")).alias("_carry"),
-            F.max("_m").over(_earlier_buckets()).alias("_carry_hit"),
-        )
-    )
-    marked = rows.withColumn("_lag", F.lag(payload).over(inside)).withColumn(
-        "_in", F.max("_hit").over(_earlier_rows())
-    )
-    return (
-        _carry_join(marked, carry)
-        .withColumn("prev", F.coalesce("_lag", "_carry"))
-        .withColumn("last_seen_us", F.coalesce("_in", "_carry_hit"))
-        .drop("_us", "_hit", "_lag", "_in", "_carry", "_carry_hit", *_KEYS)
+    """``with_previous`` (as ``prev``) and ``with_seen_within`` (as ``seen``) in one pass."""
+    payload = F.when(F.col("_real"), F.struct(*columns))
+    order = W.partitionBy(*_KEYS).orderBy("_us", tie)
+    along = W.partitionBy("_k").orderBy("_us", tie)
+    before = order.rowsBetween(W.unboundedPreceding, -1)
+    marked = (
+        _with_ghosts(df, key, us, flag, within_us)
+        .withColumn("_near", F.last(payload, ignorenulls=True).over(before))
+        .withColumn("_edge", F.lead(F.lit(1)).over(order).isNull())
+        .withColumn("_last", _last_hit())
+        .where("_real")
+        .withColumn("seen", F.coalesce(F.col("_us") - F.col("_last") < within_us, F.lit(False)))
+    )
+    within = marked.where(F.col("_near").isNotNull()).withColumn("prev", F.col("_near"))
+    edges = (
+        marked.where(F.col("_near").isNull() | F.col("_edge"))
+        .withColumn("prev", F.lag(payload).over(along))
+        .where(F.col("_near").isNull())
+    )
+    return within.unionByName(edges).drop("_us", "_real", "_hit", "_near", "_edge", "_last", *_KEYS)
+
+
+def _fill_from_earlier(marked: DataFrame, order: Sequence[str], running: Sequence[str]) -> DataFrame:
+    """Complete running values of a bucket with those of the buckets before it.
+
+    ``marked`` holds ``_row`` and, per row, values running within its bucket;
+    ``running`` become running values of the whole key.
+    """
+    last_in_bucket = F.lead(F.lit(1)).over(W.partitionBy(*_KEYS).orderBy(*order)).isNull()
+    # The condition on _row is always true; it keeps this branch on the columns of the other.
+    same_columns = F.col("_row").isNotNull() | F.col("_b").isNotNull()
+    tails = marked.withColumn("_tail", last_in_bucket).where(F.col("_tail") & same_columns)
+    earlier = W.partitionBy("_k").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    carry = tails.select(
+        *_KEYS, *[F.last(c, ignorenulls=True).over(earlier).alias(f"_c{c}") for c in running]
     )
+    filled = marked.where(F.col("_row").isNotNull()).join(carry, list(_KEYS), "left")
+    for c in running:
+        filled = filled.withColumn(c, F.coalesce(c, f"_c{c}"))
+    return filled
 
 
 def last_non_null(
@@ -147,60 +161,48 @@ def last_non_null(
     ``bucket`` are the leading columns of ``order`` (such as the file and block a
     row came from) that split a key into pieces of bounded size.
     """
-    rows = df.withColumn("_k", F.col(key)).withColumn("_b", F.struct(*bucket))
-    inside = W.partitionBy(*_KEYS).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    known = F.col(value).isNotNull()
-    carry = (
-        rows.groupBy(*_KEYS)
-        .agg(F.max_by(value, F.when(known, F.struct(*order))).alias("_tail"))
-        .select(*_KEYS, F.last("_tail", ignorenulls=True).over(_earlier_buckets()).alias("_carry"))
+    rows = df.select(
+        F.col(key).alias("_k"), F.struct(*bucket).alias("_b"), F.struct(*order).alias("_us"),
+        F.col(value).alias("_value"), F.struct(*df.columns).alias("_row"),
     )
-    return (
-        _carry_join(rows.withColumn("_in", F.last(value, ignorenulls=True).over(inside)), carry)
-        .withColumn(name, F.coalesce("_in", "_carry"))
-        .drop("_in", "_carry", *_KEYS)
+    inside = W.partitionBy(*_KEYS).orderBy("_us").rowsBetween(W.unboundedPreceding, 0)
+    marked = rows.withColumn("_in", F.last("_value", ignorenulls=True).over(inside))
+    return _fill_from_earlier(marked, ["_us"], ["_in"]).select("_row.*", F.col("_in").alias(name))
+
+
+def _stack(
+    left: DataFrame, right: DataFrame, by: str, left_us: Column, right_us: Column,
+    extra: Sequence[Column], bucket_us: int,
+) -> DataFrame:
+    """Both sides of a temporal join as one frame; ``_row`` holds a left row, else NULL."""
+    a = left.select(
+        F.col(by).alias("_k"), left_us.alias("_us"), F.struct(*left.columns).alias("_row")
+    )
+    b = right.where(F.col(by).isNotNull()).select(F.col(by).alias("_k"), right_us.alias("_us"), *extra)
+    return a.unionByName(b, allowMissingColumns=True).withColumn(
+        "_b", _bucket(F.col("_us"), bucket_us)
     )
 
 
 def asof_backward(
     left: DataFrame, right: DataFrame, by: str, left_us: Column, right_us: Column, tie: str,
-    columns: Sequence[str], name: str = "match", strict: bool = False, bucket_us: int = HOUR_US,
+    columns: Sequence[str], name: str = "match", bucket_us: int = HOUR_US,
 ) -> DataFrame:
-    """Attach to each left row the latest right row at or before it (``strict``: before it).
+    """Attach to each left row the latest right row at or before it.
 
     Both sides are merged and sorted once, so the work is linear in their sizes
     however many rows share a key.  Of equal right times the largest ``tie``
     wins.  Left rows without a match get a NULL struct.
     """
-    payload = F.struct(*left.columns)
     taken = F.struct(*[F.col(c) for c in columns], right_us.alias("match_us"))
-    a = left.select(
-        F.col(by).alias("_k"), left_us.alias("_us"), F.lit(0 if strict else 1).alias("_side"),
-        F.lit(None).cast("string").alias("_tie"), payload.alias("_row"),
-    )
-    b = right.where(F.col(by).isNotNull()).select(
-        F.col(by).alias("_k"), right_us.alias("_us"), F.lit(1 if strict else 0).alias("_side"),
-        F.col(tie).cast("string").alias("_tie"), taken.alias("_take"),
-    )
-    both = a.unionByName(b, allowMissingColumns=True).withColumn(
-        "_b", _bucket(F.col("_us"), bucket_us)
-    )
-    inside = W.partitionBy(*_KEYS).orderBy("_us", "_side", "_tie").rowsBetween(
-        W.unboundedPreceding, 0
-    )
-    carry = (
-        both.groupBy(*_KEYS)
-        .agg(
-            F.max_by("_take", F.when(F.col("_take").isNotNull(), F.struct("_us", "_tie"))).alias(
-                "_tail"
-            )
-        )
-        .select(*_KEYS, F.last("_tail", ignorenulls=True).over(_earlier_buckets()).alias("_carry"))
-    )
-    seen = both.withColumn("_in", F.last("_take", ignorenulls=True).over(inside)).where(
-        F.col("_row").isNotNull()
-    )
-    return _carry_join(seen, carry).select("_row.*", F.coalesce("_in", "_carry").alias(name))
+    both = _stack(
+        left, right, by, left_us, right_us,
+        [F.col(tie).cast("string").alias("_tie"), taken.alias("_take")], bucket_us,
+    ).withColumn("_side", F.col("_row").isNotNull().cast("int"))
+    order = ["_us", "_side", "_tie"]
+    inside = W.partitionBy(*_KEYS).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    marked = both.withColumn("_in", F.last("_take", ignorenulls=True).over(inside))
+    return _fill_from_earlier(marked, order, ["_in"]).select("_row.*", F.col("_in").alias(name))
 
 
 def latest_per_channel(
@@ -209,31 +211,20 @@ def latest_per_channel(
 ) -> DataFrame:
     """For each left row and channel, the largest channel value among right rows at or before it.
 
-    ``channels`` maps output names to expressions on ``right``, NULL where a row
-    does not belong to the channel.  All channels share one sort of both sides.
+    ``channels`` maps output names to expressions on ``right`` that do not fall
+    over time, NULL where a row does not belong to the channel.  All channels
+    share one sort of both sides.
     """
     names = list(channels)
-    a = left.select(
-        F.col(by).alias("_k"), left_us.alias("_us"), F.struct(*left.columns).alias("_row")
-    )
-    b = right.where(F.col(by).isNotNull()).select(
-        F.col(by).alias("_k"), right_us.alias("_us"), *[c.alias(n) for n, c in channels.items()]
-    )
-    both = a.unionByName(b, allowMissingColumns=True).withColumn(
-        "_b", _bucket(F.col("_us"), bucket_us)
-    )
+    values = [c.alias(f"_v_{n}") for n, c in channels.items()]
+    both = _stack(left, right, by, left_us, right_us, values, bucket_us)
     # A range frame includes right rows of the same instant wherever they sort.
     inside = W.partitionBy(*_KEYS).orderBy("_us").rangeBetween(W.unboundedPreceding, 0)
-    carry = (
-        both.groupBy(*_KEYS).agg(*[F.max(n).alias(n) for n in names])
-        .select(*_KEYS, *[F.max(n).over(_earlier_buckets()).alias(f"_c_{n}") for n in names])
-    )
-    seen = both.select(
-        *_KEYS, "_row", *[F.max(n).over(inside).alias(f"_in_{n}") for n in names]
-    ).where(F.col("_row").isNotNull())
-    return _carry_join(seen, carry).select(
-        "_row.*", *[F.greatest(f"_in_{n}", f"_c_{n}").alias(n) for n in names]
-    )
+    marked = both
+    for n in names:
+        marked = marked.withColumn(f"_in_{n}", F.max(f"_v_{n}").over(inside))
+    filled = _fill_from_earlier(marked, ["_us"], [f"_in_{n}" for n in names])
+    return filled.select("_row.*", *[F.col(f"_in_{n}").alias(n) for n in names])
 
 
 def band_join(

@@ -20,6 +20,8 @@ def build_session(cores: str | int = "*", shuffle_partitions: int | None = None)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.ui.enabled", "false")
+        # Call-site capture makes every Column operation a slow round trip.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", os.environ.get("USAGELOOM_DRIVER_MEMORY", "8g"))
         .config(
             "spark.sql.streaming.stateStore.providerClass",

@@ -282,7 +282,7 @@ class DriverLedger:
     def cost(self) -> DataFrame:
         from usageloom.operators.pricing import cost_requests
 
-        return cost_requests(self.request, self.price, self.price_tool)
+        return cost_requests(self.request, self.price, self.price_tool, inline=True)
 
 
 _ORDER_US = "1704067200000000 + (o_orderkey % 2900) * 900000000"

@@ -35,10 +35,10 @@ class _CarryPrompt(StatefulProcessor):
             if row.is_user:
                 prompt = own or prompt
             else:
-                out.append((row.request_id, own or prompt))
+                out.append((row.request_id, row.ord, own or prompt))
         if prompt is not None:
             self.current.update((prompt,))
-        yield pd.DataFrame(out, columns=["request_id", "prompt_id"])
+        yield pd.DataFrame(out, columns=["request_id", "ord", "prompt_id"])
 
     def close(self) -> None:
         pass
@@ -50,7 +50,7 @@ def carry_prompt_stream(records: DataFrame) -> DataFrame:
     ``records``: lineage_id, ord (arrival order), is_user, own_prompt, request_id.
     """
     return records.groupBy("lineage_id").transformWithStateInPandas(
-        _CarryPrompt(), "request_id string, prompt_id string", "append", "none"
+        _CarryPrompt(), "request_id string, ord bigint, prompt_id string", "append", "none"
     )
 
 
@@ -117,7 +117,7 @@ def inflight_stream(hooks: DataFrame) -> DataFrame:
         F.col("kind").isin("UserPromptSubmit", "Stop", "statusline_sample")
     ).select("session_id", "kind", micros("ts").alias("us"), "total_cost_usd")
     return rows.groupBy("session_id").transformWithStateInPandas(
-        _Inflight(), "session_id string, prompt_us bigint, is_open boolean, inflight_usd double", "update", "none"
+        _Inflight(), "session_id string, prompt_us bigint, is_open boolean, inflight_usd double", "append", "none"
     )
 
 
@@ -126,7 +126,7 @@ class _CacheState(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("c", "kind string, anchor_us bigint, context_tok bigint")
+        self.state = handle.getValueState("c", "kind string, write_us bigint, anchor_us bigint, context_tok bigint")
 
     @staticmethod
     def _expiry(kind: str, anchor_us: int) -> int:
@@ -134,15 +134,16 @@ class _CacheState(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         kept = self.state.get()
-        kind, anchor, context = kept if kept else ("unknown", None, 0)
+        kind, written, anchor, context = kept if kept else ("unknown", None, None, 0)
         old = self._expiry(kind, anchor) if anchor is not None else None
         for row in _in_order(rows, "us").itertuples(index=False):
             context = int(row.context_tok)
             if row.w5m or row.w1h:
                 kind = "mixed" if row.w5m and row.w1h else ("1h" if row.w1h else "5m")
-            if kind != "unknown" and row.touched:
-                anchor = int(row.us)
-        self.state.update((kind, anchor, context))
+                written = int(row.us)
+            if kind != "unknown":
+                anchor = int(row.us) if row.touched else written
+        self.state.update((kind, written, anchor, context))
         expires = self._expiry(kind, anchor) if anchor is not None else None
         if old is not None and old != expires:
             self.handle.deleteTimer(old // 1000)
@@ -151,7 +152,7 @@ class _CacheState(StatefulProcessor):
         yield self._row(key, "live" if expires is not None else "none", kind, context, expires)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        kind, anchor, context = self.state.get()
+        kind, _, anchor, context = self.state.get()
         yield self._row(key, "expired", kind, context, self._expiry(kind, anchor))
 
     @staticmethod
