@@ -28,7 +28,7 @@ def stream_lines(spark: SparkSession, root: str, glob: str, max_files: int = 100
         spark.readStream.option("recursiveFileLookup", True)
         .option("pathGlobFilter", glob).option("maxFilesPerTrigger", max_files)
     )
-    return reader.text(root).select(
+    return reader.text(root).where(F.length(F.trim("value")) > 0).select(
         relative_path(F.col("_metadata.file_path"), root).alias("path"),
         F.col("_metadata.file_block_start").alias("block"), "value",
     )
