@@ -90,7 +90,7 @@ def test_view_ledger_values(spark):
     p = price(spark, dict(model="a"))
     rows = requests(
         spark,
-        dict(request_id="r1", session_id="s1", prompt_id="p1", input_tok=100_000, output_tok=10, cache_read_tok=50_000, cache_w5m_tok=100, cache_w1h_tok=10),
+        dict(request_id="r1", session_id="s1", prompt_id="p1", input_tok=100_000, output_tok=10, cache_read_tok=100_000, cache_w5m_tok=100, cache_w1h_tok=10),
         dict(request_id="r2", session_id="s2", prompt_id="p2", input_tok=200_000, output_tok=20, cache_read_tok=50_000, cache_w5m_tok=200, cache_w1h_tok=20),
     )
     cost = cost_requests(rows, p, tools(spark, dict(tool="t", usd_per_unit=1.0)))

@@ -54,8 +54,8 @@ generate_series(1, n) g(j) WHERE valid"""
 
 @query("t02_normalize_usage", with_tables("base", extra=EV + (("u", USAGE),)) + "SELECT * EXCLUDE (id, j) FROM u")
 def _(L):
-    out = M.normalize_usage(I.parse(RL.transcript_lines(L)).good.withColumn("prompt_id", F.lit(None).cast("string")))
-    return out.withColumn("us", us("ts")).drop("ts", "seq", "prompt_id", "service_tier", "speed", "geo")
+    out = M.normalize_usage(parsed(L).good)
+    return out.withColumn("us", us("ts")).drop("ts", "seq", "service_tier", "speed", "geo")
 
 
 CARRY = """SELECT id, last_value(CASE WHEN has_cut OR has_ask THEN pid END IGNORE NULLS) OVER (PARTITION BY lineage_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND
@@ -109,7 +109,7 @@ result_us, CASE WHEN valid AND id % 4 = 0 THEN concat('/f', tid) END AS file_pat
 lines_changed, CASE WHEN id % 10 <> 0 AND id % 18 = 4 THEN concat('wf_', CAST(id % 5 AS STRING)) END AS workflow_run_id FROM ep WHERE id % 2 = 0""")
 def _(L):
     p = parsed(L)
-    out = M.merge_tool_calls(M.tool_uses(p.carried), M.tool_results(p.good))
+    out = M.merge_tool_calls(M.tool_uses(p.good), M.tool_results(p.good))
     return out.withColumn("us", us("ts")).withColumn("result_us", us("result_ts")).drop("ts", "result_ts")
 
 
@@ -150,7 +150,7 @@ def _(L):
 parent_tool_use_id FROM ag LEFT JOIN fc USING (workflow_run_id)""")
 def _(L):
     p = parsed(L)
-    tools = M.merge_tool_calls(M.tool_uses(p.carried), M.tool_results(p.good))
+    tools = M.merge_tool_calls(M.tool_uses(p.good), M.tool_results(p.good))
     return M.merge_agents(M.spawn_results(p.good), S.read_agent_meta(RL.sidecar_files(L))[0], tools)
 
 

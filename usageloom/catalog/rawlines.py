@@ -114,7 +114,8 @@ _PARTS = (
 
 def transcript_lines(L: DriverLedger) -> DataFrame:
     """Lines with the path they would be stored under and their arrival order."""
-    events = L.base.selectExpr(*[f"{e} AS {n}" for n, e in EVENT.items()]).selectExpr(
+    # The driver's table is a single row group: spread its events before they become text.
+    events = L.base.repartition("id").selectExpr(*[f"{e} AS {n}" for n, e in EVENT.items()]).selectExpr(
         "*",
         "CASE WHEN hexid IS NULL THEN concat('proj-', CAST(usr AS STRING), '/', sess, '.jsonl') ELSE concat('proj-', "
         "CAST(usr AS STRING), '/', sess, '/subagents/agent-', hexid, '.jsonl') END AS path",

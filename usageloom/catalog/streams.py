@@ -17,8 +17,7 @@ _DAY = 86_400_000_000
 
 def usage_stream(L):
     parsed = S.parse_records(RL.transcript_lines(L.streaming()))
-    good = parsed.where(F.col("reason").isNull()).withColumn("prompt_id", F.lit(None).cast("string"))
-    return M.normalize_usage(good)
+    return M.normalize_usage(parsed.where(F.col("reason").isNull()))
 
 
 @query("r11_stream_daily", with_tables("cost") + f"""SELECT day_us, count(*) AS n_requests, round(sum(cost_usd), 8) AS cost_usd FROM (SELECT cost_usd, CAST(floor((us - 54000000000) / 86400e6)

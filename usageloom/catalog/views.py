@@ -273,7 +273,7 @@ def _overview(L):
                              f"{between(W7.previous())})::DOUBLE AS p" for n, e in _K.items())),
 )) + """SELECT kpi, round(c, 8) AS "current", round(p, 8) AS previous, round(CASE WHEN p <> 0 THEN (c - p) / p * 100 END, 6) AS change_pct FROM k""")
 def _(L):
-    return rounded(_overview(L)["kpis"], current=8, previous=8, change_pct=6)
+    return rounded(O.kpis(L.cost, L.session, W7, TZ), current=8, previous=8, change_pct=6)
 
 
 @query("a28_overview_daily", with_tables("cost") + f"""SELECT s.day, round(CASE WHEN c.n IS NULL THEN 0 ELSE c.cost END, 8) AS cost_usd,

@@ -26,28 +26,34 @@ def last_known(c: str | Column, order: str | Column) -> Column:
     return F.max_by(c, F.when(c.isNotNull(), F.col(order) if isinstance(order, str) else order))
 
 
-def carry_prompt(records: DataFrame) -> DataFrame:
-    """Add ``prompt_id``: the record's own, else the last one a user record named on its lineage (T-09).
+def own_prompt() -> Column:
+    return F.nullif(F.col("rec.promptId"), F.lit(""))
 
-    Order is arrival order.  A lineage is cut at file blocks, so no task sees
-    more than one block of it.
+
+def named_prompt() -> Column:
+    """Prompt id that a user record announces to its lineage."""
+    return F.when(F.col("rec.type") == "user", own_prompt())
+
+
+def carry_prompt(rows: DataFrame) -> DataFrame:
+    """Add ``prompt_id``: the row's own, else the last one named before it on its lineage (T-09).
+
+    ``rows`` has lineage_id, seq, own_prompt and named_prompt, and only those
+    further columns that are needed afterwards: all of them are shuffled.  Order
+    is arrival order.  A lineage is cut at file blocks, so no task sees more
+    than one block of it.
     """
-    own = F.nullif(F.col("rec.promptId"), F.lit(""))
-    marked = (
-        records.withColumn("_named", F.when(F.col("rec.type") == "user", own))
-        .withColumn("_path", F.col("seq.path"))
-        .withColumn("_block", F.col("seq.block"))
-    )
+    marked = rows.withColumn("_path", F.col("seq.path")).withColumn("_block", F.col("seq.block"))
     filled = last_non_null(
-        marked, "lineage_id", ("seq",), ("_path", "_block"), "_named", "_carried"
+        marked, "lineage_id", ("seq",), ("_path", "_block"), "named_prompt", "_carried"
     )
-    return filled.withColumn("prompt_id", F.coalesce(own, "_carried")).drop(
-        "_named", "_carried", "_path", "_block"
+    return filled.withColumn("prompt_id", F.coalesce("own_prompt", "_carried")).drop(
+        "own_prompt", "named_prompt", "_carried", "_path", "_block"
     )
 
 
-def normalize_usage(records: DataFrame) -> DataFrame:
-    """Request columns of assistant records (T-02).
+def usage_columns() -> list[Column]:
+    """Request columns of an assistant record (T-02).
 
     Without a split by lifetime all cache creation counts as one-hour writes.
     """
@@ -56,28 +62,45 @@ def normalize_usage(records: DataFrame) -> DataFrame:
         u + "cache_creation.ephemeral_1h_input_tokens"
     )
     unsplit = w5m.isNull() & w1h.isNull()
-    tools = F.col(u + "server_tool_use")
     model = F.col("rec.message.model")
     synthetic = F.coalesce(model == "<synthetic>", F.lit(False)) | F.coalesce(
         F.col("rec.isApiErrorMessage"), F.lit(False)
     )
-    return records.where(F.col("rec.type") == "assistant").select(
-        "seq", "path", "request_id",
+    return [
+        F.col("seq"), F.col("path"), F.col("request_id"),
         F.col("rec.message.id").alias("message_id"),
-        "session_id", "agent_id", "lineage_id", "prompt_id", "ts",
+        F.col("session_id"), F.col("agent_id"), F.col("lineage_id"), F.col("ts"),
         normalize_model(model).alias("model"),
         nz(u + "input_tokens").alias("input_tok"),
         nz(u + "output_tokens").alias("output_tok"),
         nz(u + "cache_read_input_tokens").alias("cache_read_tok"),
         F.when(unsplit, F.lit(0)).otherwise(nz(w5m)).cast("bigint").alias("cache_w5m_tok"),
         F.when(unsplit, nz(u + "cache_creation_input_tokens")).otherwise(nz(w1h)).cast("bigint").alias("cache_w1h_tok"),
-        F.nullif(F.to_json(tools), F.lit("{}")).alias("server_tool_use"),
+        F.nullif(F.to_json(u + "server_tool_use"), F.lit("{}")).alias("server_tool_use"),
         F.col(u + "service_tier").alias("service_tier"),
         F.col(u + "speed").alias("speed"),
         F.col(u + "inference_geo").alias("geo"),
         F.col("rec.message.stop_reason").alias("stop_reason"),
         synthetic.cast("int").alias("is_synthetic"),
+    ]
+
+
+def normalize_usage(records: DataFrame) -> DataFrame:
+    """Usage rows of assistant records, without a prompt (T-02)."""
+    return records.where(F.col("rec.type") == "assistant").select(*usage_columns())
+
+
+def carried_usage(records: DataFrame) -> DataFrame:
+    """Usage rows with the prompt they belong to (T-02, T-09).
+
+    Contents are dropped first; user records take part only if they name a prompt.
+    """
+    is_use = F.col("rec.type") == "assistant"
+    rows = records.where(is_use | named_prompt().isNotNull()).select(
+        *usage_columns(), own_prompt().alias("own_prompt"), named_prompt().alias("named_prompt"),
+        is_use.alias("_use"),
     )
+    return carry_prompt(rows).where("_use").drop("_use")
 
 
 FIRST_COLUMNS = (
@@ -220,17 +243,31 @@ def tool_change_lines(name: Column, tool_input: Column) -> Column:
 
 
 def tool_uses(records: DataFrame) -> DataFrame:
-    """Calls: the tool_use blocks of assistant records."""
-    blocks = records.where(F.col("rec.type") == "assistant").select(
-        "seq", "request_id", "session_id", "agent_id", "prompt_id", "ts",
-        F.posexplode(content_blocks()).alias("pos", "b"),
-    )
-    calls = blocks.where((F.col("b.type") == "tool_use") & (F.coalesce("b.id", F.lit("")) != ""))
-    change = tool_change_lines(F.col("b.name"), F.col("b.input"))
-    return calls.select(
-        F.col("b.id").alias("tool_use_id"), F.struct("seq", "pos").alias("ord"),
-        "request_id", "session_id", "agent_id", "prompt_id", F.col("b.name").alias("name"), "ts",
-        change["file_path"].alias("file_path"), change["lines_changed"].alias("lines_changed"),
+    """Calls: the tool_use blocks of assistant records, with the prompt carried to them.
+
+    A block is reduced to the call's name and change before it is shuffled.
+    """
+    is_use = F.col("rec.type") == "assistant"
+
+    def call(b: Column, pos: Column) -> Column:
+        change = tool_change_lines(b["name"], b["input"])
+        return F.when(
+            (b["type"] == "tool_use") & (F.coalesce(b["id"], F.lit("")) != ""),
+            F.struct(
+                b["id"].alias("id"), b["name"].alias("name"), pos.alias("pos"),
+                change["file_path"].alias("file_path"), change["lines_changed"].alias("lines_changed"),
+            ),
+        )
+
+    calls = F.filter(F.transform(content_blocks(), call), lambda c: c.isNotNull())
+    rows = records.select(
+        "seq", "request_id", "session_id", "agent_id", "lineage_id", "ts",
+        own_prompt().alias("own_prompt"), named_prompt().alias("named_prompt"),
+        F.when(is_use, calls).alias("calls"),
+    ).where(F.col("named_prompt").isNotNull() | (F.size("calls") > 0))
+    return carry_prompt(rows).withColumn("b", F.explode("calls")).select(
+        F.col("b.id").alias("tool_use_id"), F.struct("seq", "b.pos").alias("ord"),
+        "request_id", "session_id", "agent_id", "prompt_id", "b.name", "ts", "b.file_path", "b.lines_changed",
     )
 
 

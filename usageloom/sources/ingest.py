@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from usageloom.fixed_values import SECRET_PATTERNS
 from usageloom.operators import merge as M
@@ -21,15 +21,13 @@ class Parsed:
     parsed: DataFrame
     good: DataFrame
     bad: DataFrame
-    carried: DataFrame
     usage: DataFrame
 
 
 def parse(raw: DataFrame, patterns=SECRET_PATTERNS) -> Parsed:
     parsed = parse_records(raw)
     good, bad = quarantine_split(parsed, patterns)
-    carried = M.carry_prompt(good)
-    return Parsed(parsed, good, bad, carried, M.normalize_usage(carried))
+    return Parsed(parsed, good, bad, M.carried_usage(good))
 
 
 def merged_requests(p: Parsed) -> DataFrame:
@@ -51,7 +49,7 @@ def build_ledger(
         else spark.createDataFrame([], "agent_id string, session_id string, agent_type string, "
                                    "parent_tool_use_id string, spawn_depth bigint, workflow_run_id string, path string")
     )
-    tools = M.merge_tool_calls(M.tool_uses(p.carried), M.tool_results(p.good))
+    tools = M.merge_tool_calls(M.tool_uses(p.good), M.tool_results(p.good))
     agents = M.merge_agents(M.spawn_results(p.good), meta, tools)
     prompts = M.extract_prompts(p.good, patterns)
     requests, tools = causal_attribution(merged_requests(p), tools, agents, prompts)
