@@ -4,12 +4,10 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import functions as F
-
-from usageloom.catalog.cache import EXTRA, WITH_PRICED, breaks_of, priced_breaks_of
+from usageloom.catalog.cache import EXTRA, breaks_of, priced_breaks_of
 from usageloom.catalog.registry import query, rounded, us
 from usageloom.catalog.rollups import (
-    CTX, LOCAL_DAY, PARTS, PROMPT_COST, SESSION_ROLLUP, TZ, W14, between, dominant_sql, scoped,
+    CTX, LOCAL_DAY, PARTS, TZ, W14, between, scoped,
 )
 from usageloom.model import Window
 from usageloom.operators import rollups as A

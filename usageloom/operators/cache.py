@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from usageloom.fixed_values import CAUSES
-from usageloom.functions.scalar import local_day, micros, model_family, nz, seconds, share
+from usageloom.functions.scalar import local_day, micros, model_family, nz, share
 from usageloom.operators.pricing import join_project
 from usageloom.operators.temporal import (
     latest_per_channel, with_previous_and_seen, with_seen_within,
