@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from usageloom.llm.langid import op9_language_id
+from usageloom.llm.mixing import op2_mix_sources
+from usageloom.llm.packing import op8_best_fit_packing
 from usageloom.llm.tokencount import op1_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_counts,
+        op2_mix_sources,
+        op8_best_fit_packing,
         op9_language_id,
     )
 }
