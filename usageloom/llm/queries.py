@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from usageloom.llm.exactdedup import OP5_SQL, op5_exact_dedup
 from usageloom.llm.langid import op9_language_id
 from usageloom.llm.mixing import op2_mix_sources
 from usageloom.llm.packing import op8_best_fit_packing
@@ -16,8 +17,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_token_counts,
         op2_mix_sources,
+        op5_exact_dedup,
         op8_best_fit_packing,
         op9_language_id,
     )
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op5_exact_dedup": OP5_SQL}
