@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from usageloom.llm.exactdedup import OP5_SQL, op5_exact_dedup
 from usageloom.llm.langid import op9_language_id
 from usageloom.llm.mixing import op2_mix_sources
+from usageloom.llm.neighbours import op7_nearest_neighbours
 from usageloom.llm.packing import op8_best_fit_packing
 from usageloom.llm.tokencount import op1_token_counts
 
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_token_counts,
         op2_mix_sources,
         op5_exact_dedup,
+        op7_nearest_neighbours,
         op8_best_fit_packing,
         op9_language_id,
     )
