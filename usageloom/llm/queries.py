@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from usageloom.llm.exactdedup import OP5_SQL, op5_exact_dedup
 from usageloom.llm.langid import op9_language_id
+from usageloom.llm.linededup import OP4_SQL, op4_line_dedup
 from usageloom.llm.mixing import op2_mix_sources
 from usageloom.llm.neighbours import op7_nearest_neighbours
 from usageloom.llm.packing import op8_best_fit_packing
@@ -18,10 +19,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_token_counts,
         op2_mix_sources,
+        op4_line_dedup,
         op5_exact_dedup,
         op7_nearest_neighbours,
         op8_best_fit_packing,
         op9_language_id,
     )
 }
-SQL: dict[str, str] = {"op5_exact_dedup": OP5_SQL}
+SQL: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op5_exact_dedup": OP5_SQL}
