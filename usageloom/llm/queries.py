@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from usageloom.llm.exactdedup import OP5_SQL, op5_exact_dedup
+from usageloom.llm.jaccard import op10_ngram_jaccard_join
 from usageloom.llm.langid import op9_language_id
 from usageloom.llm.linededup import OP4_SQL, op4_line_dedup
 from usageloom.llm.mixing import op2_mix_sources
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_nearest_neighbours,
         op8_best_fit_packing,
         op9_language_id,
+        op10_ngram_jaccard_join,
     )
 }
 SQL: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op5_exact_dedup": OP5_SQL}
