@@ -13,6 +13,7 @@ from usageloom.llm.linededup import OP4_SQL, op4_line_dedup
 from usageloom.llm.mixing import op2_mix_sources
 from usageloom.llm.neighbours import op7_nearest_neighbours
 from usageloom.llm.packing import op8_best_fit_packing
+from usageloom.llm.quality import op6_quality_crf
 from usageloom.llm.tokencount import op1_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_mix_sources,
         op4_line_dedup,
         op5_exact_dedup,
+        op6_quality_crf,
         op7_nearest_neighbours,
         op8_best_fit_packing,
         op9_language_id,
