@@ -144,7 +144,7 @@ def score_texts(model: LanguageModel, texts: list[str | None]) -> tuple[list[str
 
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """Add ``lang_pred`` and ``lang_score`` to every row; only ``text`` is looked at."""
+    """Add ``lang_pred`` and ``lang_score`` to every row (replacing such columns); only ``text`` is looked at."""
     known = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, lang_score double")
@@ -152,8 +152,8 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
         names, share = score_texts(known.value, texts.tolist())
         return pd.DataFrame({"lang_pred": names, "lang_score": share})
 
-    out = docs.withColumn("_scored", scored(F.col("text")))
-    return out.select(*[docs[c] for c in docs.columns], "_scored.lang_pred", "_scored.lang_score")
+    rest = F.struct(*[c for c in docs.columns if c not in ("lang_pred", "lang_score")])
+    return docs.select(rest.alias("_rest"), scored(F.col("text")).alias("_scored")).select("_rest.*", "_scored.*")
 
 
 def held_out() -> Column:

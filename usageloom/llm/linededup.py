@@ -48,18 +48,22 @@ def _chunk(ends: Column, number: Column) -> Column:
     return F.slice("_lines", first + 1, F.get(ends, number) - first + 1)
 
 
+ADDED = ("n_lines", "removed_lines", "removed_chunks")
+
+
 def dedup_lines(docs: DataFrame, window: int = 2, every: int = 3, min_lines: int = 2) -> DataFrame:
     """Rows and columns of ``docs`` (``doc_id``, ``text`` and others) with repeated chunks cut out of ``text``.
 
     Of chunks with the same text and at least ``min_lines`` lines that are not
     empty, the first by (doc_id, place in the text) stays; a null id is before
-    all others.  Adds ``n_lines``, ``removed_lines`` and ``removed_chunks``.
+    all others.  Adds ``n_lines``, ``removed_lines`` and ``removed_chunks`` (columns
+    of these names are replaced).
     Null texts stay null; a text of repeated chunks only becomes empty.  Rows
     that repeat both id and text count as one and share their fate.  Long texts
     cost time in proportion to their lines.
     """
-    own = [c for c in docs.columns if c != "text"]
-    keyed = docs.withColumn("_text_hash", F.xxhash64("text"))
+    own = [c for c in docs.columns if c not in ("text", *ADDED)]
+    keyed = docs.select(F.struct(*own).alias("_rest"), "doc_id", "text", F.xxhash64("text").alias("_text_hash"))
     chunked = _with_chunks(keyed.where(F.col("text").isNotNull()).select(F.col("doc_id").alias("_id"), "_text_hash", "text"), window, every)
     each = chunked.select("_id", "_text_hash", "_lines", "_ends", F.explode(F.sequence(F.lit(0), F.size("_ends") - 1)).alias("_at"))
     lined = each.select("_id", "_text_hash", "_at", _chunk(F.col("_ends"), F.col("_at")).alias("_own"))
@@ -74,13 +78,13 @@ def dedup_lines(docs: DataFrame, window: int = 2, every: int = 3, min_lines: int
     dropped = cut_lineage(later.groupBy("_id", "_text_hash").agg(F.collect_set("_at").alias("_dropped")))
 
     found = keyed.join(dropped, F.col("doc_id").eqNullSafe(F.col("_id")) & (keyed["_text_hash"] == dropped["_text_hash"]), "left")
-    found = found.select(*[keyed[c] for c in own], keyed["text"], "_dropped")
+    found = found.select("_rest", "text", "_dropped")
     hit = _with_chunks(found, window, every)
     numbers = F.sequence(F.lit(0), F.size("_ends") - 1)
     kept = F.array_except(numbers, "_dropped")
     text = F.array_join(F.flatten(F.transform(kept, lambda at: _chunk(F.col("_ends"), at))), "\n")
     gone = F.aggregate(F.transform("_dropped", lambda at: F.size(_chunk(F.col("_ends"), at))), F.lit(0), lambda a, b: a + b)
-    return hit.select(*own, F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(text).alias("text"),
+    return hit.select("_rest.*", F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(text).alias("text"),
                       F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines")).cast("long").alias("n_lines"),
                       F.coalesce(gone, F.lit(0)).cast("long").alias("removed_lines"),
                       F.coalesce(F.when(F.col("_dropped").isNotNull(), F.size("_dropped")), F.lit(0)).cast("long").alias("removed_chunks"))

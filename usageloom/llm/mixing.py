@@ -116,27 +116,33 @@ def _plan_source(rows: pd.DataFrame) -> pd.DataFrame:
     return rows[["source", "length", "n", "n_more", "copies", "source_size", "target"]]
 
 
+ADDED = ("source_size", "target", "times", "taken")
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 0,
         bucket_rows: int = 50_000) -> DataFrame:
-    """Per row of ``docs`` (``doc_id``, ``source``, ``size``): what the mix takes of it.
-
-    Returns ``doc_id, source, size, source_size, target, times, taken``; ``times``
-    is how often the document goes in (0 up to ``most``), ``taken`` its words.
-    Null sources are a source of their own, documents without words take no
-    part (0), rows of equal (doc_id, size) are interchangeable.  A histogram has
-    at most one row per distinct length of a source (their number is below the
-    root of twice its words), so a task gets a bounded group even of a hot source.
+    """Add to each row of ``docs`` (``doc_id``, ``source``, ``size``, others) what the mix takes of it.
+
+    Adds ``source_size, target, times, taken`` (columns of these names are
+    replaced); ``times`` is how often the document goes in (0 up to ``most``),
+    ``taken`` its words.  Null sources are a source of their own, documents
+    without words take no part (0), rows of equal (doc_id, size) are
+    interchangeable.  A histogram has at most one row per distinct length of a
+    source (their number is below the root of twice its words), so a task gets a
+    bounded group even of a hot source.
     """
-    docs = docs.select("doc_id", "source", "size")
-    histogram = cut_lineage(docs.groupBy("source", F.col("size").alias("length")).agg(F.count("*").alias("n")))
+    own = [c for c in docs.columns if c not in ADDED]
+    rest = F.struct(*[F.col(c) for c in own]) if own else F.struct()
+    slim = docs.select("doc_id", "source", "size", rest.alias("_rest"))
+    histogram = cut_lineage(slim.groupBy("source", F.col("size").alias("length")).agg(F.count("*").alias("n")))
     targets = source_targets(histogram, weights, share, most)
     both = histogram.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     planned = both.groupBy("source").applyInPandas(_plan_source, PLAN)
     keyed = lambda df: df.select("*", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("_key"))  # noqa: E731  null has a key too
     counts = cut_lineage(keyed(planned).drop("source").withColumnRenamed("length", "size"))
-    ranked = rank_within(keyed(docs), ["_key", "size"], ["doc_id"], counts, seed, bucket_rows)
+    ranked = rank_within(keyed(slim), ["_key", "size"], ["doc_id"], counts, seed, bucket_rows)
     times = F.when(F.col("size") > 0, F.col("copies") + (F.col("rank") < F.col("n_more")).cast("int")).otherwise(0)
-    return ranked.select("doc_id", "source", "size", "source_size", "target", times.alias("times"), (times * F.col("size")).cast("long").alias("taken"))
+    return ranked.select("_rest.*", "source_size", "target", times.alias("times"), (times * F.col("size")).cast("long").alias("taken"))
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

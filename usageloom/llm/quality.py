@@ -238,7 +238,7 @@ def train(labelled: DataFrame, max_documents: int = 6_000, max_lines: int = 500)
 
 
 def score(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """Add ``quality_score`` (0 to 1) to every row; only ``text`` is looked at.
+    """Add ``quality_score`` (0 to 1) to every row (replacing such a column); only ``text`` is looked at.
 
     Null and empty texts are scored as one empty line, texts of any length whole.
     """
@@ -257,7 +257,7 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
             out.append(known.value.documents(*line_features(batch)))
         return pd.Series(np.concatenate(out)[:len(texts)])
 
-    return docs.select(*[docs[c] for c in docs.columns], scored(docs["text"]).alias("quality_score"))
+    return docs.select(*[docs[c] for c in docs.columns if c != "quality_score"], scored(docs["text"]).alias("quality_score"))
 
 
 def held_out() -> Column:

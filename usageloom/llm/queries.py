@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from usageloom.llm.exactdedup import OP5_SQL, op5_exact_dedup
 from usageloom.llm.jaccard import op10_ngram_jaccard_join
 from usageloom.llm.langid import op9_language_id
+from usageloom.llm.licenses import op3_license_scan
 from usageloom.llm.linededup import OP4_SQL, op4_line_dedup
 from usageloom.llm.mixing import op2_mix_sources
 from usageloom.llm.neighbours import op7_nearest_neighbours
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_token_counts,
         op2_mix_sources,
+        op3_license_scan,
         op4_line_dedup,
         op5_exact_dedup,
         op6_quality_crf,
