@@ -23,29 +23,42 @@ def _line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line.cast("binary")), 1, 7), 16, 10).cast("long")
 
 
-def _with_chunks(docs: DataFrame, window: int, every: int) -> DataFrame:
-    """Add ``_lines`` and ``_ends``: the places (from 0) of lines that end a chunk."""
-    lined = docs.withColumn("_lines", F.split("text", "\n", -1))
-    hashed = lined.withColumn("_hashes", F.transform("_lines", _line_hash))
+def _chunks(text: Column, window: int, every: int) -> Column:
+    """The chunks of a text, its lines written with an ``x`` before each.
+
+    No line is empty then, so an empty line after each last line of a chunk
+    (but the text's last one) makes one split of the whole text give its
+    chunks: every step takes time in proportion to the text.
+    """
+    lines = F.split(text, "\n", -1)
+    hashes = F.transform(lines, _line_hash)
+    rolled = hashes
+    for back in range(1, window):
+        factor = F.lit(pow(_FACTOR, back, _MODULUS) % 1_000_000_007)
+        earlier = F.concat(F.array_repeat(F.lit(0).cast("long"), back), hashes)
+        rolled = F.zip_with(rolled, earlier, _rolling(factor))
+    marked = F.zip_with(lines, rolled, lambda line, r: F.concat(F.lit("x"), line, F.when(r % every == 0, "\n").otherwise("")))
+    return F.split(F.rtrim(F.array_join(marked, "\n"), F.lit("\n")), "\n\n", -1)
+
+
+def _rolling(factor: Column):
+    return lambda total, h: (total + h * factor) % _MODULUS
+
+
+def _plain(written: Column) -> Column:
+    """Lines as they were."""
+    return F.substring(F.replace(written, F.lit("\nx"), F.lit("\n")), 2, 2_147_483_647)
 
-    def rolled(last: Column, at: Column) -> Column:
-        total = last
-        for back in range(1, window):
-            earlier = F.coalesce(F.get("_hashes", at - back), F.lit(0))
-            total = total + earlier * F.lit(pow(_FACTOR, back, _MODULUS) % 1_000_000_007)
-            total = total % _MODULUS
-        return total % every
 
-    marked = hashed.withColumn("_marks", F.transform("_hashes", rolled))
-    last = F.size("_lines") - 1
-    ends = F.filter(F.sequence(F.lit(0), last), lambda at: (F.get("_marks", at) == 0) | (at == last))
-    return marked.withColumn("_ends", ends).drop("_hashes", "_marks")
+def _n_lines(text: Column) -> Column:
+    return F.length(text) - F.length(F.translate(text, "\n", "")) + 1
 
 
-def _chunk(ends: Column, number: Column) -> Column:
-    """The lines of one chunk."""
-    first = F.when(number > 0, F.get(ends, number - 1) + 1).otherwise(0)
-    return F.slice("_lines", first + 1, F.get(ends, number) - first + 1)
+def _is_in(numbers: Column, some: Column) -> Column:
+    """For each of ``numbers`` (sorted) whether it is among ``some``: both are sorted together, a mark before its number."""
+    both = F.array_sort(F.concat(F.transform(numbers, lambda n: n * 2), F.transform(some, lambda n: n * 2 - 1)))
+    flags = F.zip_with(both, F.concat(F.array(F.lit(-2)), both), lambda n, before: F.when(n % 2 == 0, before == n - 1))
+    return F.filter(flags, lambda flag: flag.isNotNull())
 
 
 ADDED = ("n_lines", "removed_lines", "removed_chunks")
@@ -57,37 +70,37 @@ def dedup_lines(docs: DataFrame, window: int = 2, every: int = 3, min_lines: int
     Of chunks with the same text and at least ``min_lines`` lines that are not
     empty, the first by (doc_id, place in the text) stays; a null id is before
     all others.  Adds ``n_lines``, ``removed_lines`` and ``removed_chunks`` (columns
-    of these names are replaced).
-    Null texts stay null; a text of repeated chunks only becomes empty.  Rows
-    that repeat both id and text count as one and share their fate.  Long texts
-    cost time in proportion to their lines.
+    of these names are replaced).  Null texts stay null; a text of repeated
+    chunks only becomes empty.  Rows that repeat both id and text count as one
+    and share their fate.  Time grows with the length of a text.  Both joins
+    that texts pass are merge joins at every size, since what they meet has no bound.
     """
     own = [c for c in docs.columns if c not in ("text", *ADDED)]
     keyed = docs.select(F.struct(*own).alias("_rest"), "doc_id", "text", F.xxhash64("text").alias("_text_hash"))
-    chunked = _with_chunks(keyed.where(F.col("text").isNotNull()).select(F.col("doc_id").alias("_id"), "_text_hash", "text"), window, every)
-    each = chunked.select("_id", "_text_hash", "_lines", "_ends", F.explode(F.sequence(F.lit(0), F.size("_ends") - 1)).alias("_at"))
-    lined = each.select("_id", "_text_hash", "_at", _chunk(F.col("_ends"), F.col("_at")).alias("_own"))
-    long = lined.where(F.size(F.filter("_own", lambda line: line != "")) >= min_lines)
-    chunks = long.select("_id", "_text_hash", "_at", F.array_join("_own", "\n").alias("_chunk")).withColumn("_hash", F.xxhash64("_chunk"))
+    each = keyed.where(F.col("text").isNotNull()).select(
+        F.col("doc_id").alias("_id"), "_text_hash", F.posexplode(_chunks(F.col("text"), window, every)).alias("_at", "_chunk"))
+    several = r"(?s)(?:\A|\n)x[^\n]" + r".*?\nx[^\n]" * (min_lines - 1)
+    chunks = each.where(F.col("_chunk").rlike(several)).withColumn("_hash", F.xxhash64("_chunk"))
 
     repeated = cut_lineage(chunks.groupBy("_hash").agg(F.count("*").alias("_n")).where("_n > 1").select("_hash"))
-    shared = cut_lineage(chunks.join(repeated, "_hash", "left_semi"))
+    shared = cut_lineage(chunks.join(repeated.hint("merge"), "_hash", "left_semi"))
     place = F.struct("_id", "_text_hash", "_at")
     first = shared.groupBy("_hash", "_chunk").agg(F.min(place).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     later = shared.join(first, ["_hash", "_chunk"]).where(~place.eqNullSafe(F.col("_first")))
     dropped = cut_lineage(later.groupBy("_id", "_text_hash").agg(F.collect_set("_at").alias("_dropped")))
 
-    found = keyed.join(dropped, F.col("doc_id").eqNullSafe(F.col("_id")) & (keyed["_text_hash"] == dropped["_text_hash"]), "left")
-    found = found.select("_rest", "text", "_dropped")
-    hit = _with_chunks(found, window, every)
-    numbers = F.sequence(F.lit(0), F.size("_ends") - 1)
-    kept = F.array_except(numbers, "_dropped")
-    text = F.array_join(F.flatten(F.transform(kept, lambda at: _chunk(F.col("_ends"), at))), "\n")
-    gone = F.aggregate(F.transform("_dropped", lambda at: F.size(_chunk(F.col("_ends"), at))), F.lit(0), lambda a, b: a + b)
-    return hit.select("_rest.*", F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(text).alias("text"),
-                      F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines")).cast("long").alias("n_lines"),
-                      F.coalesce(gone, F.lit(0)).cast("long").alias("removed_lines"),
-                      F.coalesce(F.when(F.col("_dropped").isNotNull(), F.size("_dropped")), F.lit(0)).cast("long").alias("removed_chunks"))
+    found = keyed.join(dropped.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (keyed["_text_hash"] == dropped["_text_hash"]), "left")
+    all_ = F.when(F.col("_dropped").isNotNull(), _chunks(F.col("text"), window, every))
+    cut = found.select("_rest", "text", "_dropped", all_.alias("_all"))
+    gone = _is_in(F.sequence(F.lit(0), F.size("_all") - 1), F.col("_dropped"))
+    left = F.array_join(F.zip_with("_all", gone, lambda chunk, g: F.when(~g, chunk)), "\n")
+    cut = cut.select("_rest", "text", F.coalesce(F.size("_dropped"), F.lit(0)).alias("_n"), F.size("_all").alias("_of"), left.alias("_left"))
+    n_lines = F.coalesce(_n_lines(F.col("text")), F.lit(0))
+    kept_lines = F.when(F.col("_n") == F.col("_of"), 0).otherwise(_n_lines(F.col("_left")))
+    touched = F.col("_left").isNotNull()
+    return cut.select("_rest.*", F.when(touched, _plain(F.col("_left"))).otherwise(F.col("text")).alias("text"), n_lines.cast("long").alias("n_lines"),
+                      F.when(touched, n_lines - kept_lines).otherwise(0).cast("long").alias("removed_lines"),
+                      F.when(touched, F.col("_n")).otherwise(0).cast("long").alias("removed_chunks"))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
