@@ -210,15 +210,16 @@ def fit(own: np.ndarray, length: np.ndarray, n_lines: np.ndarray, labels: np.nda
     return model
 
 
-def train(labelled: DataFrame, max_documents: int = 6_000, max_lines: int = 500) -> QualityModel:
-    """Fit on at most ``max_documents`` rows (``doc_id``, ``text``, ``quality``) of at most ``max_lines`` lines.
+def train(docs: DataFrame, labels: DataFrame, max_documents: int = 6_000, max_lines: int = 500) -> QualityModel:
+    """Fit on at most ``max_documents`` labelled documents, none of more than ``max_lines`` lines.
 
-    The sample is the rows of the smallest id hashes.  Rows without a label are
-    left out; a null text is an empty line.
+    The sample is taken from ``labels`` (``doc_id``, ``quality``) by the smallest
+    id hashes before it meets ``docs`` (``doc_id``, ``text``), so what is broadcast
+    has that bound.  Null labels are left out; a null text is an empty line.
     """
     lines = F.coalesce(F.length("text") - F.length(F.translate("text", "\n", "")), F.lit(0)) + 1
-    rows = labelled.where(F.col("quality").isNotNull() & (lines <= max_lines)).select("doc_id", "text", "quality")
-    sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_documents)
+    some = labels.where(F.col("quality").isNotNull()).select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_documents)
+    sample = docs.where(lines <= max_lines).select("doc_id", "text").join(F.broadcast(some), "doc_id").limit(max_documents)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -267,7 +268,7 @@ def held_out() -> Column:
 def op6_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = read_table(spark, sf_dir, "labels").where(~held_out()).select("doc_id", "quality")
-    model = train(docs.join(labels, "doc_id"))
+    model = train(docs, labels)
     out = score(docs, model)
     return out.select("doc_id", held_out().alias("held_out"), F.col("quality_score").alias("score"),
                       (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
