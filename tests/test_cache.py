@@ -8,7 +8,7 @@ from test_pricing import requests
 from usageloom.model import utc
 from usageloom.operators.cache import cache_identity
 from usageloom.plans.overview import context_window
-from usageloom.functions.periods import preset_period, resolve_period
+from usageloom.functions.periods import PRESETS, between, iso_week, last_days, month_of
 from usageloom.model import Page, Window
 
 T0 = utc("2026-07-20T12:00:00")
@@ -62,16 +62,19 @@ def test_live_one_hour_write_keeps_the_cache(spark):
 
 def test_periods():
     D = dt.date
-    assert resolve_period("2026-07-22", week="last").start == D(2026, 7, 13)
-    assert resolve_period("2026-07-22").days == 14
-    assert resolve_period("2026-03-31", month="2026-02").end == D(2026, 2, 28)
-    assert preset_period("last-month", D(2026, 1, 5)).start == D(2025, 12, 1)
+    last_week = iso_week("2026-07-22", back=1)
+    assert (last_week.start, last_week.end) == (D(2026, 7, 13), D(2026, 7, 19))
+    assert (iso_week("2027-01-02").start, iso_week("2027-01-02").end) == (D(2026, 12, 28), D(2027, 1, 2))
+    assert last_days("2026-07-22").days == 14
+    assert month_of("2026-03-31", back=1).end == D(2026, 2, 28)
+    assert PRESETS["last-month"](D(2026, 1, 5)).start == D(2025, 12, 1)
+    assert month_of("2026-07-22").days == 22 and PRESETS["yesterday"](D(2026, 7, 22)).end == D(2026, 7, 21)
     w = Window(D(2026, 7, 20), D(2026, 7, 22))
     assert (w.previous().start, w.previous().end) == (D(2026, 7, 17), D(2026, 7, 19))
     assert context_window(w, D(2026, 7, 25)) == (D(2026, 6, 25), D(2026, 7, 25))
-    for bad in (dict(days=3, today=True), dict(days=0), dict(date_from="2026-07-01"), dict(month="2027-01")):
+    for bad in (lambda: last_days("2026-07-22", 0), lambda: between("2026-07-02", "2026-07-01"), lambda: last_days("2026-W30-3")):
         with pytest.raises(ValueError):
-            resolve_period("2026-07-22", **bad)
+            bad()
     for bad in (dict(limit=0), dict(limit=201), dict(page=0), dict(order="up"), dict(sort="name")):
         with pytest.raises(ValueError):
             Page(**bad)

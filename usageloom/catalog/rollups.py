@@ -291,11 +291,10 @@ def _(L):
                     ("week", "2024-01-22", "2024-01-24"), ("month", "2024-01-01", "2024-01-24"),
                     ("days", "2024-01-18", "2024-01-24"))))
 def _(L):
-    from usageloom.functions.periods import resolve_period
+    from usageloom.functions.periods import iso_week, last_days, month_of
 
-    options = {"today": {"today": True}, "last_week": {"week": "last"}, "week": {"week": True},
-               "month": {"month": True}, "days": {"days": 7}}
-    windows = {n: resolve_period("2024-01-24", **o) for n, o in options.items()}
+    day = "2024-01-24"
+    windows = {"today": last_days(day, 1), "last_week": iso_week(day, back=1), "week": iso_week(day), "month": month_of(day), "days": last_days(day, 7)}
     counts = scoped(L, windows["month"]).agg(
         *[F.count_if(S.in_window("ts", w, TZ)).alias(n) for n, w in windows.items()])
     return counts.unpivot([], list(windows), "option", "n")

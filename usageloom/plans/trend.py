@@ -319,37 +319,57 @@ def period_change(
     )
 
 
-def marker_overlap(marker: DataFrame, w: Window, tz: str, days: int = 7) -> DataFrame:
-    """Markers of the period whose after-window another marker disturbs (J-09).
+def _count_up_to(points: DataFrame, asked: DataFrame, at: str, inclusive: bool, name: str) -> DataFrame:
+    """Add to ``asked`` how many ``points`` (us, n) lie before its column ``at`` (or at it, if ``inclusive``).
 
-    The after-window ends ``days`` after the start, at the marker's end or with the period.
-    Markers are sorted by start; one is disturbed if some other starts before
-    its after-window closes and ends after it began.  Of the markers that start
-    earlier only the latest end matters, of those that start later only the
-    first start, so no pairs are formed.
+    Both go into hours: inside an hour a running sum, before it the sum of the
+    hours so far.  The only frame that is summed without a key has one row per hour.
     """
     from pyspark.sql import Window as W
 
+    hour = F.floor(F.col("us") / 3_600_000_000)
+    mine = asked.select(F.col(at).alias("us"), F.lit(0).cast("long").alias("n"), F.struct(*asked.columns).alias("asked"))
+    grouped = points.groupBy("us").agg(F.sum("n").cast("long").alias("n"))  # equal instants count as one row
+    rows = grouped.withColumn("asked", F.lit(None).cast(mine.schema["asked"].dataType)).unionByName(mine).withColumn("hour", hour)
+    order = W.partitionBy("hour").orderBy("us", F.col("asked").isNull().cast("int") * (-1 if inclusive else 1))
+    inside = F.sum("n").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
+    hours = grouped.groupBy(hour.alias("hour")).agg(F.sum("n").alias("n"))
+    asked_hours = mine.select(hour.alias("hour"), "n").distinct()
+    so_far = hours.union(asked_hours).groupBy("hour").agg(F.sum("n").alias("n")).select(
+        "hour", F.coalesce(F.sum("n").over(W.partitionBy(F.lit(0)).orderBy("hour").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    counted = rows.withColumn("inside", inside).where(F.col("asked").isNotNull()).join(so_far, "hour")
+    return counted.select("asked.*", (F.col("inside") + F.col("before")).alias(name))
+
+
+def marker_overlap(marker: DataFrame, w: Window, tz: str, days: int = 7) -> DataFrame:
+    """Markers of the period whose after-window another marker disturbs (J-09).
+
+    The after-window ends ``days`` after the start, at the marker's end or with the
+    period.  Another one disturbs it by starting before the after-window closes and
+    ending after it began.  Of those that start in time, the ones that had ended by
+    then are subtracted (they all start in time, but for one of no length that
+    starts where an empty after-window lies): two counts, no pairs.
+    """
     lo, hi = w.instants(tz)
     top = F.lit(hi)
     rows = (
         marker.where((F.col("ts_start") < top) & (F.coalesce("ts_end", top) >= F.lit(lo)))
-        .withColumn("end_", F.coalesce("ts_end", top))
-        .withColumn(
-            "after_end",
-            F.least(F.coalesce("ts_end", top), F.col("ts_start") + F.expr(f"INTERVAL {days} DAYS"), top),
-        )
+        .withColumn("start_us", micros("ts_start"))
+        .withColumn("end_us", micros(F.coalesce("ts_end", top)))
+        .withColumn("after_end", F.least(F.coalesce("ts_end", top), F.col("ts_start") + F.expr(f"INTERVAL {days} DAYS"), top))
+        .withColumn("after_us", micros("after_end"))
+        .select("marker_id", "category", "ts_start", "after_end", "start_us", "end_us", "after_us")
     )
-    # Markers are human annotations of one period; the list is as long as people wrote it.
-    order = W.partitionBy(F.lit(0)).orderBy("ts_start", "marker_id")
-    earlier_end = F.max("end_").over(order.rowsBetween(W.unboundedPreceding, -1))
-    earlier_start = F.min("ts_start").over(order.rowsBetween(W.unboundedPreceding, -1))
-    next_start = F.lead("ts_start").over(order)
-    next_end_max = F.max("end_").over(order.rowsBetween(1, W.unboundedFollowing))
-    disturbed_before = (earlier_end > F.col("ts_start")) & (earlier_start < F.col("after_end"))
-    disturbed_after = (next_start < F.col("after_end")) & (next_end_max > F.col("ts_start"))
-    return rows.select(
+    one = F.lit(1)
+    starts = rows.select(F.col("start_us").alias("us"), one.alias("n"))
+    ends = rows.select(F.col("end_us").alias("us"), one.alias("n"))
+    points = rows.where("start_us = end_us").groupBy("start_us").agg(F.count(one).alias("same"))
+    counted = _count_up_to(ends, _count_up_to(starts, rows, "after_us", False, "started"), "start_us", True, "ended")
+    counted = counted.join(points, "start_us", "left")
+    ended = F.col("ended") - F.when(F.col("after_us") <= F.col("start_us"), F.coalesce("same", F.lit(0))).otherwise(0)
+    itself = ((F.col("start_us") < F.col("after_us")) & (F.col("end_us") > F.col("start_us"))).cast("int")
+    return counted.select(
         "marker_id", "category", "ts_start", "after_end",
-        F.greatest(F.lit(0.0), (micros("after_end") - micros("ts_start")) / F.lit(86_400e6)).alias("elapsed_days"),
-        (F.coalesce(disturbed_before, F.lit(False)) | F.coalesce(disturbed_after, F.lit(False))).cast("int").alias("overlaps"),
+        F.greatest(F.lit(0.0), (F.col("after_us") - F.col("start_us")) / F.lit(86_400e6)).alias("elapsed_days"),
+        (F.col("started") - ended - itself > 0).cast("int").alias("overlaps"),
     )

@@ -327,7 +327,7 @@ DERIVED = {
         },
     ),
     "marker": (
-        "orders", "o_orderkey % 100 = 7",
+        "orders", "TRUE",
         {
             "marker_id": "concat('v', CAST(o_orderkey AS STRING))",
             "category": "o_orderpriority",
