@@ -28,6 +28,8 @@ def test_period_filter_reaches_the_scan(spark, tmp_path):
     out = A.period_filter(req, Window(dt.date(2024, 1, 5), dt.date(2024, 1, 6)), "Asia/Tokyo").select("request_id")
     text = plan(out)
     assert "GreaterThanOrEqual(ts," in text and "LessThan(ts," in text
+    pruned = text.split("PartitionFilters: [")[1].split("]")[0]
+    assert "utc_day" in pruned and ">=" in pruned and "<=" in pruned
     assert "model" not in text.split("ReadSchema")[-1]
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from usageloom.catalog import rawlines as RL
@@ -9,7 +11,7 @@ from usageloom.catalog.registry import query, rounded, us
 from usageloom.operators import attribution as AT, merge as M
 from usageloom.sources import events as E, ingest as I, sinks, transcripts as S
 from usageloom.sources.adapters import with_tables
-from usageloom.session import shared_dir
+from usageloom.session import cut_lineage, shared_dir
 
 EV = (("ev", RL.EVENT_SQL),)
 WITH_EV = with_tables("base", extra=EV)
@@ -318,7 +320,7 @@ def _(L):
 AS BIGINT) AS interrupted FROM mg""")
 def _(L):
     """Written twice to the shared folder and read back: the second write changes nothing."""
-    target = f"{shared_dir(L.spark)}/usageloom/s10"
+    target = f"{shared_dir(L.spark)}/usageloom/s10-{uuid.uuid4().hex}"
     requests = I.merged_requests(parsed(L))
     for _ in range(2):
         sinks.write_ledger({"request": requests}, target)
@@ -326,6 +328,21 @@ def _(L):
     return back.agg(F.count(F.lit(1)).alias("n"), F.sum("output_tok").alias("output_tok"), F.sum("is_interrupted").cast("bigint").alias("interrupted"))
 
 
+@query("s10_incremental", with_tables("base", extra=EVP + (("u", USAGE), ("mg", MERGED))) + """SELECT request_id, output_tok, is_interrupted,
+us, strftime(make_timestamp(us), '%Y-%m-%d') AS day FROM mg""")
+def _(L):
+    """Three overlapping batches, in the first of which a quarter of the requests stand a day late; the end state is one full build."""
+    target = f"{shared_dir(L.spark)}/usageloom/s10-{uuid.uuid4().hex}"
+    requests = cut_lineage(I.merged_requests(parsed(L)))
+    slot = F.pmod(F.xxhash64("request_id"), F.lit(4))
+    late = F.when(slot == 0, F.col("ts") + F.expr("INTERVAL 1 DAY")).otherwise(F.col("ts"))
+    for batch in (requests.where(slot <= 1).withColumn("ts", late).withColumn("output_tok", F.lit(None).cast("bigint")),
+                  requests.where(slot <= 2), requests.where("pmod(xxhash64(request_id), 4) IN (0, 3)"), requests.where(slot == 3)):
+        sinks.write_ledger({"request": batch}, target)
+    back = sinks.read_ledger(L.spark, target, "request")
+    return back.select("request_id", "output_tok", "is_interrupted", us("ts").alias("us"), F.col("utc_day").cast("string").alias("day"))
+
+
 @query("s11_export_json", with_tables("work_task") + """SELECT '{"task_id":"' || task_id || '","category":"' || category || '"' || CASE WHEN outcome IS NULL THEN '' ELSE ',"outcome":"' ||
 outcome || '"' END || '}' AS value FROM work_task""")
 def _(L):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+import datetime as dt
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from usageloom import fixed_values as fixed
 from usageloom.model import Window
@@ -54,6 +56,20 @@ def in_window(ts, w: Window, tz: str) -> Column:
     return (_col(ts) >= F.lit(lo)) & (_col(ts) < F.lit(hi))
 
 
+#: Partition column of ledger tables.
+UTC_DAY = "utc_day"
+
+
+def in_days(df: DataFrame, w: Window, tz: str) -> DataFrame:
+    """Rows of the UTC days that a period touches, if ``df`` has them: a partition filter (F-01)."""
+    if UTC_DAY not in df.columns:
+        return df
+    lo, hi = w.instants(tz)
+    last = hi - dt.timedelta(microseconds=1)
+    days = [x.astimezone(dt.timezone.utc).date() for x in (lo, last)]
+    return df.where(F.col(UTC_DAY).between(F.lit(days[0]), F.lit(days[1])))
+
+
 def context_tokens(prefix: str = "") -> Column:
     """Input-side tokens of a request (F-07)."""
     names = ("input_tok", "cache_read_tok", "cache_w5m_tok", "cache_w1h_tok")

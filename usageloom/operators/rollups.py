@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from usageloom.functions.scalar import (
-    context_tokens, in_window, is_automatic, local_day, micros, model_family, nz, share,
+    context_tokens, in_days, in_window, is_automatic, local_day, micros, model_family, nz, share,
 )
 from usageloom.model import Page, Window
 from usageloom.operators.pricing import component_usd, join_project
@@ -17,7 +17,7 @@ def period_filter(
     df: DataFrame, w: Window, tz: str, session: DataFrame | None = None, ts: str = "ts"
 ) -> DataFrame:
     """Rows of the local dates in ``w``; with ``w.project`` only that project's sessions (F-01)."""
-    out = df.where(in_window(ts, w, tz))
+    out = (in_days(df, w, tz) if ts == "ts" else df).where(in_window(ts, w, tz))
     if w.project is None:
         return out
     if session is None:

@@ -1,39 +1,95 @@
-"""Writing ledger tables and JSON reports (S-10, S-11)."""
+"""Writing ledger tables and JSON reports (S-10, S-11).
+
+A ledger table is a folder of versions, each holding whole UTC days, and a log
+of commits that says which version of a day counts.  A write computes the days
+it touches, writes them as a new version and then appends one small commit
+file: readers see the state before or after it, never between.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import json
+import uuid
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+
+from usageloom.functions.scalar import UTC_DAY as DAY, utc_day
+from usageloom.session import cut_lineage
+
+#: What identifies a row; a table without an entry is replaced day by day.
+KEYS = {
+    "request": ["request_id"], "tool_call": ["tool_use_id"], "prompt": ["prompt_id"], "session": ["session_id"],
+    "agent": ["session_id", "agent_id"],
+}
+_COMMIT = "number bigint, day date, version string, filled boolean, fields string"
+
+
+def _commits(spark: SparkSession, target: str) -> list:
+    """The last commit of each day: as many rows as the table has days."""
+    try:
+        log = spark.read.schema(_COMMIT).parquet(f"{target}/commits")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+    return log.groupBy("day").agg(F.max(F.struct("number", "version", "filled", "fields")).alias("last")).select("day", "last.*").collect()
 
-from usageloom.functions.scalar import utc_day
 
-FILES_PER_DAY = 16
+def _read(spark: SparkSession, target: str, commits: list) -> DataFrame | None:
+    if not commits:
+        return None
+    schema = T.StructType.fromJson(json.loads(max(commits, key=lambda c: c["number"])["fields"]))
+    schema = schema.add(DAY, T.DateType())
+    paths = [f"{target}/version={c['version']}/{DAY}={c['day'] or '__HIVE_DEFAULT_PARTITION__'}" for c in commits if c["filled"]]
+    if not paths:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", target).parquet(*paths).drop("version")
 
 
-def write_ledger(tables: dict[str, DataFrame], path: str, files_per_day: int = FILES_PER_DAY) -> None:
-    """Write tables so that writing the same input again gives the same state (S-10).
+def write_ledger(tables: dict[str, DataFrame], path: str, keys: dict[str, list[str]] = KEYS) -> None:
+    """Add a batch to the ledger (S-10): its rows replace those of the same key, wherever they stand.
 
-    Tables with a time are partitioned by UTC day, and only the days present in
-    the input are replaced.  A day is spread over several files by session, and
-    files are sorted by session and time so that their statistics prune.
+    Writing a batch again changes nothing, and overlapping batches end in the
+    state that one write of all their rows (the latest of each key) would give:
+    a row that moves to another day leaves its old one, other rows of a touched
+    day stay.  Only touched days are rewritten; files follow the size of a day
+    (rebalanced at run time) and are sorted by session and time.  Tables without
+    ``ts`` are one day without a date.  One writer at a time.
     """
     for name, df in tables.items():
-        target = f"{path}/{name}"
-        if "ts" not in df.columns:
-            df.write.mode("overwrite").parquet(target)
-            continue
-        spread = "session_id" if "session_id" in df.columns else "ts"
-        (
-            df.withColumn("day", utc_day("ts"))
-            .repartition("day", F.pmod(F.xxhash64(spread), F.lit(files_per_day)))
-            .sortWithinPartitions("day", spread, "ts")
-            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("day").parquet(target)
-        )
+        spark, target, key = df.sparkSession, f"{path}/{name}", keys.get(name)
+        dated = utc_day("ts") if "ts" in df.columns else F.lit(None).cast("date")
+        batch = cut_lineage(df.drop(DAY).withColumn(DAY, dated))
+        before = _commits(spark, target)
+        old = _read(spark, target, before)
+        days = batch.select(DAY).distinct()
+        rows = batch
+        if old is not None and key:
+            same = [old[k].eqNullSafe(batch[k]) for k in key]
+            days = days.union(old.join(batch.select(*key), same, "left_semi").select(DAY)).distinct()
+            touched = [r[0] for r in days.collect()]  # dates: as many as the batch touches
+            stay = old.where(F.col(DAY).isin([d for d in touched if d]) | (F.col(DAY).isNull() if None in touched else F.lit(False)))
+            rows = stay.join(batch.select(*key), same, "left_anti").unionByName(batch, allowMissingColumns=True)
+        else:
+            touched = [r[0] for r in days.collect()]
+        version = f"{len({c['version'] for c in before}):08d}-{uuid.uuid4().hex}"
+        order = [c for c in ("session_id", "ts") if c in rows.columns]
+        folder = f"{target}/version={version}"
+        rows.hint("rebalance", DAY).sortWithinPartitions(DAY, *order).write.partitionBy(DAY).parquet(folder)
+        filled = {r[0] for r in rows.select(DAY).distinct().collect()}
+        fields = T.StructType([f for f in rows.schema.fields if f.name != DAY]).json()
+        number = max((c["number"] for c in before), default=0) + 1
+        log = [(number, day, version, day in filled, fields) for day in touched]
+        spark.createDataFrame(log, _COMMIT).coalesce(1).write.mode("append").parquet(f"{target}/commits")
 
 
 def read_ledger(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """A ledger table; columns added later are NULL in older files."""
-    return spark.read.option("mergeSchema", True).parquet(f"{path}/{name}").drop("day")
+    """A ledger table with its UTC day, by which period filters prune; columns added later are NULL in older days."""
+    out = _read(spark, f"{path}/{name}", _commits(spark, f"{path}/{name}"))
+    if out is None:
+        raise FileNotFoundError(f"no ledger table {name} under {path}")
+    return out
 
 
 def as_json(df: DataFrame) -> DataFrame:
