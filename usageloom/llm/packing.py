@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -26,15 +28,19 @@ from pyspark.sql import types as T
 from usageloom.llm.common import Memo, cut_lineage, rank_within, read_table
 
 #: Chunks whose ids a Python worker remembers (about 200 bytes each).
-REMEMBERED = 800_000
+REMEMBERED = 700_000
+_BEYOND_LATIN = re.compile("[^\x00-\u024f]")
+_MARK = re.compile(r"(?<=[a-z\xdf-\xf6\xf8-\xff])([.,])(?= |\Z)")
 
 
 class ChunkTokenizer:
     """Ids of a text as little-endian bytes, by way of its chunks between blanks and line ends.
 
-    For a tokenizer that drops white space before it merges, so that chunks do
-    not influence each other.  A letter-only word before one mark of punctuation
-    is looked up in lower case without it, as the tokenizer sees them apart.
+    For a lower-casing byte-level tokenizer that drops white space before it
+    merges, so that chunks do not influence each other.  Texts of Latin letters
+    (already in normal form) are lower-cased as a whole, and a full stop or
+    comma between a letter and a blank becomes a chunk of its own, as the
+    tokenizer's splitter has it; that makes most chunks frequent words.
     """
 
     def __init__(self, path: str):
@@ -42,24 +48,29 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words = Memo(self._encode, REMEMBERED)
+        self.model = self.tokenizer.model
+        # Byte-level models spell each byte as a visible character.
+        visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        rest = iter(range(256, 512))
+        self.spelt = {b: b if b in visible else next(rest) for b in range(256)}
         self.chunks = Memo(self._chunk, REMEMBERED)
 
-    def _encode(self, chunk: str) -> bytes:
-        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-
     def _chunk(self, chunk: str) -> bytes:
-        mark = chunk[-1:] if chunk[-1:] in (".", ",") else ""
-        word = chunk[:-1] if mark else chunk
-        lower = word.lower()
-        if word.isalpha() and len(lower) == len(word) and "Σ" not in word:
-            return self.words[lower] + (self.words[mark] if mark else b"")
-        return self._encode(chunk) if chunk else b""
+        if not chunk:
+            return b""
+        if chunk.islower() and chunk.isalpha() and not _BEYOND_LATIN.search(chunk):
+            # Letters only: past normaliser and splitter, straight to the merges.
+            spelt = chunk if chunk.isascii() else chunk.encode().decode("latin-1").translate(self.spelt)
+            return array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
+        return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
 
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
-        return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
+        text = text.replace("\n", " ")
+        if "<|" not in text and not _BEYOND_LATIN.search(text):
+            text = _MARK.sub(r" \1", text.lower())
+        return b"".join(map(self.chunks.__getitem__, text.split(" ")))
 
 
 _tokenizers: dict[str, ChunkTokenizer] = {}
