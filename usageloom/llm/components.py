@@ -1,4 +1,4 @@
-"""Connected components by alternating stars: every round hangs nodes on smaller neighbours."""
+"""Connected components by hooking and shortcuts: parents move to smaller nodes until all are roots."""
 
 from __future__ import annotations
 
@@ -11,29 +11,25 @@ from usageloom.llm.common import cut_lineage
 def connected_components(edges: DataFrame) -> DataFrame:
     """``node, component`` of every node of ``edges`` (``a``, ``b``, both long); the component is its smallest node.
 
-    A round is two joins on minima, so a hub's neighbours are never gathered,
-    and the number of rounds grows with the logarithm of a component's size.
-    Each round is written to the shared folder.  Loops and repeated edges do no harm.
+    Each edge points from the larger to the smaller node.  In a round a node
+    keeps its smallest parent, hangs the other parents on that one, and then
+    points to the parent of its parent; the number of rounds grows with the
+    logarithm of a component's depth.  A round shuffles the edges twice: by
+    node, and by parent in a join that splits a hub's rows.  Each round is
+    written to the shared folder.  Loops and repeated edges do no harm.
     """
-    def stars(pairs: DataFrame) -> DataFrame:
-        """``pairs``: (a, b) with a > b; hang the neighbours of each node on its smallest one."""
-        both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b")
-        joined = large.union(pairs.join(least, "a").select("a", F.col("m").alias("b"))).distinct()
-        smallest = joined.groupBy("a").agg(F.min("b").alias("m"))
-        return joined.join(smallest, "a").select(F.explode(F.array(
-            F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("_")).select("_.a", "_.b").where("a > b").distinct()
-
-    def state(pairs: DataFrame) -> tuple:
-        return tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-
-    ordered = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()
-    now = cut_lineage(ordered)
-    before, after = None, state(now)
-    while before != after:
-        now = cut_lineage(stars(now))
-        before, after = after, state(now)
-    leaves = now.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
-    roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return leaves.union(roots.join(leaves.select("node"), "node", "left_anti"))
+    def step(pairs: DataFrame) -> DataFrame:
+        by_node = pairs.select("a", "b").repartition("a").distinct()
+        least = by_node.groupBy("a").agg(F.min("b").alias("m"))
+        hooked = by_node.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"), F.lit(True).alias("moved"))
+        above = least.select(F.col("a").alias("m"), F.col("m").alias("above"))
+        raised = least.join(above, "m", "left").select("a", F.coalesce("above", "m").alias("b"), F.col("above").isNotNull().alias("moved"))
+        return raised.union(hooked)
+
+    now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b")
+    moved = True
+    while moved:
+        now = cut_lineage(step(now))
+        moved = not now.where("moved").isEmpty()
+    leaves = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    return leaves.union(leaves.select("component").distinct().select(F.col("component").alias("node"), "component"))

@@ -8,9 +8,9 @@ again; this is what keeps big groups of near copies from growing as their square
 2. How many documents have each shingle is counted over all of them.  The most
    frequent ones (a bounded number, broadcast) come last in the order of
    shingles; the order only decides how much work there is, never the result.
-3. Linked sets share a shingle among the first ``n - ceil(percent n) + 1`` in
-   that order.  Documents that share one there and are not too different in
-   size belong to one cluster (not yet verified).
+3. Linked sets have several shingles in common among the first ones in that
+   order, a prefix of about a third.  Documents that do, and are not too
+   different in size, belong to one cluster (not yet verified).
 4. The texts of clusters meet, in blocks of bounded size.  There, inverted lists
    are searched by DivideSkip: the short ones are merged by a heap, the long ones
    probed, and whoever reaches the required overlap is a link.  In a cluster
@@ -62,9 +62,29 @@ def _dealt(values: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return ((values >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32), values.astype(np.uint32)
 
 
-def _whole(bucket: int, low: np.ndarray) -> np.ndarray:
-    """Bucket and kept half as one key, by which the order of shingles is decided."""
-    return np.uint64(bucket) << np.uint64(32) | low.astype(np.uint64)
+def _order_key(bucket: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Bucket and 24 bits more, by which the order of shingles is decided (two that share it may stand in any order)."""
+    return bucket.astype(np.uint64) << np.uint64(24) | (low >> np.uint32(8)).astype(np.uint64)
+
+
+def _steps(values: np.ndarray) -> bytes:
+    """Sorted numbers as their differences, in 2 bytes each where that is enough."""
+    steps = np.diff(values, prepend=values.dtype.type(0))
+    wide = len(steps) and int(steps.max()) > 0xFFFF
+    return (b"4" if wide else b"2") + steps.astype(np.uint32 if wide else np.uint16).tobytes()
+
+
+def _unstepped(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(raw, np.uint32 if raw[:1] == b"4" else np.uint16, offset=1), dtype=np.uint64)
+
+
+def _runs(*columns: np.ndarray) -> np.ndarray:
+    """Starts of runs of equal rows."""
+    change = np.zeros(len(columns[0]), bool)
+    change[:1] = True
+    for c in columns:
+        change[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(change)
 
 
 def describe(docs: DataFrame, width: int) -> DataFrame:
@@ -90,12 +110,13 @@ def frequent_shingles(docs: DataFrame, width: int, buckets: int, more_than: int,
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values, _ = _batches_of(shingle_sets(batch.column(0).to_pylist(), width))
-            values.sort()
-            first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.empty(0, np.int64)
-            times = np.diff(np.append(first, len(values)))
-            bucket, low = _dealt(values[first], buckets)
-            edges = np.searchsorted(bucket, np.arange(buckets + 1))
-            rows = [(b, low[x:y][times[x:y] == 1].tobytes(), low[x:y][times[x:y] > 1].tobytes(), times[x:y][times[x:y] > 1].astype(np.uint32).tobytes())
+            keys = np.sort(_order_key(*_dealt(values, buckets)))
+            first = _runs(keys)
+            times = np.diff(np.append(first, len(keys)))
+            keys = keys[first]
+            edges = np.searchsorted(keys, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(24))
+            low = keys & np.uint64(0xFFFFFF)
+            rows = [(b, _steps(low[x:y][times[x:y] == 1]), _steps(low[x:y][times[x:y] > 1]), times[x:y][times[x:y] > 1].astype(np.uint32).tobytes())
                     for b, (x, y) in enumerate(zip(edges[:-1], edges[1:])) if y > x]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 4, (pa.int32(), pa.binary(), pa.binary(), pa.binary()))],
                                              ["bucket", "once", "more", "times"])
@@ -104,17 +125,17 @@ def frequent_shingles(docs: DataFrame, width: int, buckets: int, more_than: int,
         once, more = defaultdict(list), defaultdict(list)
         for batch in batches:
             for b, single, values, times in zip(*(c.to_pylist() for c in batch.columns)):
-                once[b].append(np.frombuffer(single, np.uint32))
-                more[b].append((np.frombuffer(values, np.uint32), np.frombuffer(times, np.uint32)))
+                once[b].append(_unstepped(single).astype(np.uint32))
+                more[b].append((_unstepped(values).astype(np.uint32), np.frombuffer(times, np.uint32)))
         for b in once:
             values = np.concatenate([*once[b], *(v for v, _ in more[b])])
             times = np.concatenate([np.ones(sum(map(len, once[b])), np.uint32), *(t for _, t in more[b])])
             order = np.argsort(values, kind="stable")
             values, times = values[order], times[order]
-            first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.empty(0, np.int64)
+            first = _runs(values)
             total = np.add.reduceat(times.astype(np.int64), first) if len(first) else np.empty(0, np.int64)
             many = total > more_than
-            yield pa.RecordBatch.from_arrays([pa.array(_whole(b, values[first][many]).astype(np.int64)), pa.array(total[many])], ["key", "documents"])
+            yield pa.RecordBatch.from_arrays([pa.array(b << 24 | values[first][many].astype(np.int64)), pa.array(total[many])], ["key", "documents"])
 
     packed = docs.select("text").mapInArrow(count, "bucket int, once binary, more binary, times binary")
     counted = packed.repartition(buckets, "bucket").mapInArrow(own, "key long, documents long")
@@ -150,80 +171,132 @@ def _size_class(sizes: np.ndarray, percent: int) -> np.ndarray:
     return np.floor(np.log(np.maximum(sizes, 1)) / np.log(100 / percent) + 1e-9).astype(np.int64)
 
 
-def _runs(*columns: np.ndarray) -> np.ndarray:
-    """Starts of runs of equal rows."""
-    change = np.zeros(len(columns[0]), bool)
-    change[:1] = True
-    for c in columns:
-        change[1:] |= c[1:] != c[:-1]
-    return np.flatnonzero(change)
+def _in_common(n, percent: int):
+    """How many leading shingles linked sets of at least ``n`` have in common at least, of ``_leading(n)`` each."""
+    return n // 16 + 1
+
 
+def _leading(n, percent: int):
+    """Length of the prefix that shows so many common shingles: an overlap of ``o`` leaves at least ``l`` of them in the first ``n - o + l``."""
+    return np.where(n > 0, np.minimum(n, n - required(n, percent) + _in_common(n, percent)), 0)
 
-def candidate_edges(docs: DataFrame, frequent: np.ndarray, width: int, percent: int, buckets: int) -> DataFrame:
-    """Edges (a, b) whose components hold every pair of documents that might link.
 
-    Tasks first join those of their own batch that share a leading shingle and a
-    size class: one member goes on for them, with the smallest and the largest
-    size.  The owner of a shingle chains what is left by size.
+def candidate_edges(docs: DataFrame, frequent: np.ndarray, width: int, percent: int, buckets: int, short: int) -> DataFrame:
+    """Edges (a, b) whose components hold every pair of documents that link.
+
+    Linked sets have ``_in_common`` leading shingles in common.  The owner of a
+    shingle forms the pairs of a list of at most ``short`` documents and counts
+    them; longer lists are chained by size instead, without pairs.  So a linked
+    pair either meets in a long list, or its pairs add up to the number needed.
+    Before, tasks join those of their own batch that share a frequent shingle
+    and a size class: one member goes on for them, with the smallest and the
+    largest size.  Chains have ``common`` null.
     """
     known = docs.sparkSession.sparkContext.broadcast(ShingleOrder(frequent))
-    entry = "bucket int, low binary, ids binary, sizes binary, a long, b long"
+    entry = "bucket int, low binary, ids binary, sizes binary, long binary, a long, b long"
 
     def leading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = known.value
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             values, sizes = _batches_of(shingle_sets(batch.column(1).to_pylist(), width))
-            owner = np.repeat(np.arange(len(sizes)), sizes)
             bucket, low = _dealt(values, buckets)
             keys = bucket.astype(np.uint64) << np.uint64(32) | low.astype(np.uint64)
-            sort = np.lexsort((order(keys), owner))
-            place = np.arange(len(sort)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            lead = sort[place < np.repeat(sizes - required(sizes, percent) + 1, sizes)]
-            keys, owner = keys[lead], owner[lead]
+            places, ends = order(_order_key(bucket, low)), np.cumsum(sizes)
+            count = _leading(sizes, percent)
+            lead = np.concatenate([a + np.argpartition(places[a:b], n - 1)[:n] for a, b, n in zip(ends - sizes, ends, count) if n] or [np.empty(0, np.int64)])
+            owner = np.repeat(np.arange(len(sizes)), count)
+            often = places[lead] >> np.uint64(63) > 0
+            rare_keys, rare = keys[lead[~often]], owner[~often]
+            keys, owner = keys[lead[often]], owner[often]
             kind = _size_class(sizes, percent)[owner]
             sort = np.lexsort((ids[owner], kind, keys))
             keys, owner, kind = keys[sort], owner[sort], kind[sort]
-            first = _runs(keys, kind) if len(keys) else np.empty(0, np.int64)
+            first = _runs(keys, kind)
             length = np.diff(np.append(first, len(keys)))
             leader = ids[owner[first]]
-            member, lead_of = ids[owner], np.repeat(leader, length)
-            pairs = np.unique(np.stack([member, lead_of], 1)[member != lead_of], axis=0)
+            pairs = _forest(ids[owner], np.repeat(leader, length))
             small = np.minimum.reduceat(sizes[owner], first) if len(first) else np.empty(0, np.int64)
             big = np.maximum.reduceat(sizes[owner], first) if len(first) else np.empty(0, np.int64)
             wide = big > small
-            out_keys = np.concatenate([keys[first], keys[first][wide]])
-            out_ids, out_sizes = np.concatenate([leader, leader[wide]]), np.concatenate([small, big[wide]])
+            out_keys = np.concatenate([rare_keys, keys[first], keys[first][wide]])
+            out_ids, out_sizes = np.concatenate([ids[rare], leader, leader[wide]]), np.concatenate([sizes[rare], small, big[wide]])
+            merged = np.concatenate([np.zeros(len(rare), bool), length > 1, np.ones(int(wide.sum()), bool)])
             sort = np.argsort(out_keys, kind="stable")
-            out_keys, out_ids, out_sizes = out_keys[sort], out_ids[sort], out_sizes[sort].astype(np.int32)
+            out_keys, out_ids, out_sizes, merged = out_keys[sort], out_ids[sort], out_sizes[sort].astype(np.int32), merged[sort]
             edges = np.searchsorted(out_keys >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
-            packed = [(b, out_keys[x:y].astype(np.uint32).tobytes(), out_ids[x:y].tobytes(), out_sizes[x:y].tobytes(), None, None)
+            packed = [(b, out_keys[x:y].astype(np.uint32).tobytes(), out_ids[x:y].tobytes(), out_sizes[x:y].tobytes(), np.packbits(merged[x:y]).tobytes(), None, None)
                       for b, (x, y) in enumerate(zip(edges[:-1], edges[1:])) if y > x]
-            packed += [(k % buckets, None, None, None, a, b) for k, (a, b) in enumerate(pairs.tolist())]
-            types = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*packed) if packed else [()] * 6, types)], ["bucket", "low", "ids", "sizes", "a", "b"])
+            packed += [(k % buckets, None, None, None, None, a, b) for k, (a, b) in enumerate(pairs.tolist())]
+            types = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*packed) if packed else [()] * 7, types)],
+                                             ["bucket", "low", "ids", "sizes", "long", "a", "b"])
 
-    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = defaultdict(list)
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, chained, met = defaultdict(list), [], []
         for batch in batches:
             direct = batch.filter(batch.column("a").is_valid())
             if direct.num_rows:
-                yield direct.select(["a", "b"])
+                chained.append(np.stack([direct.column(c).to_numpy() for c in ("a", "b")], 1))
             rest = batch.filter(batch.column("low").is_valid())
-            for b, low, ids, sizes in zip(*(rest.column(c).to_pylist() for c in ("bucket", "low", "ids", "sizes"))):
-                parts[b].append((np.frombuffer(low, np.uint32), np.frombuffer(ids, np.int64), np.frombuffer(sizes, np.int32)))
-        for b in parts:
-            low, ids, sizes = (np.concatenate(x) for x in zip(*parts[b]))
-            sort = np.lexsort((sizes, low))
-            low, ids, sizes = low[sort], ids[sort], sizes[sort].astype(np.int64)
-            apart = np.r_[True, (low[1:] != low[:-1]) | (100 * sizes[:-1] < percent * sizes[1:])]
-            first = np.flatnonzero(apart)
-            leader = np.repeat(np.minimum.reduceat(ids, first), np.diff(np.append(first, len(ids))))
-            pairs = np.unique(np.stack([ids, leader], 1)[ids != leader], axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            for b, low, ids, sizes, merged in zip(*(rest.column(c).to_pylist() for c in ("bucket", "low", "ids", "sizes", "long"))):
+                low = np.frombuffer(low, np.uint32)
+                parts[b].append((low, np.frombuffer(ids, np.int64), np.frombuffer(sizes, np.int32), np.unpackbits(np.frombuffer(merged, np.uint8), count=len(low)).astype(bool)))
+        for b in list(parts):
+            low, ids, sizes, merged = (np.concatenate(x) for x in zip(*parts.pop(b)))
+            sort = np.lexsort((ids, sizes, low))
+            low, ids, sizes, merged = low[sort], ids[sort], sizes[sort].astype(np.int64), merged[sort]
+            first = _runs(low)
+            length = np.diff(np.append(first, len(low)))
+            # A member that stands for others makes its list a long one.
+            chain = (length > short) | np.logical_or.reduceat(merged, first) if len(first) else np.empty(0, bool)
+            for n in range(2, short + 1):
+                own = first[(length == n) & ~chain][:, None] + np.arange(n)
+                for i in range(n):
+                    for j in range(i + 1, n):
+                        near = (100 * sizes[own[:, i]] >= percent * sizes[own[:, j]]) & (ids[own[:, i]] != ids[own[:, j]])
+                        x, y = ids[own[near, i]], ids[own[near, j]]
+                        met.append(np.stack([np.minimum(x, y), np.maximum(x, y), sizes[own[near, i]]]))
+            inside = np.repeat(chain, length)
+            low, ids, sizes = low[inside], ids[inside], sizes[inside]
+            if len(low):
+                starts = np.flatnonzero(np.r_[True, (low[1:] != low[:-1]) | (100 * sizes[:-1] < percent * sizes[1:])])
+                chained.append(_forest(ids, np.repeat(np.minimum.reduceat(ids, starts), np.diff(np.append(starts, len(ids))))))
+        pairs = _forest(*np.concatenate(chained).T) if chained else np.empty((0, 2), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), pa.int64()), pa.nulls(len(pairs), pa.int64())], ["a", "b", "smaller", "common"])
+        if met:
+            a, b, smaller = np.concatenate(met, axis=1)
+            sort = np.lexsort((b, a))
+            a, b, smaller = a[sort], b[sort], smaller[sort]
+            first = _runs(a, b)
+            count = np.diff(np.append(first, len(a)))
+            for x in range(0, len(first), 1 << 16):
+                own = slice(x, x + (1 << 16))
+                some = first[own]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (a[some], b[some], np.minimum.reduceat(smaller, first)[own], count[own])], ["a", "b", "smaller", "common"])
 
     packed = docs.select("doc_id", "text").mapInArrow(leading, entry)
-    return packed.repartition(buckets, "bucket").mapInArrow(chain, "a long, b long")
+    met = packed.repartition(buckets, "bucket").mapInArrow(meet, "a long, b long, smaller long, common long")
+    counted = met.groupBy("a", "b").agg(F.sum("common").alias("common"), F.min("smaller").alias("smaller"), F.count_if(F.col("common").isNull()).alias("chains"))
+    return counted.where((F.col("chains") > 0) | (F.col("common") >= F.floor(F.col("smaller") / 16) + 1)).select("a", "b")
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Each node of the edges (a, b) with the smallest of its component, where that is another."""
+    pairs = np.unique(np.stack([a, b], 1)[a != b], axis=0)
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    for x, y in pairs.tolist():
+        x, y = find(x), find(y)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+    return np.array([(x, find(x)) for x in parent], np.int64).reshape(-1, 2)
 
 
 class Linker:
@@ -327,21 +400,23 @@ def _search_group(width: int, percent: int):
         ids = rows.column("doc_id").to_pylist()
         sets = list(shingle_sets(rows.column("text").to_pylist(), width))
         together = [k for k, x in enumerate(rows.column("hangs").to_pylist()) if x]
-        links = search_block(sets, percent, together)
-        return pa.table({"a": pa.array([ids[q] for q, _ in links], pa.int64()), "b": pa.array([ids[d] for _, d in links], pa.int64())})
+        links = np.array([(ids[q], ids[d]) for q, d in search_block(sets, percent, together)], np.int64).reshape(-1, 2)
+        a, b = _forest(links[:, 0], links[:, 1]).T
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
     return search
 
 
-def verified_links(members: DataFrame, width: int, percent: int, block: int) -> DataFrame:
-    """Links (a, b) that span the groups of each cluster; ``members``: cluster, doc_id, n_shingles, text.
+def verified_links(members: DataFrame, texts: DataFrame, width: int, percent: int, block: int) -> DataFrame:
+    """Links (a, b) that span the groups of each cluster; ``members``: cluster, doc_id, n_shingles; ``texts``: doc_id, text.
 
     A cluster of at most ``block`` shingles is one block.  A larger one is split:
     those that link with its pivot (their links are returned) hang together, and
     only the others meet all blocks: ``others x all`` comparisons of blocks.
     """
     sizes = cut_lineage(members.groupBy("cluster").agg(F.sum("n_shingles").alias("total"), F.min(F.struct(F.xxhash64("doc_id"), "doc_id"))["doc_id"].alias("pivot")))
-    placed = members.join(sizes, "cluster")
+    # Members have no bound, so texts meet them in a merge join at every size.
+    placed = cut_lineage(texts.join(members.join(sizes, "cluster").hint("merge"), "doc_id"))
     small = placed.where(F.col("total") <= block).select("cluster", "doc_id", "text", F.lit(0).alias("task"), F.lit(False).alias("hangs"))
     output = "a long, b long"
     links = small.groupBy("cluster", "task").applyInArrow(_search_group(width, percent), output)
@@ -379,7 +454,7 @@ def verified_links(members: DataFrame, width: int, percent: int, block: int) ->
     return links.union(others).union(tied)
 
 
-def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 75, more_than: int = 8, most: int = 1_000_000, block: int = 2_000_000) -> DataFrame:
+def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 75, more_than: int = 3, most: int = 2_000_000, block: int = 2_000_000) -> DataFrame:
     """Per row of ``docs`` (``doc_id``, ``text``): ``doc_id, n_shingles, component_id``.
 
     The component is the smallest doc_id reachable over links, the row's own
@@ -397,16 +472,16 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 75, more_than
     named = docs.where(F.col("doc_id").isNotNull())
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     frequent = frequent_shingles(named, width, buckets, more_than, most)
-    near = candidate_edges(named, frequent, width, percent, buckets)
+    near = candidate_edges(named, frequent, width, percent, buckets, more_than)
     copies = described.where(F.col("doc_id").isNotNull()).join(classes.where("copies > 1"), identity).where("doc_id != stands").select(F.col("doc_id").alias("a"), F.col("stands").alias("b"))
     clusters = cut_lineage(connected_components(near.union(copies)))
     standing = classes.where(F.col("stands").isNotNull()).join(clusters, F.col("stands") == F.col("node")).select(
         F.col("component").alias("cluster"), "stands", *identity)
     several = standing.groupBy("cluster").agg(F.count("*").alias("sets")).where("sets > 1").select("cluster")
     active = cut_lineage(standing.join(several, "cluster", "left_semi").select("cluster", F.col("stands").alias("doc_id"), *identity))
-    # A doc_id stands for its class with one of its texts: the one with the class's set, if the id repeats.
-    texts = named.join(active.select("cluster", "doc_id", "n_shingles").distinct(), "doc_id")
-    links = cut_lineage(verified_links(texts, width, percent, block))
+    # A doc_id that repeats comes with all its texts.
+    members = active.groupBy("cluster", "doc_id").agg(F.max("n_shingles").alias("n_shingles"))
+    links = cut_lineage(verified_links(members, named, width, percent, block))
     groups = connected_components(links)
     found = described.join(classes.drop("copies"), identity, "left")
     out = found.join(groups, F.col("stands") == F.col("node"), "left")
