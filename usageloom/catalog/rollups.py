@@ -68,14 +68,23 @@ def _(L):
     return A.union_rows(*parts)
 
 
-@query("a34_effective_prices", with_tables("price") + """
-SELECT model, valid_from, valid_to, in_usd, out_usd, fast_x, source_url FROM price
-WHERE valid_from <= DATE'2024-01-22' AND (valid_to IS NULL OR DATE'2024-01-22' < valid_to)""")
+# A price list as long as the table of parts: a few periods per kind of part, some open, empty or overlapping.
+PRICE_LIST = """SELECT concat(p_brand, '/', CAST(p_partkey % 40 AS STRING)) AS model, DATE'2023-01-01' + CAST(p_partkey * 7 % 600 AS INT) AS valid_from,
+CASE WHEN p_size % 7 > 0 THEN DATE'2023-01-01' + CAST(p_partkey * 7 % 600 + p_size * 5 - 10 AS INT) END AS valid_to,
+p_retailprice / 1e2 AS in_usd, p_retailprice / 2e1 AS out_usd, CAST(1 + p_size % 3 AS DOUBLE) AS fast_x, p_type AS source_url FROM part"""
+
+
+def price_list(L):
+    L.table("part").createOrReplaceTempView("usageloom_part")
+    return L.spark.sql(PRICE_LIST.replace("FROM part", "FROM usageloom_part"))
+
+
+@query("a34_effective_prices", f"""WITH p AS ({PRICE_LIST})
+SELECT * FROM p WHERE DATE'2024-01-22' >= valid_from AND DATE'2024-01-22' < coalesce(valid_to, DATE'9999-01-01')""")
 def _(L):
     from usageloom.sources.prices import effective_prices
 
-    return effective_prices(L.price, dt.date(2024, 1, 22)).select(
-        "model", "valid_from", "valid_to", "in_usd", "out_usd", "fast_x", "source_url")
+    return effective_prices(price_list(L), dt.date(2024, 1, 22))
 
 
 PROMPT_COST = ("SELECT prompt_id, min(us) AS us, count(*) AS n_requests, count(agent_id) AS n_agent_requests, "

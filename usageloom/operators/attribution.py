@@ -111,31 +111,37 @@ def _round(nodes: DataFrame, notes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return stepped, told
 
 
-def _settled(df: DataFrame) -> bool:
-    return df.where("changed").limit(1).count() == 0
+def _state(df: DataFrame) -> tuple[int, int]:
+    """How many rows moved in the round, and a fingerprint of all rows."""
+    columns = [c for c in df.columns if c != "changed"]
+    whole = F.sum(F.xxhash64(F.to_json(F.struct(*columns))).cast("decimal(38,0)"))
+    moved, mark = df.agg(F.count_if("changed"), whole).first()
+    return moved, int(mark or 0)
 
 
 def causal_attribution(
     req: DataFrame, tool_calls: DataFrame, agents: DataFrame, prompt: DataFrame,
-    max_rounds: int = 16,
 ) -> tuple[DataFrame, DataFrame]:
     """Move requests and calls to the prompt that caused them, to a fixed point (T-10).
 
     An agent's work belongs to the prompt of the call that spawned it, the work
     on a notification to the prompt of the task it reports.  Chains that do not
     resolve keep the observed prompt.  Each round moves every chain one link;
-    rounds stop when nothing changes.  The search runs on one row per agent and
+    rounds go on until nothing changes, however long the chains are, or, if links
+    form a circle, until a state comes back.  The search runs on one row per agent and
     notification, and its state is checkpointed to the shared folder between
     rounds, as an executor may be lost at any time.
     """
     notes = cut_lineage(parse_notification(prompt).withColumn("at", F.col("prompt_id")))
     nodes = cut_lineage(_links(agents, notes, tool_calls, req))
-    for _ in range(max_rounds):
+    seen: set[tuple] = set()
+    while True:
         stepped, told = (cut_lineage(df) for df in _round(nodes, notes))
-        done = _settled(stepped) and _settled(told)
+        (moved, mark), (told_moved, told_mark) = _state(stepped), _state(told)
         nodes, notes = stepped.drop("changed"), told.drop("changed")
-        if done:
+        if not moved and not told_moved or (mark, told_mark) in seen:
             break
+        seen.add((mark, told_mark))
     spawned = nodes.where((F.col("kind") == "agent") & F.col("moved").isNotNull()).select(
         F.col("node").alias("_agent"), F.col("moved").alias("_cause")
     )
