@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from usageloom.fixed_values import HEALTH_TEXTS as TEXT
 from usageloom.functions.scalar import iso_week, local_day, micros, nz, share, utc_day, utc_month
 from usageloom.functions.quantiles import exact_quantiles
 from usageloom.operators.pricing import covers, price_segments, tool_units
@@ -253,11 +254,11 @@ def health_checks(tables: dict[str, DataFrame], as_of: dt.datetime) -> DataFrame
 
     req, cost = tables["request"], tables["cost"]
     checks = [
-        _freshness(req, as_of, "ledger_freshness", 1800, 7200, "seconds since latest request"),
-        _freshness(tables["hook_event"], as_of, "hook_freshness", 1800, 7200, "seconds since latest hook event"),
-        _freshness(tables["ingest_log"], as_of, "ingest_recent", 900, 3600, "seconds since latest ingest"),
+        _freshness(req, as_of, "ledger_freshness", 1800, 7200, TEXT["ledger_freshness"]),
+        _freshness(tables["hook_event"], as_of, "hook_freshness", 1800, 7200, TEXT["hook_freshness"]),
+        _freshness(tables["ingest_log"], as_of, "ingest_recent", 900, 3600, TEXT["ingest_recent"]),
         _freshness(tables["otel_event"], as_of, "otel_freshness", 7200, 86_400,
-                   "seconds since latest native OTel event", skip_empty=True),
+                   TEXT["otel_freshness"], skip_empty=True),
     ]
     bad = since(tables["quarantine"], 7).agg(
         F.count(F.lit(1)).alias("n"), F.max_by("reason", F.struct("ts", "reason")).alias("reason")
@@ -265,7 +266,7 @@ def health_checks(tables: dict[str, DataFrame], as_of: dt.datetime) -> DataFrame
     n = F.col("n")
     ok_if_none = F.when(n == 0, F.lit("ok"))
     checks.append(_check(bad, "quarantine_7d", ok_if_none.otherwise(F.lit("fail")), n,
-                         F.coalesce("reason", F.lit("no quarantine rows"))))
+                         F.coalesce("reason", F.lit(TEXT["quarantine_7d"]))))
 
     def coverage(df: DataFrame, column: str, name: str, detail: str) -> DataFrame:
         row = df.agg(F.count(F.lit(1)).alias("n"), F.count(column).alias("k"))
@@ -273,9 +274,9 @@ def health_checks(tables: dict[str, DataFrame], as_of: dt.datetime) -> DataFrame
         status = F.when(n == 0, F.lit("skip")).otherwise(_level(pct, pct >= 98, pct >= 85))
         return _check(row, name, status, F.when(n > 0, F.format_string("%.1f", pct)), F.lit(detail))
 
-    checks.append(coverage(since(req, 7), "end_ts", "request_end_coverage_7d", "percent with end_ts"))
+    checks.append(coverage(since(req, 7), "end_ts", "request_end_coverage_7d", TEXT["request_end_coverage_7d"]))
     checks.append(coverage(since(tables["tool_call"], 7), "result_ts", "tool_result_coverage_7d",
-                           "percent with result_ts"))
+                           TEXT["tool_result_coverage_7d"]))
     checks.append(_check(_names(unknown_models(req, tables["price"]), "model"), "unknown_models",
                          ok_if_none.otherwise(F.lit("fail")), n,
                          F.coalesce(F.nullif("names", F.lit("")), F.lit("none"))))
@@ -283,7 +284,7 @@ def health_checks(tables: dict[str, DataFrame], as_of: dt.datetime) -> DataFrame
         price_overlaps(tables["price"], "model"), price_overlaps(tables["price_tool"], "tool")
     ).agg(F.count(F.lit(1)).alias("n"))
     checks.append(_check(overlaps, "price_range_overlap", ok_if_none.otherwise(F.lit("fail")), n,
-                         F.lit("overlapping SCD2 price periods")))
+                         F.lit(TEXT["price_range_overlap"])))
     checks.append(_check(_names(unpriced_tools(req, tables["price_tool"]), "tool"), "unpriced_server_tools",
                          ok_if_none.otherwise(F.lit("warn")), n,
                          F.coalesce(F.nullif("names", F.lit("")), F.lit("none"))))
@@ -295,14 +296,14 @@ def health_checks(tables: dict[str, DataFrame], as_of: dt.datetime) -> DataFrame
         tasks, "task_outcome_coverage_28d",
         F.when(n == 0, F.lit("skip")).otherwise(_level(done, done >= 80, done >= 40)),
         F.when(n == 0, F.lit("no tasks")).otherwise(pct_text(done)),
-        F.format_string("%d tasks; %d with quality score", n, F.col("q"))))
+        F.format_string(TEXT["task_outcome_coverage_28d"], n, F.col("q"))))
     gap = estimator_gap(cost, as_of)
     size = F.abs(F.col("value"))
     checks.append(_check(
         gap, "estimator_gap",
         F.when(F.col("samples") == 0, F.lit("skip")).otherwise(_level(size, size <= 10, size <= 20)),
         F.when(F.col("samples") == 0, F.lit("no samples")).otherwise(pct_text(F.col("value"))),
-        F.format_string("%d sessions / %d requests; median ledger vs OTel SDK gap",
+        F.format_string(TEXT["estimator_gap"],
                         F.col("samples"), F.col("matched_requests"))))
     spent = nz("cost_usd")
     recent = since(tables["prompt"], 28).select("prompt_id", "task_label").join(
@@ -315,9 +316,9 @@ def health_checks(tables: dict[str, DataFrame], as_of: dt.datetime) -> DataFrame
     checks.append(_check(
         recent, "label_coverage_cost",
         F.when(lab.isNull(), F.lit("skip")).otherwise(_level(lab, lab >= 80, lab >= 40)),
-        F.when(lab.isNull(), F.lit("no cost")).otherwise(pct_text(lab)), F.lit("last 4 weeks, cost weighted")))
+        F.when(lab.isNull(), F.lit("no cost")).otherwise(pct_text(lab)), F.lit(TEXT["label_coverage_cost"])))
     checks.append(_check(orphan_agents(req, tables["agent"]).agg(F.count(F.lit(1)).alias("n")), "orphan_agents",
-                         ok_if_none.otherwise(F.lit("warn")), n, F.lit("request agents absent from agent table")))
+                         ok_if_none.otherwise(F.lit("warn")), n, F.lit(TEXT["orphan_agents"])))
     nudges = since(tables["nudge"], 14, "fired_ts").agg(
         F.count("followed").alias("d"), (F.avg("followed") * 100.0).alias("rate"),
         F.count("outcome").alias("c"),
@@ -328,13 +329,13 @@ def health_checks(tables: dict[str, DataFrame], as_of: dt.datetime) -> DataFrame
         nudges, "nudge_conversion_14d",
         F.when(d == 0, F.lit("skip")).when(F.col("rate") >= 10, F.lit("ok")).otherwise(F.lit("warn")),
         F.when(d == 0, F.lit("no decisions")).otherwise(pct_text(F.col("rate"))),
-        F.format_string("%d decided nudges", d)))
+        F.format_string(TEXT["nudge_conversion_14d"], d)))
     seen = F.col("seen")
     checks.append(_check(
         nudges, "nudge_observability_14d",
         F.when(c == 0, F.lit("skip")).otherwise(_level(seen, seen >= 60, seen >= 30)),
         F.when(c == 0, F.lit("no decisions")).otherwise(pct_text(seen)),
-        F.format_string("%d classified nudges; unknown is excluded from conversion", c)))
+        F.format_string(TEXT["nudge_observability_14d"], c)))
     cut = since(req.where(F.col("is_synthetic") == 0), 7).agg(
         F.count(F.lit(1)).alias("n"), (F.avg("is_interrupted") * 100.0).alias("rate")
     )
@@ -342,5 +343,5 @@ def health_checks(tables: dict[str, DataFrame], as_of: dt.datetime) -> DataFrame
     checks.append(_check(
         cut, "interrupted_share_7d",
         F.when(n == 0, F.lit("skip")).otherwise(_level(rate, rate < 2, rate < 5)),
-        F.when(n == 0, F.lit("no requests")).otherwise(pct_text(rate)), F.format_string("%d requests", n)))
+        F.when(n == 0, F.lit("no requests")).otherwise(pct_text(rate)), F.format_string(TEXT["interrupted_share_7d"], n)))
     return union_rows(*checks)
