@@ -102,7 +102,7 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
 
 
 def frequent_shingles(docs: DataFrame, width: int, buckets: int, more_than: int, most: int) -> np.ndarray:
-    """Keys of the ``most`` most frequent shingles of more than ``more_than`` documents, rarest first.
+    """Keys of the most frequent shingles (at most ``most``) of more than ``more_than`` documents, rarest first.
 
     Tasks send each bucket's distinct values as packed arrays, so a shingle
     arrives at its owner once per batch however frequent it is.
@@ -138,9 +138,20 @@ def frequent_shingles(docs: DataFrame, width: int, buckets: int, more_than: int,
             yield pa.RecordBatch.from_arrays([pa.array(b << 24 | values[first][many].astype(np.int64)), pa.array(total[many])], ["key", "documents"])
 
     packed = docs.select("text").mapInArrow(count, "bucket int, once binary, more binary, times binary")
-    counted = packed.repartition(buckets, "bucket").mapInArrow(own, "key long, documents long")
-    top = counted.orderBy(F.desc("documents"), "key").limit(most).toPandas()
-    return top.sort_values(["documents", "key"])["key"].to_numpy(np.int64).astype(np.uint64)
+    counted = cut_lineage(packed.repartition(buckets, "bucket").mapInArrow(own, "key long, documents long"))
+    # The least frequency at which no more than ``most`` are left, from how many shingles have each power of 1.1.
+    step = F.floor(F.log(1.1, "documents"))
+    kept, least = 0, None
+    for r in counted.groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect():
+        kept += r["n"]
+        if kept > most:
+            break
+        least = r["step"]
+    if least is None:
+        return np.empty(0, np.uint64)
+    top = counted.where(step >= least).toArrow()
+    keys, documents = (top.column(c).to_numpy() for c in ("key", "documents"))
+    return keys[np.lexsort((keys, documents))].astype(np.uint64)
 
 
 class ShingleOrder:
