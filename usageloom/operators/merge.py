@@ -10,7 +10,6 @@ from usageloom.functions.redaction import redact
 from usageloom.functions.scalar import normalize_model, nz
 from usageloom.operators.temporal import last_non_null
 
-PROMPT_CHARS = 20_000
 INTERRUPTION_TEXT = "[Request interrupted"
 
 
@@ -390,7 +389,7 @@ def extract_prompts(records: DataFrame, patterns=SECRET_PATTERNS) -> DataFrame:
     ).where(F.col("p").isNotNull())
     return grouped.select(
         "prompt_id", F.col("p.session_id").alias("session_id"), F.col("p.ts").alias("ts"),
-        F.substring(redact(F.col("p.text"), patterns)["text"], 1, PROMPT_CHARS).alias("text"),
+        redact(F.col("p.text"), patterns)["text"].alias("text"),
         F.when(F.col("m.seq") > F.col("p.seq"), F.col("m.interrupted")).alias("interrupted_message_id"),
     )
 

@@ -7,8 +7,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from usageloom.fixed_values import METADATA_RECORD_TYPES, SECRET_PATTERNS
 from usageloom.functions.redaction import redact
 
-QUARANTINE_CHARS = 4000
-
 RECORD_SCHEMA = (
     "type string, sessionId string, agentId string, timestamp string, version string, "
     "gitBranch string, slug string, promptId string, requestId string, "
@@ -110,8 +108,8 @@ def parse_records(raw: DataFrame) -> DataFrame:
 
 
 def quarantine_row(reason: Column, src: Column, text: Column, patterns=SECRET_PATTERNS) -> list[Column]:
-    raw = F.substring(redact(text, patterns)["text"], 1, QUARANTINE_CHARS)
-    return [src.alias("src"), reason.alias("reason"), raw.alias("raw")]
+    """The whole rejected text, redacted; a display may clip it (``clip_text``)."""
+    return [src.alias("src"), reason.alias("reason"), redact(text, patterns)["text"].alias("raw")]
 
 
 def quarantine_split(parsed: DataFrame, patterns=SECRET_PATTERNS) -> tuple[DataFrame, DataFrame]:
