@@ -175,3 +175,17 @@ def test_scan_of_awkward_rows(spark):
     long = spark.createDataFrame([(None, "licensed " * 300_000), (2, "License\n\n\n\nAll rights reserved.")], "doc_id long, text string")
     out = licenses.scan_licenses(long).collect()
     assert sorted((r["doc_id"] or 0, r["block"]) for r in out) == [(0, 0), (2, 0), (2, 1)]
+
+
+@pytest.mark.parametrize("size", [1_000, 10_000, 100_000])
+def test_exact_statements_in_long_lines(spark, size):
+    rnd = random.Random(size)
+    names = list(licenses.TEMPLATES)
+    filler = lambda n: " ".join(rnd.choice(["lorem", "ipsum", "dolor", "sit", "amet"]) + str(rnd.randrange(999)) for _ in range(n // 8))
+    rows = [(k, f"{filler(size - at)} {licenses.TEMPLATES[name]} {filler(at)}") for k, (name, at) in enumerate((n, a) for n in names for a in (0, size // 3))]
+    out = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        name = names[r["doc_id"] // 2]
+        assert (r["license"], r["confirmed"], r["differences"]) == (name, True, 0)
+        assert r["wording"] == licenses.TEMPLATES[name] and r["reduction"] >= 0.05

@@ -1,10 +1,11 @@
 """License scans by conditional compression.
 
-A block is a run of lines that speak of licensing.  It is compressed alone and
-with each template as a raw zstandard dictionary; templates are ranked by how
-much smaller that makes it.  The winners are confirmed by their exact wording:
-the least number of words to insert, delete or replace to find the template
-somewhere in the block.
+A block is a run of lines that speak of licensing.  Windows of some dozen words
+of it are compressed alone and with each template as a raw zstandard dictionary;
+templates are ranked by the bytes that saves in the best window, as a share of
+the template's own, so the length of a block does not matter.  Licenses are
+confirmed by their exact wording: the least number of words to insert, delete or
+replace to find the template somewhere in the block.
 """
 
 from __future__ import annotations
@@ -91,56 +92,72 @@ def wording(template: list[str], block: list[str]) -> tuple[int, int, int]:
 
 
 class Scanner:
-    def __init__(self, templates: Mapping[str, str], level: int):
+    def __init__(self, templates: Mapping[str, str], level: int, allowed: float):
+        self.allowed = allowed
         self.alone = zstandard.ZstdCompressor(level=level)
         self.words = {name: [_plain(w) for w in _WORD.findall(text)] for name, text in templates.items()}
+        self.size = {name: len(self.alone.compress(text.encode())) for name, text in templates.items()}
+        #: No stretch that confirms a license has more words than this.
+        self.reach = max((int(len(own) * (1 + allowed)) for own in self.words.values()), default=0) + 1
         self.given = {}
         for name, text in templates.items():
             known = zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             self.given[name] = zstandard.ZstdCompressor(level=level, dict_data=known)
 
-    def scan(self, block: str, least: float, allowed: float) -> tuple:
-        """License, reduction, differences, confirmed, wording and the ranking of one block."""
-        raw = block.encode("utf-8", "surrogatepass")
+    def saved(self, window: str) -> dict[str, float]:
+        """Of each template the share of its compressed bytes that it saves in a window."""
+        raw = window.encode("utf-8", "surrogatepass")
         alone = len(self.alone.compress(raw))
-        ranked = sorted(((1 - len(c.compress(raw)) / alone, name) for name, c in self.given.items()), key=lambda x: (-x[0], x[1]))
+        return {name: (alone - len(c.compress(raw))) / self.size[name] for name, c in self.given.items()}
+
+    def scan(self, block: str, least: float) -> tuple:
+        """License, reduction, differences, confirmed, wording and the ranking of one block."""
         spans = list(_WORD.finditer(block))
         words = [_plain(m[0]) for m in spans]
+        reductions: dict[str, float] = {}
+        # Windows overlap by half, so any stretch of up to ``reach`` words lies whole in one.
+        for a in range(0, max(1, len(spans) - self.reach), self.reach):
+            window = spans[a:a + 2 * self.reach]
+            for name, r in self.saved(block[window[0].start():window[-1].end()]).items():
+                reductions[name] = max(r, reductions.get(name, r))
+        ranked = sorted(((r, name) for name, r in reductions.items()), key=lambda x: (-x[0], x[1]))
         best = None
         for reduction, name in ranked:
-            if reduction < least:
-                break
             n, a, b = wording(self.words[name], words)
-            if best is None or n / len(self.words[name]) < best[0]:
-                best = (n / len(self.words[name]), name, reduction, n, block[spans[a].start():spans[b - 1].end()] if b > a else "")
+            share = n / len(self.words[name])
+            if reduction < least and share > self.allowed:
+                continue  # neither shortened by the template nor close to its wording
+            if best is None or share < best[0]:
+                best = (share, name, reduction, n, block[spans[a].start():spans[b - 1].end()] if b > a else "")
             if not n:
                 break  # an exact wording: nothing that ranks lower can be better
         ranking = [{"license": name, "reduction": r} for r, name in ranked if r >= least]
         if best is None:
             return None, None, None, False, None, ranking
         share, name, reduction, n, found = best
-        return name, reduction, n, share <= allowed, found, ranking
+        return name, reduction, n, share <= self.allowed, found, ranking
 
 
 def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, cue: str = CUE, gap: int = 2, least: float = 0.05,
                   allowed: float = 0.2, level: int = 3) -> DataFrame:
     """One row per block of ``docs`` (``doc_id``, ``text``) with the license it states best.
 
-    Winners are tried in order of their reduction, down to ``least``; the one
-    with the smallest share of changed words stays (ties: higher rank), and is
-    ``confirmed`` up to ``allowed``.  A block that no template shortens has a
-    null license.  Null texts and texts without a cue have no row; blocks may be
+    ``reduction`` is what the template saves in the best window of the block, as
+    a share of the template's own compressed bytes.  Templates that save ``least``
+    or whose wording is found are tried; the one with the smallest share of
+    changed words stays (ties: higher rank), and is ``confirmed`` up to
+    ``allowed``.  A block that no template shortens has a null license.  Null texts and texts without a cue have no row; blocks may be
     of any length.  Nothing is shuffled.
     """
     pattern = re.compile(cue)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(templates, level)
+        scanner = Scanner(templates, level, allowed)
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for k, (first, lines) in enumerate(blocks(text, pattern, gap)):
-                    rows.append((doc_id, k, first, len(lines), *scanner.scan("\n".join(lines), least, allowed)))
+                    rows.append((doc_id, k, first, len(lines), *scanner.scan("\n".join(lines), least)))
             types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.bool_(), pa.string(),
                      pa.list_(pa.struct([("license", pa.string()), ("reduction", pa.float64())])))
             names = ["doc_id", "block", "first_line", "n_lines", "license", "reduction", "differences", "confirmed", "wording", "ranked"]
