@@ -189,3 +189,40 @@ def test_exact_statements_in_long_lines(spark, size):
         name = names[r["doc_id"] // 2]
         assert (r["license"], r["confirmed"], r["differences"]) == (name, True, 0)
         assert r["wording"] == licenses.TEMPLATES[name] and r["reduction"] >= 0.05
+
+
+def test_wrapped_statements(spark):
+    rows = []
+    for name, template in licenses.TEMPLATES.items():
+        own = template.split()
+        cuts = [{k} for k in range(1, len(own))] + [set(range(1, len(own)))]
+        for cut in cuts:
+            text = "".join(("\n" if k in cut else " ") + w for k, w in enumerate(own))[1:]
+            rows.append((len(rows), name, f"lorem ipsum\n\n{text}\ndolor sit", text))
+    out = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, name string, text string, own string")).collect()
+    assert sorted(r["doc_id"] for r in out) == [k for k, *_ in rows]
+    for r in out:
+        _, name, _, text = rows[r["doc_id"]]
+        assert (r["license"], r["confirmed"], r["differences"], r["wording"], r["block"]) == (name, True, 0, text, 0)
+        assert (r["first_line"], r["n_lines"]) == (2, text.count("\n") + 1)
+
+
+@pytest.mark.parametrize("between", [" ", "\n", "\n\n\n", " and also "])
+def test_every_statement_of_a_block_has_a_row(spark, between):
+    rnd = random.Random(8)
+    rows = []
+    for k, n in enumerate([2, 2, 3, 40, 1_500]):
+        rows.append((k, [rnd.choice(list(licenses.TEMPLATES)) for _ in range(n)]))
+    docs = spark.createDataFrame([(k, between.join(licenses.TEMPLATES[x] for x in own)) for k, own in rows], "doc_id long, text string")
+    out = licenses.scan_licenses(docs).collect()
+    for k, own in rows:
+        found = [r for r in out if r["doc_id"] == k]
+        assert [(r["license"], r["differences"], r["wording"]) for r in found] == [(x, 0, licenses.TEMPLATES[x]) for x in own]
+        assert {r["block"] for r in found} == {0}
+
+
+def test_a_block_without_a_statement_keeps_its_row(spark):
+    text = "Copyright 2020 nobody.\n\n\n\n\nReleased under the MIT License."
+    out = licenses.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert [(r["block"], r["first_line"], r["confirmed"]) for r in out] == [(0, 0, False), (1, 5, True)]
+    assert out[1]["license"] == "MIT"
