@@ -37,9 +37,21 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one of the smallest id stays."""
-    groups = jaccard_groups(docs).where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_anti").select(docs.columns)
+    """Of each group of linked texts the row of the smallest id stays (a null id is behind all others).
+
+    Every row is a document of its own here: of rows that repeat an id, linked
+    texts are reduced to the one of the smallest hash, others stay.  Texts
+    without words link with nothing and all stay.
+    """
+    rows = cut_lineage(docs.select(F.monotonically_increasing_id().alias("_row"), *docs.columns))
+    groups = jaccard_groups(rows.select(F.col("_row").alias("doc_id"), "text"))
+    linked = cut_lineage(groups.where("doc_id != component_id").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")))
+    members = linked.union(linked.select(F.col("_group").alias("_row"), "_group").distinct())
+    place = F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", F.xxhash64("text").alias("_text"), F.xxhash64(*docs.columns).alias("_hash"), "_row")
+    placed = cut_lineage(rows.select("_row", place.alias("_place")).join(members, "_row"))
+    first = placed.groupBy("_group").agg(F.min("_place").alias("_first"))
+    dropped = placed.join(first, "_group").where("_row != _first._row").select("_row")
+    return rows.join(dropped, "_row", "left_anti").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -74,6 +74,21 @@ def test_stages_against_plain_python(spark):
     assert len(seats) <= 1.02 * -(-sum(n * key[2] for key, n in whole.items()) // 2048) + 1
 
 
+def test_one_row_of_a_group_stays_whatever_its_ids(spark):
+    text = " ".join(f"word{k}" for k in range(40))
+    other = " ".join(f"other{k}" for k in range(40))
+    alone = " ".join(f"alone{k}" for k in range(40))
+    rows = [(5, text, "x"), (5, text, "x"), (5, text + " more", "x"), (None, text, "x"), (9, text, "x"),  # one group: a row of id 5
+            (None, other, "n"), (None, other + " more", "n"),  # null ids only: one of both
+            (7, alone, "y"), (7, text + " too", "y"), (8, alone, "y"),  # id 7 has an unlinked text, which stays
+            (11, "", "e"), (11, "", "e"), (None, None, "e")]  # linked with nothing
+    docs = spark.createDataFrame([(d, t, "en", s, 1) for d, t, s in rows], helpers.DOCS).repartition(4)
+    out = dict(corpus_pipeline.STAGES)["ngram_jaccard"](spark, docs, SF)
+    assert out.columns == docs.columns
+    found = Counter((r["source"], r["doc_id"]) for r in out.collect())
+    assert found == {("x", 5): 1, ("n", None): 1, ("y", 7): 1, ("e", 11): 2, ("e", None): 1}
+
+
 def test_stages_take_empty_and_awkward_tables(spark):
     for docs in (helpers.empty(spark), helpers.awkward(spark)):
         for name, stage in corpus_pipeline.STAGES:
