@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from sys import getsizeof
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -48,18 +49,25 @@ def rank_within(df: DataFrame, keys: list[str], order: list[str], counts: DataFr
 
 
 class Memo(dict):
-    """Values of recent keys, computed on demand; emptied when it holds ``limit`` of them."""
+    """Values of recent short keys (text or bytes), computed on demand; emptied when they take about ``limit`` bytes."""
 
-    def __init__(self, compute, limit: int):
+    def __init__(self, compute, limit: int = 48 << 20, longest: int = 64):
         super().__init__()
-        self.compute, self.limit = compute, limit
+        self.compute, self.limit, self.longest, self.used = compute, limit, longest, 0
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[key] = self.compute(key)
+        value = self.compute(key)
+        if len(key) <= self.longest:
+            self.used += getsizeof(key) + getsizeof(value) + 100  # and its place in the table
+            if self.used > self.limit:
+                self.clear()
+            self[key] = value
         return value
 
+    def clear(self) -> None:
+        super().clear()
+        self.used = 0
+
 
 # The 64-bit word and shingle hashes below are polynomials over bytes and words, mixed at the end.
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -142,3 +150,22 @@ def _shingles(batch: list[bytes], width: int) -> Iterator[np.ndarray]:
             yield mix64(np.array([whole], np.uint64))
         else:
             yield np.empty(0, np.uint64)
+
+
+def places(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
+    """``df``, written, with ``place`` (long): a numbering from 0 of the rows of each ``key`` in ``order``.
+
+    Rows are dealt by ranges of (key, order), so a hot key spreads over tasks; the
+    counts of each key per partition, summed up, give the first number there.
+    Rows that are equal in ``order`` take any numbers.  Keys must not be null.
+    """
+    tied = df.withColumn("_tie", F.monotonically_increasing_id())
+    by = [F.col(key), *order, F.col("_tie")]
+    dealt = tied.repartitionByRange(*by).sortWithinPartitions(*by).drop("_tie").withColumn("_at", F.monotonically_increasing_id())
+    dealt = cut_lineage(dealt)
+    part = F.shiftrightunsigned("_at", 33).alias("_part")
+    found = dealt.groupBy(key, part).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = found.select(key, "_part", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift"))
+    numbered = dealt.withColumn("_part", part).join(starts, [key, "_part"])
+    return numbered.select(*df.columns, (F.col("_at") + F.col("_shift")).alias("place"))

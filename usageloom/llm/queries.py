@@ -11,9 +11,11 @@ from usageloom.llm.jaccard import op10_ngram_jaccard_join
 from usageloom.llm.langid import op9_language_id
 from usageloom.llm.licenses import op3_license_scan
 from usageloom.llm.linededup import OP4_SQL, op4_line_dedup
+from usageloom.llm.merkle import op12_merkle_manifest
 from usageloom.llm.mixing import op2_mix_sources
 from usageloom.llm.neighbours import op7_nearest_neighbours
 from usageloom.llm.packing import op8_best_fit_packing
+from usageloom.llm.piececodec import op11_sentencepiece_codec
 from usageloom.llm.quality import op6_quality_crf
 from usageloom.llm.tokencount import op1_token_counts
 
@@ -30,6 +32,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_best_fit_packing,
         op9_language_id,
         op10_ngram_jaccard_join,
+        op11_sentencepiece_codec,
+        op12_merkle_manifest,
     )
 }
 SQL: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op5_exact_dedup": OP5_SQL}
