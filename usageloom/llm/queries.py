@@ -16,6 +16,7 @@ from usageloom.llm.mixing import op2_mix_sources
 from usageloom.llm.neighbours import op7_nearest_neighbours
 from usageloom.llm.packing import op8_best_fit_packing
 from usageloom.llm.piececodec import op11_sentencepiece_codec
+from usageloom.llm.prefixtrie import op13_prefix_trie
 from usageloom.llm.quality import op6_quality_crf
 from usageloom.llm.tokencount import op1_token_counts
 
@@ -34,6 +35,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_ngram_jaccard_join,
         op11_sentencepiece_codec,
         op12_merkle_manifest,
+        op13_prefix_trie,
     )
 }
 SQL: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op5_exact_dedup": OP5_SQL}
