@@ -33,11 +33,16 @@ def build_session(cores: str | int = "*", shuffle_partitions: int | None = None)
     return spark
 
 
+#: Temporary folder of each local application that names no shared folder.
+_own_folders: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a temporary folder of this machine:
-    on a cluster that folder would be lost together with its executor.
+    Only a local session may fall back to a temporary folder of this machine
+    (one per application): on a cluster that folder would be lost together with
+    its executor.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -45,9 +50,10 @@ def shared_dir(spark: SparkSession) -> str:
     master = spark.conf.get("spark.master", "")
     if not master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    path = tempfile.mkdtemp(prefix="usageloom-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    application = spark.conf.get("spark.app.id")
+    if application not in _own_folders:
+        _own_folders[application] = tempfile.mkdtemp(prefix="usageloom-")
+    return _own_folders[application]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
