@@ -51,3 +51,26 @@ def test_columns_added_later_and_tables_without_time(spark, tmp_path):
     back = sinks.read_ledger(spark, str(tmp_path), "request")
     assert sorted((r.request_id, r.geo) for r in back.collect()) == [("r1", None), ("r2", "us")]
     assert sorted((r.agent_id, r.x) for r in sinks.read_ledger(spark, str(tmp_path), "agent").collect()) == [("a", 3), ("b", 2)]
+
+
+def test_a_key_twice_in_a_batch_leaves_its_latest_row(spark, tmp_path):
+    batch = rows(spark, ("r1", 0, 1), ("r1", 2, 3), ("r1", 1, 2), ("r2", 0, 5), (None, 0, 7), (None, 0, 7))
+    for _ in range(2):
+        sinks.write_ledger({"request": batch.repartition(3)}, str(tmp_path))
+        back = sinks.read_ledger(spark, str(tmp_path), "request").select("request_id", "output_tok", F.dayofmonth("utc_day")).collect()
+        assert sorted(map(tuple, back), key=str) == [("r1", 3, 3), ("r2", 5, 1), (None, 7, 1)]
+
+
+def test_an_emptied_day_is_empty_and_can_fill_again(spark, tmp_path):
+    for day in (0, 3, 0):
+        sinks.write_ledger({"request": rows(spark, ("r1", day, day))}, str(tmp_path))
+        assert state(spark, tmp_path) == [("r1", day, day)]
+
+
+def test_only_touched_days_are_read_and_rewritten(spark, tmp_path):
+    sinks.write_ledger({"request": rows(spark, *[(f"r{d}", d, d) for d in range(5)])}, str(tmp_path))
+    files = {p: p.stat().st_mtime_ns for p in tmp_path.rglob("rows/*/*.parquet")}
+    sinks.write_ledger({"request": rows(spark, ("r1", 2, 9))}, str(tmp_path))
+    left = {p.parent.name for p in files if p.exists() and p.stat().st_mtime_ns == files[p]}
+    assert left == {"utc_day=2024-01-01", "utc_day=2024-01-04", "utc_day=2024-01-05"}
+    assert state(spark, tmp_path) == [("r0", 0, 0), ("r1", 2, 9), ("r2", 2, 2), ("r3", 3, 3), ("r4", 4, 4)]

@@ -1,18 +1,14 @@
 """Writing ledger tables and JSON reports (S-10, S-11).
 
-A ledger table is a folder of versions, each holding whole UTC days, and a log
-of commits that says which version of a day counts.  A write computes the days
-it touches, writes them as a new version and then appends one small commit
-file: readers see the state before or after it, never between.
+A ledger table is a Parquet folder partitioned by UTC day.  Beside it lies a slim
+table of the days on which a key has ever stood, so that a batch finds the days
+it has to rewrite without reading the facts.
 """
 
 from __future__ import annotations
 
-import json
-import uuid
-
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from usageloom.functions.scalar import UTC_DAY as DAY, utc_day
 from usageloom.session import cut_lineage
@@ -22,74 +18,102 @@ KEYS = {
     "request": ["request_id"], "tool_call": ["tool_use_id"], "prompt": ["prompt_id"], "session": ["session_id"],
     "agent": ["session_id", "agent_id"],
 }
-_COMMIT = "number bigint, day date, version string, filled boolean, fields string"
+#: Marks the row that keeps the place of a day which a batch has emptied; readers leave it out.
+_GONE = "_emptied"
+_SLOTS = 64
 
 
-def _commits(spark: SparkSession, target: str) -> list:
-    """The last commit of each day: as many rows as the table has days."""
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """A written table with all columns it ever had, or None if there is none yet."""
     try:
-        log = spark.read.schema(_COMMIT).parquet(f"{target}/commits")
+        return spark.read.option("mergeSchema", True).parquet(path)
     except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
-        return []
-    return log.groupBy("day").agg(F.max(F.struct("number", "version", "filled", "fields")).alias("last")).select("day", "last.*").collect()
+        return None
 
 
-def _read(spark: SparkSession, target: str, commits: list) -> DataFrame | None:
-    if not commits:
-        return None
-    schema = T.StructType.fromJson(json.loads(max(commits, key=lambda c: c["number"])["fields"]))
-    schema = schema.add(DAY, T.DateType())
-    paths = [f"{target}/version={c['version']}/{DAY}={c['day'] or '__HIVE_DEFAULT_PARTITION__'}" for c in commits if c["filled"]]
-    if not paths:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("basePath", target).parquet(*paths).drop("version")
+def _same_key(left: DataFrame, right: DataFrame, key: list[str]) -> Column:
+    same = F.lit(True)
+    for k in key:
+        same = same & left[k].eqNullSafe(right[k])
+    return same
+
+
+def latest_of_key(df: DataFrame, key: list[str]) -> DataFrame:
+    """One row per key: the latest by ``ts`` (null first), of equally late ones the one of the largest row hash."""
+    late = [F.col("ts")] if "ts" in df.columns else []
+    order = F.struct(*late, F.xxhash64(*[c for c, kind in df.dtypes if "map<" not in kind]))
+    return df.groupBy(*[F.col(k).alias(f"_key_{k}") for k in key]).agg(F.max_by(F.struct(*df.columns), order).alias("row")).select("row.*")
 
 
 def write_ledger(tables: dict[str, DataFrame], path: str, keys: dict[str, list[str]] = KEYS) -> None:
     """Add a batch to the ledger (S-10): its rows replace those of the same key, wherever they stand.
 
     Writing a batch again changes nothing, and overlapping batches end in the
-    state that one write of all their rows (the latest of each key) would give:
-    a row that moves to another day leaves its old one, other rows of a touched
-    day stay.  Only touched days are rewritten; files follow the size of a day
-    (rebalanced at run time) and are sorted by session and time.  Tables without
-    ``ts`` are one day without a date.  One writer at a time.
+    state that one write of all their rows would give: of rows with one key the
+    later batch counts, within a batch the latest row (``latest_of_key``); a row
+    that moves to another day leaves its old one, other rows of a touched day
+    stay.  Only touched days are read and rewritten, by a dynamic partition
+    overwrite; files follow the size of a day and are sorted by session and time.
+    Tables without ``ts`` are one day without a date; tables without a key are
+    replaced day by day.  One writer at a time; a batch that failed half-way is
+    put right by writing it again.
     """
     for name, df in tables.items():
-        spark, target, key = df.sparkSession, f"{path}/{name}", keys.get(name)
-        dated = utc_day("ts") if "ts" in df.columns else F.lit(None).cast("date")
-        batch = cut_lineage(df.drop(DAY).withColumn(DAY, dated))
-        before = _commits(spark, target)
-        old = _read(spark, target, before)
-        days = batch.select(DAY).distinct()
-        rows = batch
-        if old is not None and key:
-            same = [old[k].eqNullSafe(batch[k]) for k in key]
-            days = days.union(old.join(batch.select(*key), same, "left_semi").select(DAY)).distinct()
-            touched = [r[0] for r in days.collect()]  # dates: as many as the batch touches
-            stay = old.where(F.col(DAY).isin([d for d in touched if d]) | (F.col(DAY).isNull() if None in touched else F.lit(False)))
-            rows = stay.join(batch.select(*key), same, "left_anti").unionByName(batch, allowMissingColumns=True)
+        _write(df, f"{path}/{name}", keys.get(name))
+
+
+def _write(df: DataFrame, target: str, key: list[str] | None) -> None:
+    spark, data = df.sparkSession, f"{target}/rows"
+    dated = utc_day("ts") if "ts" in df.columns else F.lit(None).cast("date")
+    given = df.drop(DAY).withColumn(DAY, dated)
+    batch = cut_lineage(latest_of_key(given, key) if key else given)
+    old = _stored(spark, data)
+    if key:
+        pairs = batch.select(F.pmod(F.xxhash64(*key), F.lit(_SLOTS)).cast("int").alias("slot"), *key, DAY)
+        days = _stored(spark, f"{target}/days")
+        if days is not None:
+            own = pairs.select(F.col("slot").alias("_slot"), *[F.col(k).alias(f"_{k}") for k in key]).distinct()
+            same = (days["slot"] == F.col("_slot"))
+            for k in key:
+                same = same & days[k].eqNullSafe(F.col(f"_{k}"))
+            known = cut_lineage(days.join(own, same, "left_semi"))
+            both = _same_key(pairs, known, [*key, DAY])
+            _append_days(pairs.join(known, both, "left_anti"), target)
+            touched = {r[0] for r in known.select(DAY).union(batch.select(DAY)).distinct().collect()}  # dates only
         else:
-            touched = [r[0] for r in days.collect()]
-        version = f"{len({c['version'] for c in before}):08d}-{uuid.uuid4().hex}"
-        order = [c for c in ("session_id", "ts") if c in rows.columns]
-        folder = f"{target}/version={version}"
-        rows.hint("rebalance", DAY).sortWithinPartitions(DAY, *order).write.partitionBy(DAY).parquet(folder)
-        filled = {r[0] for r in rows.select(DAY).distinct().collect()}
-        fields = T.StructType([f for f in rows.schema.fields if f.name != DAY]).json()
-        number = max((c["number"] for c in before), default=0) + 1
-        log = [(number, day, version, day in filled, fields) for day in touched]
-        spark.createDataFrame(log, _COMMIT).coalesce(1).write.mode("append").parquet(f"{target}/commits")
+            _append_days(pairs, target)
+            touched = set()
+        if old is not None and touched:
+            of_day = F.col(DAY).isin([d for d in touched if d]) | (F.col(DAY).isNull() if None in touched else F.lit(False))
+            before = _whole(old).where(of_day)
+            stay = before.join(batch.select(*key), _same_key(before, batch, key), "left_anti")
+            batch = cut_lineage(stay.unionByName(batch, allowMissingColumns=True))
+            emptied = touched - {r[0] for r in batch.select(DAY).distinct().collect()}
+            if emptied:
+                gone = spark.createDataFrame([(d, True) for d in emptied], f"{DAY} date, {_GONE} boolean")
+                batch = batch.unionByName(gone, allowMissingColumns=True)
+    if _GONE not in batch.columns:
+        batch = batch.withColumn(_GONE, F.lit(None).cast("boolean"))
+    order = [c for c in ("session_id", "ts") if c in batch.columns]
+    batch.hint("rebalance", DAY).sortWithinPartitions(DAY, *order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(DAY).parquet(data)
+
+
+def _append_days(pairs: DataFrame, target: str) -> None:
+    pairs.hint("rebalance", "slot").write.mode("append").partitionBy("slot").parquet(f"{target}/days")
+
+
+def _whole(stored: DataFrame) -> DataFrame:
+    return stored.where(F.col(_GONE).isNull()).drop(_GONE).withColumn(DAY, F.col(DAY).cast("date"))
 
 
 def read_ledger(spark: SparkSession, path: str, name: str) -> DataFrame:
     """A ledger table with its UTC day, by which period filters prune; columns added later are NULL in older days."""
-    out = _read(spark, f"{path}/{name}", _commits(spark, f"{path}/{name}"))
-    if out is None:
+    stored = _stored(spark, f"{path}/{name}/rows")
+    if stored is None:
         raise FileNotFoundError(f"no ledger table {name} under {path}")
-    return out
+    return _whole(stored)
 
 
 def as_json(df: DataFrame) -> DataFrame:
