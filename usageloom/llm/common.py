@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
 from sys import getsizeof
 
 import numpy as np
@@ -51,7 +52,7 @@ def rank_within(df: DataFrame, keys: list[str], order: list[str], counts: DataFr
 class Memo(dict):
     """Values of recent short keys (text or bytes), computed on demand; emptied when they take about ``limit`` bytes."""
 
-    def __init__(self, compute, limit: int = 48 << 20, longest: int = 64):
+    def __init__(self, compute, limit: int = 64 << 20, longest: int = 64):
         super().__init__()
         self.compute, self.limit, self.longest, self.used = compute, limit, longest, 0
 
@@ -69,6 +70,35 @@ class Memo(dict):
         self.used = 0
 
 
+def segment_pattern(pieces: Iterable[str], space: str) -> re.Pattern:
+    """Matches the stretches of a text that no merge can leave, given all ``pieces`` of a vocabulary.
+
+    Characters that stand side by side in a piece belong to one class; between
+    two classes no piece passes.  A stretch is a run of one class (or one
+    character that joins no other) with the spaces before it.
+    """
+    parent: dict[str, str] = {}
+
+    def find(c: str) -> str:
+        while parent.setdefault(c, c) != c:
+            parent[c] = c = parent[parent[c]]
+        return c
+
+    for piece in pieces:
+        own = piece.lstrip(space)
+        if space in own:
+            raise ValueError("a piece passes over a space: stretches are not independent")
+        for a, b in zip(own, own[1:]):
+            parent[find(a)] = find(b)
+        if len(own) > 1 and len(set(own)) == 1:
+            parent.setdefault(own[0], own[0])
+    classes: dict[str, list[str]] = {}
+    for c in sorted(parent):
+        classes.setdefault(find(c), []).append(c)
+    runs = "|".join(f"[{re.escape(''.join(own))}]+" for own in sorted(classes.values(), key=len, reverse=True))
+    return re.compile(f"{space}*(?:{runs}|[^{space}])|{space}+", re.DOTALL)
+
+
 # The 64-bit word and shingle hashes below are polynomials over bytes and words, mixed at the end.
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))

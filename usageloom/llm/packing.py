@@ -27,8 +27,6 @@ from pyspark.sql import types as T
 
 from usageloom.llm.common import Memo, cut_lineage, rank_within, read_table
 
-#: Chunks whose ids a Python worker remembers (about 200 bytes each).
-REMEMBERED = 700_000
 _BEYOND_LATIN = re.compile("[^\x00-\u024f]")
 _MARK = re.compile(r"(?<=[a-z\xdf-\xf6\xf8-\xff])([.,])(?= |\Z)")
 
@@ -53,7 +51,7 @@ class ChunkTokenizer:
         visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
         rest = iter(range(256, 512))
         self.spelt = {b: b if b in visible else next(rest) for b in range(256)}
-        self.chunks = Memo(self._chunk, REMEMBERED)
+        self.chunks = Memo(self._chunk)
 
     def _chunk(self, chunk: str) -> bytes:
         if not chunk:
@@ -94,15 +92,18 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0) ->
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = tokenizer(path).ids
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = ids_of(text) + end
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    own = ids[at:at + 4 * capacity]
-                    rows.append((doc_id, piece, at // 4, len(own) // 4, zlib.crc32(own)))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [()] * 5, schema.types)], schema=schema)
+        own = tokenizer(path)
+        try:
+            for batch in batches:
+                rows = []
+                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    ids = own.ids(text) + end
+                    for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[at:at + 4 * capacity]
+                        rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [()] * 5, schema.types)], schema=schema)
+        finally:
+            own.chunks.clear()
 
     return docs.select("doc_id", "text").mapInArrow(cut, PIECES)
 

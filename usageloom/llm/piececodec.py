@@ -8,7 +8,6 @@ the sentencepiece library; a difference is an error, not a result.
 from __future__ import annotations
 
 import heapq
-import re
 from array import array
 from collections.abc import Iterator
 from itertools import groupby
@@ -20,11 +19,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from usageloom.llm.common import Memo, read_table
+from usageloom.llm.common import Memo, read_table, segment_pattern
 
 SPACE = "▁"
 #: Bytes of text that are encoded, decoded and checked at a time (a longer text alone).
 SLICE = 1 << 19
+_PLACE = (1 << 40) - 1
 
 
 class PieceCodec:
@@ -37,16 +37,12 @@ class PieceCodec:
             raise ValueError("unused pieces are not supported")
         plain = [k for k in every if not (model.is_control(k) or model.is_unknown(k) or model.is_byte(k))]
         self.id = {model.id_to_piece(k): k for k in plain}
-        self.score = {model.id_to_piece(k): model.get_score(k) for k in plain}
+        place = {score: k for k, score in enumerate(sorted({model.get_score(k) for k in plain}, reverse=True))}
+        self.agenda_key = {model.id_to_piece(k): place[model.get_score(k)] * (_PLACE + 1) for k in plain}
         self.byte = {int(model.id_to_piece(k)[3:5], 16): k for k in every if model.is_byte(k)}
         if len(self.byte) != 256:
             raise ValueError("the model has no byte fallback")
-        if any(SPACE in piece.lstrip(SPACE) for piece in self.id):
-            raise ValueError("a piece passes over a space: segments are not independent")
-        # Characters that no longer piece holds end a segment as well.
-        joined = {c for piece in self.id if len(piece) > 1 for c in piece}
-        walls = re.escape("".join(c for c in "\n\t\r" if c not in joined))
-        self.segments = re.compile(f"{SPACE}+[^{SPACE}{walls}]*|[^{SPACE}{walls}]+" + (f"|[{walls}]" if walls else ""))
+        self.segments = segment_pattern(self.id, SPACE)
         self.memo = Memo(self._segment)
         self.raw = {k: v for v, k in self.byte.items()}
         unknown = [k for k in every if model.is_unknown(k)]
@@ -55,25 +51,36 @@ class PieceCodec:
             k: b"" for k in every if model.is_control(k)}
 
     def _segment(self, segment: str) -> bytes:
-        """Ids of one segment.  The agenda yields the adjacent pair of the best score, of equal ones the leftmost."""
-        score = self.score
+        """Ids of one segment.  The agenda yields the adjacent pair of the best score, of equal ones the leftmost.
+
+        Its entries are numbers: the place of the score among all scores, then that of the left symbol.
+        """
+        agenda_key = self.agenda_key.get
         symbol: list[str | None] = list(segment)
         size = len(symbol)
         after, before = list(range(1, size + 1)), list(range(-1, size - 1))
-        agenda = [(-score[pair], k, pair) for k in range(size - 1) if (pair := segment[k:k + 2]) in score]
+        agenda = []
+        for k in range(size - 1):
+            if (key := agenda_key(segment[k:k + 2])) is not None:
+                agenda.append(key + k)
         heapq.heapify(agenda)
         while agenda:
-            _, left, pair = heapq.heappop(agenda)
-            if symbol[left] is None or (right := after[left]) >= size or symbol[left] + symbol[right] != pair:
+            entry = heapq.heappop(agenda)
+            left = entry & _PLACE
+            own, right = symbol[left], after[left]
+            if own is None or right >= size:
+                continue
+            pair = own + symbol[right]
+            if agenda_key(pair) != entry - left:
                 continue  # one of the two has been merged meanwhile
             symbol[left], symbol[right] = pair, None
             after[left] = beyond = after[right]
             if beyond < size:
                 before[beyond] = left
-                if (longer := pair + symbol[beyond]) in score:
-                    heapq.heappush(agenda, (-score[longer], left, longer))
-            if (ahead := before[left]) >= 0 and (longer := symbol[ahead] + pair) in score:
-                heapq.heappush(agenda, (-score[longer], ahead, longer))
+                if (key := agenda_key(pair + symbol[beyond])) is not None:
+                    heapq.heappush(agenda, key + left)
+            if (ahead := before[left]) >= 0 and (key := agenda_key(symbol[ahead] + pair)) is not None:
+                heapq.heappush(agenda, key + ahead)
         ids = array("i")
         for s in symbol:
             if s is not None:
@@ -162,9 +169,10 @@ def encode_decode(docs: DataFrame, model_path: str) -> DataFrame:
                 for a, b in _slices(texts):
                     ids = [own.encode(t) for t in texts[a:b]]
                     decoded = [own.decode(x) for x in ids]
-                    if [x.tolist() for x in ids] != own.library.encode(texts[a:b], num_threads=1):
+                    listed = [x.tolist() for x in ids]
+                    if listed != own.library.encode(texts[a:b], num_threads=1):
                         raise ValueError("ids differ from those of the sentencepiece library")
-                    if decoded != own.library.decode([x.tolist() for x in ids], num_threads=1):
+                    if decoded != own.library.decode(listed, num_threads=1):
                         raise ValueError("decoded text differs from that of the sentencepiece library")
                     flat, ends = array("i"), array("i", [0])
                     for x in ids:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import heapq
-import re
+from collections.abc import Iterator
 
 import pandas as pd
 import public_tokenizers
@@ -11,18 +11,15 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usageloom.llm.common import Memo, read_table, text_bytes
+from usageloom.llm.common import Memo, read_table, segment_pattern, text_bytes
 
 SPACE = "▁"
-#: Segments whose counts a Python worker remembers (about 130 bytes each).
-REMEMBERED = 1_000_000
 
 
 class MergeCounter:
     """Counts the tokens of a piece model without emitting identifiers.
 
-    The text is cut where no merge can pass: before each run of spaces, and
-    around characters that no longer piece contains.  Each segment starts as one
+    The text is cut where no merge can pass (``segment_pattern``).  Each segment starts as one
     symbol per character; a heap yields the adjacent pair of the lowest rank
     (highest score, then leftmost), and merging it relinks its neighbours.  The
     count is initial symbols minus merges; a character without a piece of its
@@ -34,14 +31,8 @@ class MergeCounter:
         plain = [k for k in range(model.get_piece_size())
                  if not (model.is_control(k) or model.is_unknown(k) or model.is_byte(k) or model.is_unused(k))]
         self.rank = {model.id_to_piece(k): -model.get_score(k) for k in plain}
-        joined = {c for piece in self.rank if len(piece) > 1 for c in piece}
-        inside = {c for piece in self.rank if SPACE in piece.lstrip(SPACE) for c in piece}
-        if inside:
-            raise ValueError("a piece passes over a space: segments are not independent")
-        walls = "".join(c for c in "\n\t\r" if c not in joined)
-        stop = re.escape(SPACE + walls)
-        self.segments = re.compile(f"{SPACE}+[^{stop}]*|[^{stop}]+|[{re.escape(walls)}]" if walls else f"{SPACE}+[^{stop}]*")
-        self.memo = Memo(self.merge, REMEMBERED)
+        self.segments = segment_pattern(self.rank, SPACE)
+        self.memo = Memo(self.merge)
 
     def merge(self, segment: str) -> int:
         rank = self.rank
@@ -83,7 +74,7 @@ _counters: dict[str, MergeCounter] = {}
 
 
 def counter(path: str) -> MergeCounter:
-    """One counter per worker and model, kept from task to task."""
+    """One counter per worker and model, kept from task to task (its memo is emptied after each partition)."""
     if path not in _counters:
         _counters[path] = MergeCounter(path)
     return _counters[path]
@@ -96,9 +87,13 @@ def count_tokens(docs: DataFrame, model_path: str) -> DataFrame:
     holds one batch and a bounded memo of segments.
     """
     @F.pandas_udf("long")
-    def counted(texts: pd.Series) -> pd.Series:
-        count = counter(model_path).count
-        return pd.Series([count(t) for t in texts.tolist()], dtype="int64")
+    def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = counter(model_path)
+        try:
+            for texts in batches:
+                yield pd.Series([own.count(t) for t in texts.tolist()], dtype="int64")
+        finally:
+            own.memo.clear()
 
     return docs.select(*[docs[c] for c in docs.columns if c != "n_tokens"], counted(docs["text"]).alias("n_tokens"))
 
