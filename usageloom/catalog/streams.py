@@ -2,24 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from usageloom.catalog import rawlines as RL
-from usageloom.catalog.ingest import EVP, USAGE
+from usageloom.catalog.ingest import EVP, MERGED, USAGE
 from usageloom.catalog.registry import query, rounded, us
 from usageloom.operators import merge as M
-from usageloom.sources import transcripts as S
+from usageloom.session import cut_lineage, shared_dir
+from usageloom.sources import sinks, transcripts as S
 from usageloom.sources.adapters import with_tables
-from usageloom.streaming import state as ST, windows as SW
+from usageloom.streaming import requests as SR, state as ST, windows as SW
 
 _DAY = 86_400_000_000
 
 
-def usage_stream(L):
-    parsed = S.parse_records(RL.transcript_lines(L.streaming()))
-    return M.normalize_usage(parsed.where(F.col("reason").isNull()))
-
-
 @query("r11_stream_daily", with_tables("cost") + f"""SELECT day_us, count(*) AS n_requests, round(sum(cost_usd), 8) AS cost_usd FROM (SELECT cost_usd, CAST(floor((us - 54000000000) / 86400e6)
 AS BIGINT) * {_DAY} + 54000000000 AS day_us FROM cost) WHERE day_us + {_DAY} <= (SELECT max(us) FROM cost) - {_DAY} GROUP BY 1""")
 def _(L):
@@ -28,13 +26,46 @@ def _(L):
     return rounded(out.withColumn("day_us", us("day_start")).drop("day_start"), cost_usd=8)
 
 
-@query("r10_stream_requests", with_tables("base", extra=EVP + (
-    ("u", USAGE),
-    ("g", "SELECT request_id, min(us) AS us, max(us) AS end_us, max(output_tok) AS output_tok, max(stop_reason) AS stop_reason, arg_min(model, us) AS model FROM u GROUP BY 1"),
-)) + "SELECT * FROM g WHERE end_us + 300000000 <= (SELECT max(us) FROM u) - 600000000")
+def dealt_files(df, name, slot, files):
+    """The rows of ``df`` in ``files`` files by ``slot``; returns ``stream(n)`` over the first ``n``, one file per batch."""
+    root = f"{shared_dir(df.sparkSession)}/usageloom/files-{name}-{uuid.uuid4().hex}"
+    df.withColumn("_file", slot.cast("int")).repartition("_file").write.partitionBy("_file").parquet(root)
+
+    def stream(n):
+        shown = "{" + ",".join(map(str, range(n))) + "}"
+        return SW.stream_parquet(df.sparkSession, f"{root}/_file={shown}/*.parquet", df.schema, 1)
+
+    return stream
+
+
+def by_time(df, files=3, late_us=6 * 3_600_000_000):
+    """Slot of a row that arrives up to ``late_us`` too early or too late for its instant."""
+    lo, hi = df.agg(F.min(us("ts")), F.max(us("ts"))).first()
+    moved = us("ts") + F.pmod(F.xxhash64(us("ts"), "session_id"), F.lit(2 * late_us)) - late_us
+    return F.greatest(F.lit(0), F.least(F.lit(files - 1), F.floor((moved - (lo or 0)) * files / ((hi or 0) - (lo or 0) + 1))))
+
+
+def over_restarts(stream, build, name, files=3, **options):
+    """Run ``build(stream)`` to the end of 1, 2, ... files, each time restarted from its checkpoint."""
+    target = f"{shared_dir(stream(1).sparkSession)}/usageloom/runs-{name}-{uuid.uuid4().hex}"
+    for n in range(1, files + 1):
+        out = SW.run_available(build(stream(n)), name, target, **options)
+    return out
+
+
+@query("r10_stream_requests", with_tables("base", extra=EVP + (("u", USAGE), ("mg", MERGED))) + """SELECT * EXCLUDE (is_interrupted, output_tok, prompt_id), (SELECT
+max(output_tok) FROM u WHERE u.request_id = mg.request_id) AS output_tok FROM mg""")
 def _(L):
-    out = SW.run_available(SW.stream_requests(usage_stream(L)), "requests")
-    return out.select("request_id", us("ts").alias("us"), us("end_ts").alias("end_us"), "output_tok", "stop_reason", "model")
+    """Records dealt over four files in any order, one file per batch, with a restart after the second."""
+    usage = M.normalize_usage(S.parse_records(RL.transcript_lines(L)).where(F.col("reason").isNull()))
+    files = dealt_files(usage, "usage", F.pmod(F.xxhash64("request_id", "seq"), F.lit(4)), 4)
+    target = f"{shared_dir(L.spark)}/usageloom/r10-{uuid.uuid4().hex}"
+    for shown in (2, 4):
+        parts = SR.stream_request_parts(files(shown), "90 days", "10 days")
+        SW.for_each_batch(parts, SR.request_writer(f"{target}/ledger"), f"{target}/checkpoint", "update").awaitTermination()
+    out = sinks.read_ledger(L.spark, f"{target}/ledger", "request")
+    return out.withColumn("us", us("ts")).withColumn("end_us", us("end_ts")).drop(
+        "ts", "end_ts", "utc_day", "raw_path", "first_seq", "first_stop_seq", "service_tier", "speed", "geo", "prompt_id")
 
 
 @query("r12_stream_sessions", with_tables("request", extra=(
@@ -49,22 +80,28 @@ def _(L):
 
 @query("t09_carry_prompt_stream", with_tables("base", extra=EVP) + "SELECT rid AS request_id, prompt_id FROM ep WHERE valid")
 def _(L):
-    parsed = S.parse_records(RL.transcript_lines(L.streaming())).where("reason IS NULL")
-    own = F.nullif(F.col("rec.promptId"), F.lit(""))
-    rows = parsed.where(F.col("rec.type").isin("user", "assistant")).select(
-        "lineage_id", F.col("seq.line").alias("ord"), (F.col("rec.type") == "user").alias("is_user"), own.alias("own_prompt"), "request_id")
-    first = SW.run_available(ST.carry_prompt_stream(rows.where("is_user OR request_id IS NOT NULL")), "carry")
-    return first.groupBy("request_id").agg(F.min_by("prompt_id", "ord").alias("prompt_id"))
+    """The first half of the events is in the ledger, the rest arrives in three files with a restart after each."""
+    records = cut_lineage(S.parse_records(RL.transcript_lines(L)).where("reason IS NULL"))
+    half = records.agg(F.max("seq.line")).first()[0] // 2
+    early, later = records.where(F.col("seq.line") < half), records.where(F.col("seq.line") >= half)
+    rows = ST.carry_rows(later, F.col("seq.line"))
+    files = dealt_files(rows, "records", F.least(F.lit(2), F.floor((F.col("ord") - half) * 3 / half)), 3)
+    carried = cut_lineage(ST.carried_prompts(early))
+    streamed = over_restarts(files, lambda df: ST.carry_prompt_stream(df, carried), "carry", idle_batches=False)
+    before = M.carried_usage(early).where("request_id IS NOT NULL").select("request_id", F.col("seq.line").alias("ord"), "prompt_id")
+    return before.union(streamed).groupBy("request_id").agg(F.min_by("prompt_id", "ord").alias("prompt_id"))
 
 
 @query("r09_throttle_stream", with_tables("hook_event", extra=(
     ("s", "SELECT DISTINCT session_id, CAST(floor(us / 1e6) AS BIGINT) AS s FROM hook_event WHERE kind = 'statusline_sample'"),
     ("k", "SELECT session_id, min(s) AS s FROM s GROUP BY 1 UNION ALL SELECT k.session_id, (SELECT min(x.s) FROM s x WHERE x.session_id = k.session_id AND x.s >= k.s + 1500) FROM k WHERE k.s IS "
           "NOT NULL"),
-)) + "SELECT session_id, s AS kept_s FROM k WHERE s IS NOT NULL")
+)) + "SELECT session_id, s AS kept_s FROM k WHERE s <= (SELECT max(us) FROM hook_event WHERE kind = 'statusline_sample') // 1000000 - 46800")
 def _(L):
-    samples = L.streaming().hook_event.where("kind = 'statusline_sample'")
-    return SW.run_available(ST.throttle_stream(samples, 1500), "throttle")
+    """Samples up to the watermark, which arrive up to six hours early or late over three files."""
+    samples = L.hook_event.where("kind = 'statusline_sample'")
+    files = dealt_files(samples, "samples", by_time(samples), 3)
+    return over_restarts(files, lambda df: ST.throttle_stream(df, 1500, "13 hours"), "throttle")
 
 
 @query("r07_fire_nudges_stream", with_tables("hook_event", extra=(
@@ -88,11 +125,13 @@ _CTX = "coalesce(input_tok,0) + coalesce(cache_read_tok,0) + coalesce(cache_w5m_
           "'5m' END AS ttl_kind, CASE WHEN w.us IS NOT NULL THEN CASE WHEN l.cache_read_tok > 0 OR l.cache_w5m_tok > 0 OR l.cache_w1h_tok > 0 THEN l.us ELSE w.us END END AS a FROM l LEFT JOIN w "
           "USING (session_id)"),
     ("x", "SELECT *, a + CASE WHEN ttl_kind = '5m' THEN 300000000 ELSE 3600000000 END AS expires_us FROM k"),
-)) + """SELECT session_id, CASE WHEN a IS NULL THEN 'none' ELSE 'live' END AS status, ttl_kind, context_tok, expires_us FROM x UNION ALL SELECT session_id, 'expired', ttl_kind, context_tok,
-expires_us FROM x WHERE expires_us // 1000 <= (SELECT max(us) FROM mn) // 1000 - 60000""")
+)) + """SELECT session_id, CASE WHEN a IS NULL THEN 'none' WHEN (expires_us + 999) // 1000 <= (SELECT max(us) FROM mn) // 1000 - 46800000 THEN 'expired' ELSE 'live' END AS status, ttl_kind,
+context_tok, expires_us FROM x""")
 def _(L):
-    """State after all files, and the sessions whose cache ran out before the watermark."""
-    return SW.run_available(ST.cache_state_stream(L.streaming().request), "cache")
+    """State of each session after three files whose rows arrive up to six hours early or late."""
+    req = L.request
+    files = dealt_files(req, "requests", by_time(req), 3)
+    return ST.latest_of(over_restarts(files, lambda df: ST.cache_state_stream(df, "13 hours", 90 * 86_400), "cache"))
 
 
 @query("r05_inflight_stream", with_tables("hook_event", extra=(
@@ -104,5 +143,8 @@ def _(L):
           "us <= prompt_us ORDER BY us DESC LIMIT 1) AS ini FROM op"),
 )) + """SELECT session_id, prompt_us, CAST(is_open AS INT) AS is_open, CASE WHEN is_open AND cur >= ini THEN round(cur - ini, 6) END AS inflight_usd FROM i""")
 def _(L):
-    out = SW.run_available(ST.inflight_stream(L.streaming().hook_event), "inflight")
+    """State of each session after three files whose rows arrive up to six hours early or late."""
+    hooks = L.hook_event
+    files = dealt_files(hooks, "hooks", by_time(hooks), 3)
+    out = ST.latest_of(over_restarts(files, lambda df: ST.inflight_stream(df, "13 hours", 90 * 86_400), "inflight"))
     return out.withColumn("is_open", F.col("is_open").cast("int"))

@@ -109,22 +109,44 @@ FIRST_COLUMNS = (
 )
 
 
-def merge_requests(usage: DataFrame) -> DataFrame:
-    """One row per request id from the records a streamed response was split into (T-03).
-
-    The first record counts, except: the last known stop reason, the largest
-    output, and the latest end within the first record's file.  Copies are
-    reduced per file first, so that a request id repeated everywhere is spread.
-    """
-    per_file = usage.groupBy("request_id", "path").agg(
+def part_columns(fields: tuple[str, ...] = FIRST_COLUMNS) -> list[Column]:
+    """What the records of a request in one file add up to; parts of it add up in ``joined_parts``."""
+    return [
         F.min("seq").alias("first_seq"),
-        F.min_by(F.struct(*FIRST_COLUMNS), "seq").alias("first"),
+        F.min_by(F.struct(*fields), "seq").alias("first"),
         F.max("ts").alias("end_ts"),
         F.max("output_tok").alias("output_tok"),
         last_known("stop_reason", "seq").alias("stop_reason"),
         F.max(F.when(F.col("stop_reason").isNotNull(), F.col("seq"))).alias("stop_seq"),
         F.min(F.when(F.col("stop_reason").isNotNull(), F.col("seq"))).alias("first_stop_seq"),
+    ]
+
+
+def joined_parts(parts: DataFrame) -> DataFrame:
+    """One row per request and file from parts of it, in any number and order."""
+    return parts.groupBy("request_id", "path").agg(
+        F.min("first_seq").alias("first_seq"),
+        F.min_by("first", "first_seq").alias("first"),
+        F.max("end_ts").alias("end_ts"),
+        F.max("output_tok").alias("output_tok"),
+        F.max_by("stop_reason", "stop_seq").alias("stop_reason"),
+        F.max("stop_seq").alias("stop_seq"),
+        F.min("first_stop_seq").alias("first_stop_seq"),
     )
+
+
+def merge_requests(usage: DataFrame) -> DataFrame:
+    """One row per request id from the records a streamed response was split into (T-03).
+
+    The first record counts, except: the last known stop reason, the largest
+    output, and the latest end within the first record's file.  Copies are
+    reduced per file first, so that a request id repeated everywhere is spread.
+    """
+    return merge_parts(usage.groupBy("request_id", "path").agg(*part_columns()))
+
+
+def merge_parts(per_file: DataFrame) -> DataFrame:
+    """One row per request id from one row per request and file."""
     merged = per_file.groupBy("request_id").agg(
         F.min_by(F.struct("first", "end_ts", "path"), "first_seq").alias("f"),
         F.min("first_seq").alias("first_seq"),

@@ -116,6 +116,18 @@ def read_ledger(spark: SparkSession, path: str, name: str) -> DataFrame:
     return _whole(stored)
 
 
+def rows_of(spark: SparkSession, path: str, name: str, wanted: DataFrame) -> DataFrame | None:
+    """Ledger rows whose columns equal a row of ``wanted`` (some or all of the key); only the days they stand on are read."""
+    days = _stored(spark, f"{path}/{name}/days")
+    if days is None:
+        return None
+    wanted = wanted.distinct()
+    found = [r[0] for r in days.join(wanted, _same_key(days, wanted, wanted.columns), "left_semi").select(DAY).distinct().collect()]
+    rows = read_ledger(spark, path, name)
+    rows = rows.where(F.col(DAY).isin([d for d in found if d]) | (F.col(DAY).isNull() if None in found else F.lit(False)))
+    return rows.join(wanted, _same_key(rows, wanted, wanted.columns), "left_semi")
+
+
 def as_json(df: DataFrame) -> DataFrame:
     """One JSON document per row (S-11)."""
     return df.select(F.to_json(F.struct(*df.columns)).alias("value"))

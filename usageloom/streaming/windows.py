@@ -1,4 +1,4 @@
-"""Event-time streams built from Spark's own windows (R-01, R-10 … R-12).
+"""Event-time streams built from Spark's own windows (R-01, R-11, R-12).
 
 Batch recomputation is exact for ever; a stream drops what arrives later than
 its watermark, which the daily batch then repairs.  Windows are emitted once,
@@ -16,8 +16,8 @@ from usageloom.session import shared_dir
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def stream_parquet(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.readStream.schema(schema).parquet(path)
+def stream_parquet(spark: SparkSession, path: str, schema, max_files: int = 1000) -> DataFrame:
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
 
 
 def stream_lines(spark: SparkSession, root: str, glob: str, max_files: int = 1000) -> DataFrame:
@@ -34,13 +34,16 @@ def stream_lines(spark: SparkSession, root: str, glob: str, max_files: int = 100
     )
 
 
-def run_available(df: DataFrame, name: str, target: str | None = None) -> DataFrame:
+def run_available(df: DataFrame, name: str, target: str | None = None, idle_batches: bool = True) -> DataFrame:
     """Process what is there now, append the result to files in the shared folder, and read it.
 
     With a ``target`` the stream resumes from its checkpoint on the next call.
+    State that expires by processing time asks for batches without rows for ever,
+    so such streams run without ``idle_batches``.
     """
     spark = df.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", idle_batches)
     root = target or f"{shared_dir(spark)}/usageloom/stream-{name}-{uuid.uuid4().hex}"
     query = (
         df.writeStream.format("parquet").outputMode("append")
@@ -51,14 +54,16 @@ def run_available(df: DataFrame, name: str, target: str | None = None) -> DataFr
     return spark.read.schema(df.schema).parquet(f"{root}/data")
 
 
-def for_each_batch(df: DataFrame, write, checkpoint: str):
+def for_each_batch(df: DataFrame, write, checkpoint: str, mode: str = "append"):
     """Start a query that hands each micro-batch to ``write(batch, batch_id)``.
 
-    Used where a result depends on the ledger as a whole (pace, budgets) or has
-    several outputs (usable and rejected records).  ``write`` must be idempotent.
+    Used where a result depends on the ledger as a whole (pace, budgets), is
+    corrected later (requests) or has several outputs (usable and rejected
+    records).  ``write`` must be idempotent.
     """
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     return (
-        df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+        df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
 
@@ -103,31 +108,8 @@ def stream_burn_rate(
     )
 
 
-def stream_requests(usage: DataFrame, watermark: str = "10 minutes", quiet: str = "5 minutes") -> DataFrame:
-    """One row per request once no record of it has arrived for ``quiet`` (R-10).
-
-    The split records of a response lie seconds apart, so a session window per
-    request id collects them in Spark's own state.
-    """
-    first = ("message_id", "session_id", "agent_id", "lineage_id", "model", "input_tok", "cache_read_tok",
-             "cache_w5m_tok", "cache_w1h_tok", "is_synthetic")
-    stop = F.col("stop_reason")
-    return (
-        usage.withWatermark("ts", watermark)
-        .groupBy("request_id", F.session_window("ts", quiet).alias("w"))
-        .agg(
-            F.min_by(F.struct(*first), "seq").alias("f"),
-            F.min("ts").alias("ts"),
-            F.max("ts").alias("end_ts"),
-            F.max("output_tok").alias("output_tok"),
-            F.max_by(stop, F.when(stop.isNotNull(), F.col("seq"))).alias("stop_reason"),
-        )
-        .select("request_id", "f.*", "ts", "end_ts", "output_tok", "stop_reason")
-    )
-
-
 def stream_first_seen(df: DataFrame, keys: list[str], watermark: str) -> DataFrame:
-    """First row per key while copies arrive within the watermark (R-08, R-10)."""
+    """First row per key while copies arrive within the watermark (R-08)."""
     return df.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(keys)
 
 
