@@ -59,11 +59,18 @@ def test_encode_decode_of_awkward_rows(spark):
     assert encode_decode(empty(spark), MODEL).count() == 0
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text("▁abcdetho'sing. ,é日", max_size=80))
+def test_both_agendas_merge_alike(segment):
+    own = codec(MODEL)
+    assert own._by_list(segment) == own._by_heap(segment)
+
+
 def test_a_difference_from_the_library_shows():
     from usageloom.llm import piececodec
 
     own = piececodec.PieceCodec(MODEL)
-    own.agenda_key.pop("▁the")  # another vocabulary than the library's
+    own.place.pop("▁the")  # another vocabulary than the library's
     assert own.encode("the the").tolist() != own.library.encode("the the")
 
 

@@ -24,7 +24,9 @@ from usageloom.llm.common import Memo, read_table, segment_pattern
 SPACE = "▁"
 #: Bytes of text that are encoded, decoded and checked at a time (a longer text alone).
 SLICE = 1 << 19
-_PLACE = (1 << 40) - 1
+#: Symbols up to which a plain list is the faster agenda.
+SHORT = 32
+_NEVER = 1 << 62
 
 
 class PieceCodec:
@@ -37,8 +39,8 @@ class PieceCodec:
             raise ValueError("unused pieces are not supported")
         plain = [k for k in every if not (model.is_control(k) or model.is_unknown(k) or model.is_byte(k))]
         self.id = {model.id_to_piece(k): k for k in plain}
-        place = {score: k for k, score in enumerate(sorted({model.get_score(k) for k in plain}, reverse=True))}
-        self.agenda_key = {model.id_to_piece(k): place[model.get_score(k)] * (_PLACE + 1) for k in plain}
+        order = {score: k for k, score in enumerate(sorted({model.get_score(k) for k in plain}, reverse=True))}
+        self.place = {model.id_to_piece(k): order[model.get_score(k)] for k in plain}
         self.byte = {int(model.id_to_piece(k)[3:5], 16): k for k in every if model.is_byte(k)}
         if len(self.byte) != 256:
             raise ValueError("the model has no byte fallback")
@@ -51,44 +53,53 @@ class PieceCodec:
             k: b"" for k in every if model.is_control(k)}
 
     def _segment(self, segment: str) -> bytes:
-        """Ids of one segment.  The agenda yields the adjacent pair of the best score, of equal ones the leftmost.
+        """Ids of one segment: the agenda yields the adjacent pair of the best score, of equal ones the leftmost."""
+        symbols = self._by_list(segment) if len(segment) <= SHORT else self._by_heap(segment)
+        ids = array("i")
+        for s in symbols:
+            if s in self.id:
+                ids.append(self.id[s])
+            else:
+                ids.extend(self.byte[b] for b in s.encode("utf-8", "surrogatepass"))
+        return ids.tobytes()
 
-        Its entries are numbers: the place of the score among all scores, then that of the left symbol.
-        """
-        agenda_key = self.agenda_key.get
+    def _by_list(self, segment: str) -> list[str]:
+        """The agenda of a short segment is the list of its pairs' score places, in the order of the text."""
+        place = self.place.get
+        symbol = list(segment)
+        agenda = [place(segment[k:k + 2], _NEVER) for k in range(len(segment) - 1)]
+        while agenda and (best := min(agenda)) != _NEVER:
+            k = agenda.index(best)
+            symbol[k:k + 2] = [symbol[k] + symbol[k + 1]]
+            del agenda[k]
+            if k < len(agenda):
+                agenda[k] = place(symbol[k] + symbol[k + 1], _NEVER)
+            if k:
+                agenda[k - 1] = place(symbol[k - 1] + symbol[k], _NEVER)
+        return symbol
+
+    def _by_heap(self, segment: str) -> list[str]:
+        """The agenda of a long segment is a heap of (score place, left symbol) over a linked list of symbols."""
+        place = self.place.get
         symbol: list[str | None] = list(segment)
         size = len(symbol)
         after, before = list(range(1, size + 1)), list(range(-1, size - 1))
-        agenda = []
-        for k in range(size - 1):
-            if (key := agenda_key(segment[k:k + 2])) is not None:
-                agenda.append(key + k)
+        agenda = [(own, k) for k in range(size - 1) if (own := place(segment[k:k + 2])) is not None]
         heapq.heapify(agenda)
         while agenda:
-            entry = heapq.heappop(agenda)
-            left = entry & _PLACE
+            best, left = heapq.heappop(agenda)
             own, right = symbol[left], after[left]
-            if own is None or right >= size:
-                continue
-            pair = own + symbol[right]
-            if agenda_key(pair) != entry - left:
+            if own is None or right >= size or place(pair := own + symbol[right]) != best:
                 continue  # one of the two has been merged meanwhile
             symbol[left], symbol[right] = pair, None
             after[left] = beyond = after[right]
             if beyond < size:
                 before[beyond] = left
-                if (key := agenda_key(pair + symbol[beyond])) is not None:
-                    heapq.heappush(agenda, key + left)
-            if (ahead := before[left]) >= 0 and (key := agenda_key(symbol[ahead] + pair)) is not None:
-                heapq.heappush(agenda, key + ahead)
-        ids = array("i")
-        for s in symbol:
-            if s is not None:
-                if s in self.id:
-                    ids.append(self.id[s])
-                else:
-                    ids.extend(self.byte[b] for b in s.encode("utf-8", "surrogatepass"))
-        return ids.tobytes()
+                if (own := place(pair + symbol[beyond])) is not None:
+                    heapq.heappush(agenda, (own, left))
+            if (ahead := before[left]) >= 0 and (own := place(symbol[ahead] + pair)) is not None:
+                heapq.heappush(agenda, (own, ahead))
+        return [s for s in symbol if s is not None]
 
     def encode(self, text: str | None) -> array:
         """Ids without begin or end; null and empty texts have none."""
