@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
-from sys import getsizeof
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -22,6 +21,14 @@ def crc_of_id(column: str) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
+def crc_sql(text: str) -> str:
+    """DuckDB SQL for the crc32 of ASCII ``text``, which it has no function for: bit by bit over the characters."""
+    bit = "lambda a, i: xor(a >> 1, 3988292384::UBIGINT * (a & 1))"
+    byte = f"lambda h, c: list_reduce(list_prepend(xor(h, c), range(8)::UBIGINT[]), {bit})"
+    codes = f"list_transform(string_split({text}, ''), lambda c: ascii(c)::UBIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::UBIGINT, {codes}), {byte}), 4294967295::UBIGINT)"
+
+
 def text_bytes(text: Column) -> Column:
     """Length in UTF-8; null counts as empty."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
@@ -59,7 +66,7 @@ class Memo(dict):
     def __missing__(self, key):
         value = self.compute(key)
         if len(key) <= self.longest:
-            self.used += getsizeof(key) + getsizeof(value) + 100  # and its place in the table
+            self.used += 200 + 2 * len(key)  # both objects and their place in the table, about
             if self.used > self.limit:
                 self.clear()
             self[key] = value
@@ -113,21 +120,51 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_SLICE = 1 << 19
 _POWERS: list[np.ndarray] = []
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 1 << 16)
-        up, down = np.full(size, _BASE), np.full(size, _INVERSE)
-        up[0] = down[0] = 1
-        _POWERS[:] = [np.multiply.accumulate(up), np.multiply.accumulate(down)]
-    return _POWERS[0][:n], _POWERS[1][:n]
+    """Powers for ``n`` bytes; those for one slice are kept, a longer word brings its own."""
+    if n <= len(_POWERS[0]) if _POWERS else False:
+        return _POWERS[0][:n], _POWERS[1][:n]
+    size = max(n, _SLICE + 2)
+    up, down = np.full(size, _BASE), np.full(size, _INVERSE)
+    up[0] = down[0] = 1
+    made = [np.multiply.accumulate(up), np.multiply.accumulate(down)]
+    if size == _SLICE + 2:
+        _POWERS[:] = made
+    return made[0][:n], made[1][:n]
 
 
 def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and start places of the words ``[^\\x20\\x09-\\x0D]+`` in UTF-8 bytes, A-Z lower-cased."""
-    blank = (data == 32) | ((data >= 9) & (data <= 13))
+    """Hashes and start places of the words ``[^\\x20\\x09-\\x0D]+`` in UTF-8 bytes, A-Z lower-cased.
+
+    Long texts are hashed in slices that end at a blank.
+    """
+    if len(data) <= _SLICE:
+        return _word_hashes(data)
+    found, at = [], 0
+    while at < len(data):
+        to = min(at + _SLICE, len(data))
+        while to < len(data):
+            gap = np.flatnonzero(_blank(data[to - _SLICE // 8:to]))
+            if len(gap):
+                to = to - _SLICE // 8 + int(gap[-1]) + 1
+                break
+            to = min(to + _SLICE // 8, len(data))
+        hashes, starts = _word_hashes(data[at:to])
+        found.append((hashes, starts + at))
+        at = to
+    return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+
+
+def _blank(data: np.ndarray) -> np.ndarray:
+    return (data == 32) | ((data >= 9) & (data <= 13))
+
+
+def _word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    blank = _blank(data)
     inside = np.concatenate(([False], ~blank, [False]))
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[::2], edges[1::2]
@@ -140,7 +177,7 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)), starts
 
 
-def shingle_sets(texts: list[str | None], width: int = 5, limit: int = 1 << 22) -> Iterator[np.ndarray]:
+def shingle_sets(texts: list[str | None], width: int = 5, limit: int = 1 << 18) -> Iterator[np.ndarray]:
     """For each text its sorted distinct shingle hashes.
 
     A text with fewer words than ``width`` has its whole word sequence as its

@@ -11,25 +11,26 @@ from usageloom.llm.common import cut_lineage
 def connected_components(edges: DataFrame) -> DataFrame:
     """``node, component`` of every node of ``edges`` (``a``, ``b``, both long); the component is its smallest node.
 
-    Each edge points from the larger to the smaller node.  In a round a node
-    keeps its smallest parent, hangs the other parents on that one, and then
-    points to the parent of its parent; the number of rounds grows with the
-    logarithm of a component's depth.  A round shuffles the edges twice: by
-    node, and by parent in a join that splits a hub's rows.  Each round is
-    written to the shared folder.  Loops and repeated edges do no harm.
+    Each edge points from the larger to the smaller node.  In a step a node
+    keeps its smallest parent, its other parents hang on that one, and all of
+    them point on to the parent of the parent; the number of steps grows with the
+    logarithm of a component's depth.  A step shuffles the edges twice: by node,
+    and by parent in a join that splits a hub's rows.  Two steps are written to
+    the shared folder together.  Loops and repeated edges do no harm.
     """
     def step(pairs: DataFrame) -> DataFrame:
         by_node = pairs.select("a", "b").repartition("a").distinct()
         least = by_node.groupBy("a").agg(F.min("b").alias("m"))
-        hooked = by_node.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"), F.lit(True).alias("moved"))
         above = least.select(F.col("a").alias("m"), F.col("m").alias("above"))
-        raised = least.join(above, "m", "left").select("a", F.coalesce("above", "m").alias("b"), F.col("above").isNotNull().alias("moved"))
-        return raised.union(hooked)
+        rows = by_node.join(least, "a").join(above, "m", "left")
+        keeps = F.col("b") == F.col("m")
+        return rows.select(F.when(keeps, F.col("a")).otherwise(F.col("b")).alias("a"), F.coalesce("above", "m").alias("b"),
+                           (~keeps | F.col("above").isNotNull()).alias("moved"))
 
     now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b")
     moved = True
     while moved:
-        now = cut_lineage(step(now))
+        now = cut_lineage(step(step(now)))
         moved = not now.where("moved").isEmpty()
     leaves = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return leaves.union(leaves.select("component").distinct().select(F.col("component").alias("node"), "component"))

@@ -22,23 +22,26 @@ again; this is what keeps big groups of near copies from growing as their square
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_left
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import groupby
 from math import log2
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from usageloom.llm.common import cut_lineage, mix64, read_table, shingle_sets
 from usageloom.llm.components import connected_components
 
-#: Weight of a probe against a step of the heap, for the number of lists to skip.
-PROBE = 0.0085
+#: Weight of a probe against a step of the merge, for the number of lists to skip.
+PROBE = 0.5
+#: Document numbers that the merge of short lists takes at a time.
+WINDOW = 1 << 14
+#: Bytes of text that a task hashes at a time.
+SLICE = 4 << 20
 
 
 def required(n, percent: int):
@@ -57,13 +60,23 @@ def _batches_of(sets: Iterator[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(arrays) if len(arrays) else np.empty(0, np.uint64)), sizes
 
 
+def _sliced(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Batches of about ``SLICE`` bytes of text (a longer text alone), so that a task's arrays do not follow its batches."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(sizes) // SLICE
+        edges = [*np.flatnonzero(np.diff(part, prepend=-1)).tolist(), len(sizes)]
+        for a, b in zip(edges[:-1], edges[1:]):
+            yield batch.slice(a, b - a)
+
+
 def _dealt(values: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of each shingle by its upper half, and what is kept of it there."""
     return ((values >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32), values.astype(np.uint32)
 
 
 def _order_key(bucket: np.ndarray, low: np.ndarray) -> np.ndarray:
-    """Bucket and 24 bits more, by which the order of shingles is decided (two that share it may stand in any order)."""
+    """Bucket and 24 bits more, by which shingles are counted and known to be frequent."""
     return bucket.astype(np.uint64) << np.uint64(24) | (low >> np.uint32(8)).astype(np.uint64)
 
 
@@ -90,7 +103,7 @@ def _runs(*columns: np.ndarray) -> np.ndarray:
 def describe(docs: DataFrame, width: int) -> DataFrame:
     """``doc_id, n_shingles`` and a 128-bit digest of each document's set."""
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             rows = []
             for values in shingle_sets(batch.column(1).to_pylist(), width):
                 one, two = mix64(values).sum(dtype=np.uint64), mix64(~values).sum(dtype=np.uint64)
@@ -108,7 +121,7 @@ def frequent_shingles(docs: DataFrame, width: int, buckets: int, more_than: int,
     arrives at its owner once per batch however frequent it is.
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             values, _ = _batches_of(shingle_sets(batch.column(0).to_pylist(), width))
             keys = np.sort(_order_key(*_dealt(values, buckets)))
             first = _runs(keys)
@@ -142,7 +155,8 @@ def frequent_shingles(docs: DataFrame, width: int, buckets: int, more_than: int,
     # The least frequency at which no more than ``most`` are left, from how many shingles have each power of 1.1.
     step = F.floor(F.log(1.1, "documents"))
     kept, least = 0, None
-    for r in counted.groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect():
+    steps = counted.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()
+    for r in sorted(steps, key=lambda r: -r["step"]):
         kept += r["n"]
         if kept > most:
             break
@@ -155,7 +169,7 @@ def frequent_shingles(docs: DataFrame, width: int, buckets: int, more_than: int,
 
 
 class ShingleOrder:
-    """Place of a shingle in the common order: by hash, then the frequent ones, rarest first."""
+    """Place of a shingle in the common order: by hash, then the frequent ones, rarest first (those of one key by hash)."""
 
     def __init__(self, frequent: np.ndarray):
         by_key = np.argsort(frequent)
@@ -167,13 +181,13 @@ class ShingleOrder:
     def _slot(keys: np.ndarray) -> np.ndarray:
         return (keys & np.uint64((1 << 22) - 1)).astype(np.int64)
 
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        out = mix64(keys) >> np.uint64(1)
+    def __call__(self, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+        out = mix64(values) >> np.uint64(1)
         some = np.flatnonzero(self.maybe[self._slot(keys)])
         if len(some):
             at = np.minimum(np.searchsorted(self.keys, keys[some]), len(self.keys) - 1)
             hit = self.keys[at] == keys[some]
-            out[some[hit]] = np.uint64(1 << 63) + self.places[at[hit]]
+            out[some[hit]] = np.uint64(1 << 63) + (self.places[at[hit]] << np.uint64(8)) + (values[some[hit]] & np.uint64(0xFF))
         return out
 
 
@@ -208,12 +222,12 @@ def candidate_edges(docs: DataFrame, frequent: np.ndarray, width: int, percent:
 
     def leading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = known.value
-        for batch in batches:
+        for batch in _sliced(batches):
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             values, sizes = _batches_of(shingle_sets(batch.column(1).to_pylist(), width))
             bucket, low = _dealt(values, buckets)
             keys = bucket.astype(np.uint64) << np.uint64(32) | low.astype(np.uint64)
-            places, ends = order(_order_key(bucket, low)), np.cumsum(sizes)
+            places, ends = order(_order_key(bucket, low), values), np.cumsum(sizes)
             count = _leading(sizes, percent)
             lead = np.concatenate([a + np.argpartition(places[a:b], n - 1)[:n] for a, b, n in zip(ends - sizes, ends, count) if n] or [np.empty(0, np.int64)])
             owner = np.repeat(np.arange(len(sizes)), count)
@@ -311,98 +325,102 @@ def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Linker:
-    """Union-find over the documents of one block."""
+    """Components of the documents of one block, with a label per document."""
 
     def __init__(self, n: int):
-        self.parent = list(range(n))
-
-    def find(self, x: int) -> int:
-        while self.parent[x] != x:
-            self.parent[x] = self.parent[self.parent[x]]
-            x = self.parent[x]
-        return x
+        self.label = np.arange(n)
+        self.members = [[k] for k in range(n)]
 
     def union(self, x: int, y: int) -> None:
-        x, y = self.find(x), self.find(y)
-        self.parent[max(x, y)] = min(x, y)
+        x, y = self.label[x], self.label[y]
+        if x == y:
+            return
+        if len(self.members[x]) < len(self.members[y]):
+            x, y = y, x
+        self.label[self.members[y]] = x  # the smaller one is renamed
+        self.members[x] += self.members[y]
+        self.members[y] = []
 
 
 def search_block(sets: list[np.ndarray], percent: int, together: list[int] = ()) -> list[tuple[int, int]]:
     """A spanning forest of the links between ``sets``, as pairs of indices.
 
     ``together`` are known to be one component and are not compared with each
-    other.  Documents query the inverted lists of those before them.  A list
-    keeps its members by component, so that components which the query has
-    joined are passed over as a whole.
+    other.  Documents query the inverted lists for those before them; documents
+    already joined with the query are passed over.
     """
-    values, sizes = _batches_of(iter(sets))
-    distinct, token, times = np.unique(values, return_inverse=True, return_counts=True)
+    known = set(together)
+    order = sorted(range(len(sets)), key=lambda k: k not in known)
+    values, sizes = _batches_of(iter([sets[k] for k in order]))
+    _, token, times = np.unique(values, return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(len(sizes)), sizes)
     shared = times[token] > 1
-    ends = np.searchsorted(owner[shared], np.arange(len(sizes) + 1))
-    tokens = token[shared]
-    own = [tokens[a:b] for a, b in zip(ends[:-1], ends[1:])]
-    lists: dict[int, dict[int, list[int]]] = defaultdict(dict)
+    token, owner = token[shared], owner[shared]
+    ends = np.searchsorted(owner, np.arange(len(sizes) + 1))
+    by_token = np.argsort(token, kind="stable")
+    holders = owner[by_token]  # each token's list, ascending
+    starts = np.searchsorted(token[by_token], np.arange(len(times) + 1))
+    place = np.empty(len(token), np.int64)
+    place[by_token] = np.arange(len(token))  # where a document stands on its token's list
     joined = Linker(len(sets))
     links: list[tuple[int, int]] = []
-    known = set(together)
-    for a, b in zip(together[:-1], together[1:]):
-        joined.union(a, b)
-
-    def linked(q: int, d: int) -> bool:
-        both = len(np.intersect1d(own[q], own[d], assume_unique=True))
-        return 100 * both >= percent * (sizes[q] + sizes[d] - both)
-
-    def join(q: int, d: int) -> None:
-        joined.union(q, d)
-        links.append((q, d))
-
-    for q in sorted(range(len(sets)), key=lambda k: k not in known):
-        mine = own[q].tolist()
+    for k in range(1, len(known)):
+        joined.union(k - 1, k)
+    for q in range(len(known), len(sizes)):
+        mine = slice(ends[q], ends[q + 1])
+        first, last = starts[token[mine]], place[mine]  # the part of a list before q
+        some = last > first
         need = int(required(sizes[q], percent))
-        if len(mine) >= max(need, 1) and q not in known:
-            # A first guess, so that the usual near copy passes over its whole group afterwards.
-            guesses = Counter(members[-1] for t in mine for members in lists[t].values())
-            for d, n in guesses.most_common(2):
-                if joined.find(d) != joined.find(q) and linked(q, d):
-                    join(q, d)
-            while True:  # again after each link, with the lists of components not yet joined
-                found = None
-                root = joined.find(q)
-                open_ = [[d for at, members in lists[t].items() if joined.find(at) != root for d in members] for t in mine]
-                for d in _divide_skip([x if len(x) < 2 else sorted(x) for x in open_ if x], need, q, sizes, percent):
-                    if joined.find(d) != root and linked(q, d):
-                        found = d
-                        break
-                if found is None:
-                    break
-                join(q, found)
-        root = joined.find(q)
-        for t in mine:
-            lists[t].setdefault(root, []).append(q)
+        if int(some.sum()) < max(need, 1):
+            continue
+        lists = [holders[a:b] for a, b in zip(first[some], last[some])]
+        for d in _divide_skip(lists, need, q, sizes, percent, joined.label):
+            if joined.label[d] != joined.label[q]:
+                joined.union(q, d)
+                links.append((order[q], order[d]))
     return links
 
 
-def _divide_skip(lists: list[list[int]], need: int, q: int, sizes: np.ndarray, percent: int) -> Iterator[int]:
-    """Documents that occur on enough of the sorted ``lists`` to link with ``q``; at least ``need`` occurrences."""
-    if len(lists) < need:
-        return
+def _divide_skip(lists: list[np.ndarray], need: int, q: int, sizes: np.ndarray, percent: int, label: np.ndarray) -> list[int]:
+    """Documents of other components that occur on enough of the sorted ``lists`` to link with ``q``.
+
+    A heap holds the heads of the short lists and yields them window by window
+    of document numbers; what occurs often enough there is probed in the long lists.
+    """
     lists.sort(key=len)
     longest = len(lists[-1])
     skip = min(need - 1, int(need / (PROBE * log2(max(longest, 2)) + 1)))
     short, long = lists[:len(lists) - skip], lists[len(lists) - skip:]
-    for d, run in groupby(heapq.merge(*short)):
-        n = sum(1 for _ in run)
-        if n < need - skip:
-            continue
-        enough = max(need, overlap_needed(int(sizes[q]), int(sizes[d]), percent))
+    heap = [(int(x[0]), k, 0) for k, x in enumerate(short)]
+    heapq.heapify(heap)
+    found: list[int] = []
+    while heap:
+        window = heap[0][0]
+        parts = []
+        while heap and heap[0][0] < window + WINDOW:
+            _, k, at = heapq.heappop(heap)
+            to = at + int(np.searchsorted(short[k][at:], window + WINDOW))
+            parts.append(short[k][at:to])
+            if to < len(short[k]):
+                heapq.heappush(heap, (int(short[k][to]), k, to))
+        counts = np.bincount(np.concatenate(parts) - window)
+        d = np.flatnonzero(counts >= max(1, need - skip))
+        n = counts[d]
+        d = d + window
+        # A link of sizes x and y needs an overlap of percent * (x + y) / (100 + percent).
+        enough = np.maximum(need, -(-percent * (sizes[q] + sizes[d]) // (100 + percent)))
+        open_ = (label[d] != label[q]) & (n + skip >= enough)
+        d, n, enough = d[open_], n[open_], enough[open_]
         for k, members in enumerate(long):
-            if n >= enough or n + len(long) - k < enough:
+            at = np.minimum(np.searchsorted(members, d), len(members) - 1)
+            n = n + (members[at] == d)
+            if k % 8 == 7:
+                left = n + (len(long) - k - 1) >= enough
+                d, n, enough = d[left], n[left], enough[left]
+            if not len(d):
                 break
-            at = bisect_left(members, d)
-            n += at < len(members) and members[at] == d
-        if n >= enough:
-            yield d
+        found += d[n >= enough].tolist()
+    return found
 
 
 def _search_group(width: int, percent: int):
@@ -484,7 +502,8 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 75, more_than
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     frequent = frequent_shingles(named, width, buckets, more_than, most)
     near = candidate_edges(named, frequent, width, percent, buckets, more_than)
-    copies = described.where(F.col("doc_id").isNotNull()).join(classes.where("copies > 1"), identity).where("doc_id != stands").select(F.col("doc_id").alias("a"), F.col("stands").alias("b"))
+    found = cut_lineage(described.join(classes, identity, "left").drop("set_a", "set_b"))
+    copies = found.where("copies > 1 AND doc_id != stands").select(F.col("doc_id").alias("a"), F.col("stands").alias("b"))
     clusters = cut_lineage(connected_components(near.union(copies)))
     standing = classes.where(F.col("stands").isNotNull()).join(clusters, F.col("stands") == F.col("node")).select(
         F.col("component").alias("cluster"), "stands", *identity)
@@ -494,10 +513,24 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 75, more_than
     members = active.groupBy("cluster", "doc_id").agg(F.max("n_shingles").alias("n_shingles"))
     links = cut_lineage(verified_links(members, named, width, percent, block))
     groups = connected_components(links)
-    found = described.join(classes.drop("copies"), identity, "left")
     out = found.join(groups, F.col("stands") == F.col("node"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "stands", "doc_id").alias("component_id"))
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(read_table(spark, sf_dir, "documents"))
+
+
+#: All pairs of sets that share a shingle, and a closure over the links: for small tables.
+OP10_SQL = r"""WITH RECURSIVE split_ AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+sets AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM split_),
+classes AS MATERIALIZED (SELECT list_sort(s) AS s, min(doc_id) AS doc_id, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY 1, 3),
+shingles AS MATERIALIZED (SELECT doc_id, n, unnest(s) AS x FROM classes),
+links AS MATERIALIZED (SELECT a, b FROM (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_, any_value(a.n) + any_value(b.n) AS n FROM shingles a JOIN shingles b
+  ON a.x = b.x AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n) GROUP BY 1, 2) WHERE 100 * both_ >= 75 * (n - both_)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM classes UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON l.a = r.b),
+groups_ AS (SELECT a, min(b) AS component_id FROM reach GROUP BY 1)
+SELECT t.doc_id, CAST(len(t.s) AS BIGINT) AS n_shingles, coalesce(g.component_id, t.doc_id) AS component_id FROM sets t LEFT JOIN classes c ON c.s = list_sort(t.s) LEFT JOIN groups_ g ON g.a = c.doc_id"""

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usageloom.llm.common import crc_of_id, cut_lineage, places, read_table
+from usageloom.llm.common import crc_of_id, crc_sql, cut_lineage, places, read_table
 
 #: 2 ** BLOCK_LEVELS rows are one append task.
 BLOCK_LEVELS = 12
@@ -190,3 +190,41 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     folded = made.withColumn("folded_root", fold(F.when(tampered, F.col("tampered_leaf")).otherwise(F.col("leaf")), F.col("siblings")))
     proof = F.sha2(F.array_join(F.transform("siblings", lambda s: s["digest"]), ""), 256)
     return folded.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def _fields(chars: str) -> str:
+    columns = ("doc_id", "source", "lang", chars, "text")
+    return " || ".join(f"coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || CAST({c} AS VARCHAR), '-')" for c in columns)
+
+
+OP12_SQL = f"""WITH RECURSIVE rows_ AS (
+  SELECT doc_id, lang, sha256({_fields('n_chars')}) AS leaf,
+    sha256({_fields('n_chars + 1')}) AS other,
+    coalesce({crc_sql('CAST(doc_id AS VARCHAR)')} % 7 = 0, false) AS tampered FROM documents),
+placed AS MATERIALIZED (SELECT *, coalesce('=' || lang, '-') AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM rows_),
+low AS (
+  SELECT tree, 0 AS level, place, leaf AS digest, count(*) OVER (PARTITION BY tree) AS n FROM placed
+  UNION ALL
+  SELECT tree, level + 1, place // 2, sha256(string_agg(digest, '' ORDER BY place)), (min(n) + 1) // 2 FROM low WHERE n > 1 GROUP BY tree, level, place // 2),
+subs AS MATERIALIZED (SELECT tree, digest AS subroot, row_number() OVER (ORDER BY encode(tree)) - 1 AS place FROM low WHERE n = 1),
+high AS (
+  SELECT 0 AS level, place, subroot AS digest, count(*) OVER () AS n FROM subs
+  UNION ALL
+  SELECT level + 1, place // 2, sha256(string_agg(digest, '' ORDER BY place)), (min(n) + 1) // 2 FROM high WHERE n > 1 GROUP BY level, place // 2),
+paths AS MATERIALIZED (
+  SELECT p.tree, p.place, h.level AS step, (p.place >> h.level) % 2 = 1 AS on_right, s.digest FROM placed p JOIN (SELECT DISTINCT tree, level FROM low WHERE n > 1) h USING (tree)
+  LEFT JOIN low s ON s.tree = p.tree AND s.level = h.level AND s.place = xor(p.place >> h.level, 1)
+  UNION ALL
+  SELECT p.tree, p.place, 1000 + h.level, (t.place >> h.level) % 2 = 1, s.digest FROM placed p JOIN subs t USING (tree) CROSS JOIN (SELECT DISTINCT level FROM high WHERE n > 1) h
+  LEFT JOIN high s ON s.level = h.level AND s.place = xor(t.place >> h.level, 1)),
+numbered AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY tree, place ORDER BY step) AS k FROM paths),
+folds AS (
+  SELECT tree, place, 0::BIGINT AS k, CASE WHEN tampered THEN other ELSE leaf END AS node FROM placed
+  UNION ALL
+  SELECT f.tree, f.place, s.k, sha256(CASE WHEN s.on_right THEN coalesce(s.digest, '') || f.node ELSE f.node || coalesce(s.digest, '') END) FROM folds f JOIN numbered s
+  ON s.tree = f.tree AND s.place = f.place AND s.k = f.k + 1),
+ends AS (SELECT tree, place, arg_max(node, k) AS folded_root FROM folds GROUP BY 1, 2),
+proofs AS (SELECT tree, place, sha256(string_agg(coalesce(digest, ''), '' ORDER BY k)) AS proof_sha256 FROM numbered GROUP BY 1, 2)
+SELECT doc_id, leaf, subroot, digest AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = digest AS verified
+FROM placed JOIN subs USING (tree) JOIN ends ON ends.tree = placed.tree AND ends.place = placed.place LEFT JOIN proofs ON proofs.tree = placed.tree AND proofs.place = placed.place,
+(SELECT digest FROM high WHERE n = 1)"""

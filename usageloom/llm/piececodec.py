@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import heapq
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -27,6 +28,9 @@ SLICE = 1 << 19
 #: Symbols up to which a plain list is the faster agenda.
 SHORT = 32
 _NEVER = 1 << 62
+_TIED = -1
+_BITS = 24
+_MASK = (1 << _BITS) - 1
 
 
 class PieceCodec:
@@ -41,6 +45,13 @@ class PieceCodec:
         self.id = {model.id_to_piece(k): k for k in plain}
         order = {score: k for k, score in enumerate(sorted({model.get_score(k) for k in plain}, reverse=True))}
         self.place = {model.id_to_piece(k): order[model.get_score(k)] for k in plain}
+        # For short segments: symbols as ids, pairs as numbers.  Of pieces that share a score the leftmost goes first, which the heap sees to.
+        self.char = {c: k for c, k in self.id.items() if len(c) == 1}
+        longer = [p for p in self.id if len(p) > 1]
+        often = Counter(self.place[p] for p in longer)
+        splits = ((p, p[:k], p[k:]) for p in longer for k in range(1, len(p)))
+        self.merged = {self.id[a] << _BITS | self.id[b]: self.place[p] << _BITS | self.id[p] if often[self.place[p]] == 1 else _TIED
+                       for p, a, b in splits if a in self.id and b in self.id}
         self.byte = {int(model.id_to_piece(k)[3:5], 16): k for k in every if model.is_byte(k)}
         if len(self.byte) != 256:
             raise ValueError("the model has no byte fallback")
@@ -54,28 +65,33 @@ class PieceCodec:
 
     def _segment(self, segment: str) -> bytes:
         """Ids of one segment: the agenda yields the adjacent pair of the best score, of equal ones the leftmost."""
-        symbols = self._by_list(segment) if len(segment) <= SHORT else self._by_heap(segment)
+        if len(segment) <= SHORT:
+            try:
+                return array("i", self._by_list([self.char[c] for c in segment])).tobytes()
+            except KeyError:  # a character that needs its bytes, or scores that tie
+                pass
         ids = array("i")
-        for s in symbols:
+        for s in self._by_heap(segment):
             if s in self.id:
                 ids.append(self.id[s])
             else:
                 ids.extend(self.byte[b] for b in s.encode("utf-8", "surrogatepass"))
         return ids.tobytes()
 
-    def _by_list(self, segment: str) -> list[str]:
-        """The agenda of a short segment is the list of its pairs' score places, in the order of the text."""
-        place = self.place.get
-        symbol = list(segment)
-        agenda = [place(segment[k:k + 2], _NEVER) for k in range(len(segment) - 1)]
+    def _by_list(self, symbol: list[int]) -> list[int]:
+        """The agenda of a short segment is the list of its pairs in the order of the text: score place and merged id as one number."""
+        merged = self.merged.get
+        agenda = [merged(a << _BITS | b, _NEVER) for a, b in zip(symbol, symbol[1:])]
         while agenda and (best := min(agenda)) != _NEVER:
+            if best == _TIED:
+                raise KeyError("pieces of one score")
             k = agenda.index(best)
-            symbol[k:k + 2] = [symbol[k] + symbol[k + 1]]
-            del agenda[k]
+            symbol[k] = best & _MASK
+            del symbol[k + 1], agenda[k]
             if k < len(agenda):
-                agenda[k] = place(symbol[k] + symbol[k + 1], _NEVER)
+                agenda[k] = merged(symbol[k] << _BITS | symbol[k + 1], _NEVER)
             if k:
-                agenda[k - 1] = place(symbol[k - 1] + symbol[k], _NEVER)
+                agenda[k - 1] = merged(symbol[k - 1] << _BITS | symbol[k], _NEVER)
         return symbol
 
     def _by_heap(self, segment: str) -> list[str]:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from usageloom.llm.common import crc_of_id, cut_lineage, mix64, places, read_table
+from usageloom.llm.common import crc_of_id, crc_sql, cut_lineage, mix64, places, read_table
 
 NODE = ["depth", "x", "y"]
 PARENT = ["above_x", "above_y"]
@@ -288,3 +288,22 @@ def rebuilt(conversations: DataFrame, family: int = 5, most: int = 8) -> tuple[D
 
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(*rebuilt(read_table(spark, sf_dir, "conversations")))
+
+
+_TURN = "octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')"
+OP13_SQL = f"""WITH had AS (SELECT conv_id, sha256({_TURN}) AS turn_sha, octet_length(encode(coalesce(text, ''))) AS n_bytes,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS place FROM conversations WHERE conv_id IS NOT NULL),
+convs AS MATERIALIZED (SELECT conv_id, conv_id - conv_id % 5 AS base, CAST({crc_sql('CAST(conv_id AS VARCHAR)')} % 9 AS BIGINT) AS h FROM (SELECT DISTINCT conv_id FROM had)),
+own AS (SELECT c.conv_id, t.turn_sha, t.n_bytes, t.place, 0 AS part FROM convs c JOIN had t ON t.conv_id = c.base AND t.place < c.h
+  UNION ALL SELECT c.conv_id, t.turn_sha, t.n_bytes, t.place, 1 FROM convs c JOIN had t ON t.conv_id = c.conv_id AND t.place >= c.h),
+turns AS MATERIALIZED (SELECT conv_id, turn_sha, n_bytes, row_number() OVER (PARTITION BY conv_id ORDER BY part, place) AS depth FROM own),
+prefixes AS MATERIALIZED (SELECT conv_id, depth, sha256(string_agg(turn_sha, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS node, n_bytes FROM turns
+  UNION ALL SELECT conv_id, 0, '', 0 FROM convs),
+lengths AS (SELECT conv_id, max(depth) AS length FROM prefixes GROUP BY 1),
+nodes AS MATERIALIZED (SELECT node, min(conv_id) AS conv_id, any_value(depth) AS depth, any_value(n_bytes) AS n_bytes, count(*) AS n_convs,
+  bool_and(depth = length) AS childless, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (depth = length) AS ends FROM prefixes JOIN lengths USING (conv_id) GROUP BY node),
+above AS (SELECT n.node AS below, p.node AS node, p.depth FROM nodes n JOIN prefixes p ON p.conv_id = n.conv_id AND p.depth <= n.depth),
+sums AS (SELECT a.node, CAST(count(*) FILTER (n.childless) AS BIGINT) AS n_leaves, CAST(sum((n.n_convs - 1) * n.n_bytes) AS BIGINT) AS saved_tokens,
+  CAST(count(*) FILTER (n.depth = a.depth + 1) AS BIGINT) AS n_children FROM above a JOIN nodes n ON n.node = a.below GROUP BY 1)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, s.n_children, s.n_leaves, s.saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
+FROM nodes n JOIN sums s USING (node) LEFT JOIN (SELECT a.below, m.conv_id FROM above a JOIN nodes m ON m.node = a.node JOIN nodes n ON n.node = a.below WHERE a.depth = n.depth - 1) p ON p.below = n.node"""
