@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from usageloom.model import PRICE, PRICE_TOOL, REQUEST, Window, utc
 from usageloom.operators import rollups as A
-from usageloom.operators.pricing import cost_requests
+from usageloom.operators.pricing import MOST_TOOL_RATES, cost_requests, server_tool_cost
 from usageloom.sources.prices import load_prices, price_overlaps, validate_price_ranges
 
 D = dt.date
@@ -42,8 +42,8 @@ def costs(df):
     return {r.request_id: r.cost_usd for r in df.collect()}
 
 
-@pytest.mark.parametrize("inline", [True, False])
-def test_price_periods_and_factors(spark, inline):
+@pytest.mark.parametrize("joined", [False, True])
+def test_price_periods_and_factors(spark, joined):
     p = price(
         spark,
         dict(model="s", valid_from=D(2026, 1, 1), valid_to=D(2026, 9, 1), in_usd=2.0),
@@ -65,7 +65,7 @@ def test_price_periods_and_factors(spark, inline):
         dict(request_id="unpriced", model="zzz", **m),
         dict(request_id="synthetic", model="s", is_synthetic=1, **m),
     )
-    got = costs(cost_requests(rows, p, t, inline))
+    got = costs(cost_requests(rows, p, t, server_tool_cost(rows, t) if joined else None))
     assert got == {
         "before": 2.0, "on": 3.0, "fast": 30.0, "not_fast": 5.0, "batch": pytest.approx(2.75), "tool": pytest.approx(2.02),
         "broken_tool": 2.0, "unpriced": None,
@@ -122,3 +122,23 @@ def test_load_prices_fills_defaults(spark, tmp_path):
     m, t = models.first(), tool.first()
     assert (m.model, m.fast_x, m.cache_w1h_x, m.valid_to, m.source_url) == ("a", 6.0, 2.0, None, "list")
     assert (t.tool, t.valid_to, t.usd_per_unit) == ("t", D(2026, 2, 1), 0.5)
+
+
+@pytest.mark.parametrize("models,problem", [
+    ([], "no model prices"),
+    ([("a", "2026-01-01", "2026-03-01"), ("a", "2026-02-01", None)], "overlap"),
+    ([("a", "2026-01-01", "2026-01-01")], "a from 2026-01-01"),
+])
+def test_load_prices_refuses_wrong_lists(spark, tmp_path, models, problem):
+    doc = {"models": [{"model": m, "valid_from": a, "valid_to": b, "in_usd": 1.0, "out_usd": 2.0} for m, a, b in models], "server_tools": []}
+    (tmp_path / "p.json").write_text(json.dumps(doc))
+    with pytest.raises(ValueError, match=problem):
+        load_prices(spark, str(tmp_path / "p.json"))
+
+
+def test_a_long_list_of_tool_rates_is_refused_inside_the_scan_and_joined_on_request(spark):
+    p, rows = price(spark, dict(model="s")), requests(spark, dict(model="s", server_tool_use=json.dumps({"t7": 2})))
+    long = tools(spark, *[dict(tool=f"t{k}", usd_per_unit=0.01) for k in range(MOST_TOOL_RATES + 1)])
+    with pytest.raises(Exception, match="tool rates"):
+        cost_requests(rows, p, long).collect()
+    assert costs(cost_requests(rows, p, long, server_tool_cost(rows, long))) == {"r": pytest.approx(0.02)}

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from usageloom.catalog import rawlines as RL
 from usageloom.catalog.registry import query, rounded, us
+from usageloom.fixed_values import SECRET_PATTERNS
 from usageloom.operators import attribution as AT, merge as M
-from usageloom.sources import events as E, ingest as I, sinks, transcripts as S
+from usageloom.sources import events as E, ingest as I, prices as PR, sinks, transcripts as S
 from usageloom.sources.adapters import with_tables
 from usageloom.session import cut_lineage, shared_dir
 
@@ -239,27 +240,42 @@ CORPUS_PATTERNS = (
 )
 
 
-def _redact_sql() -> str:
+def _duck(pattern: str) -> str:
+    """The pattern for DuckDB's expressions: word boundaries there are ASCII, long repeats have no bound."""
+    return pattern.replace("(?iU)", "(?i)").replace("(?U)", "").replace("{0,15000}?", "*?")
+
+
+def _redact_sql(patterns=CORPUS_PATTERNS) -> str:
     steps, text, found = [], "text", []
-    for i, (name, pattern) in enumerate(CORPUS_PATTERNS):
+    for i, (name, pattern) in enumerate((n, _duck(p)) for n, p in patterns):
         matches = f"regexp_extract_all({text}, '{pattern}')"
         steps.append((f"d{i}", (
             f"SELECT doc_id, list_transform(list_zip(string_split_regex({text}, '{pattern}'), list_append({matches}, '')), lambda z: z[1] || CASE WHEN z[2] = '' THEN '' ELSE "
             f"'[REDACTED:{name}:' || substr(sha256(z[2]), 1, 12) || ']' END).array_to_string('') AS t, list_concat({found[-1] if found else '[]::VARCHAR[]'}, list_transform({matches}, "
             f"lambda m: '{name}:' || substr(sha256(m), 1, 12))) AS f FROM {'documents' if i == 0 else f'd{i - 1}'}")))
         text, found = "t", ["f"]
-    return with_tables(extra=tuple(steps)) + f"SELECT doc_id, sha256(t) AS text_sha, len(f) AS n_found, sha256(array_to_string(f, ',')) AS found_sha FROM d{len(CORPUS_PATTERNS) - 1}"
+    return with_tables(extra=tuple(steps)) + f"SELECT doc_id, sha256(t) AS text_sha, len(f) AS n_found, sha256(array_to_string(f, ',')) AS found_sha FROM d{len(patterns) - 1}"
 
 
-@query("t13_redact", _redact_sql())
-def _(L):
+def _redacted(L, patterns):
     from usageloom.functions.redaction import redact
 
-    out = L.table("documents").select("doc_id", redact("text", CORPUS_PATTERNS).alias("r"))
+    out = L.table("documents").select("doc_id", redact("text", patterns).alias("r"))
     return out.select("doc_id", F.sha2("r.text", 256).alias("text_sha"), F.size("r.detections").cast("bigint").alias("n_found"),
                       F.sha2(F.array_join("r.detections", ","), 256).alias("found_sha"))
 
 
+@query("t13_redact", _redact_sql())
+def _(L):
+    return _redacted(L, CORPUS_PATTERNS)
+
+
+@query("t13_redact_secrets", _redact_sql(SECRET_PATTERNS))
+def _(L):
+    """All patterns of secrets, one after the other, over the documents and the secrets planted there."""
+    return _redacted(L, SECRET_PATTERNS)
+
+
 # ---- causal attribution ----
 
 NOTE_TEXT = ("CASE WHEN {n} % 9 = 0 THEN concat('<task-notification><tool-use-id>t', CAST(2 * CAST(floor({n} / 6e0) AS BIGINT) AS STRING), "
@@ -314,6 +330,28 @@ def _(L):
     return tools.select("tool_use_id", "prompt_id")
 
 
+# ---- price lists ----
+
+_PART_PRICE = """named_struct('model', concat('m', CAST(p_partkey AS STRING)), 'valid_from', concat('2024-01-', lpad(CAST(p_size % 28 + 1 AS STRING), 2, '0')),
+'valid_to', CASE WHEN p_size % 3 = 0 THEN '2025-01-01' END, 'in_usd', p_retailprice / 1e2, 'out_usd', p_retailprice / 2e1,
+'fast_x', CASE WHEN p_size % 2 = 0 THEN 4.0D END, 'source_url', CASE WHEN p_size % 5 = 0 THEN p_type END)"""
+
+
+@query("s07_load_prices", """SELECT concat('m', CAST(p_partkey AS VARCHAR)) AS model, CAST(concat('2024-01-', lpad(CAST(p_size % 28 + 1 AS VARCHAR), 2, '0')) AS DATE) AS valid_from,
+CASE WHEN p_size % 3 = 0 THEN DATE '2025-01-01' END AS valid_to, p_retailprice / 1e2 AS in_usd, p_retailprice / 2e1 AS out_usd, 0.2::DOUBLE AS cache_read_x, 1.25::DOUBLE AS cache_w5m_x,
+2.0::DOUBLE AS cache_w1h_x, 0.5::DOUBLE AS batch_x, CASE WHEN p_size % 2 = 0 THEN 4.0 ELSE 3.0 END::DOUBLE AS fast_x, 1.0::DOUBLE AS geo_us_x, CASE WHEN p_size % 5 = 0 THEN p_type ELSE
+'parts' END AS source_url FROM part""")
+def _(L):
+    """Every part as a model in price files of a few hundred models; defaults of the file, then of the library, fill the gaps."""
+    root = f"{shared_dir(L.spark)}/usageloom/s07-{uuid.uuid4().hex}"
+    rows = L.table("part").selectExpr("CAST(floor(p_partkey / 3e2) AS BIGINT) AS file", f"{_PART_PRICE} AS m")
+    files = rows.groupBy("file").agg(F.collect_list("m").alias("models"))
+    document = F.to_json(F.struct(F.lit("parts").alias("source_url"), F.struct(F.lit(0.2).alias("cache_read_x"), F.lit(3.0).alias("fast_x")).alias("defaults"), "models",
+                                  F.array().cast("array<struct<tool: string>>").alias("server_tools")))
+    files.select("file", document.alias("value")).repartition("file").write.partitionBy("file").text(root)
+    return PR.load_prices(L.spark, f"{root}/*/*.txt")[0]
+
+
 # ---- whole path, sinks, manifest ----
 
 @query("s10_write_ledger", with_tables("base", extra=EVP + (("u", USAGE), ("mg", MERGED))) + """SELECT count(*) AS n, CAST(sum(output_tok) AS BIGINT) AS output_tok, CAST(sum(is_interrupted)

@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 
 from usageloom.catalog import rawlines as RL
 from usageloom.catalog.ingest import EVP, MERGED, USAGE
-from usageloom.catalog.registry import query, rounded, us
-from usageloom.operators import merge as M
+from usageloom.catalog import state as C
+from usageloom.catalog.registry import SQL, query, rounded, us
+from usageloom.operators import merge as M, pointintime as P
 from usageloom.session import cut_lineage, shared_dir
 from usageloom.sources import sinks, transcripts as S
 from usageloom.sources.adapters import with_tables
-from usageloom.streaming import requests as SR, state as ST, windows as SW
+from usageloom.streaming import budgets as SB, requests as SR, state as ST, windows as SW
 
 _DAY = 86_400_000_000
 
@@ -148,3 +149,49 @@ def _(L):
     files = dealt_files(hooks, "hooks", by_time(hooks), 3)
     out = ST.latest_of(over_restarts(files, lambda df: ST.inflight_stream(df, "13 hours", 90 * 86_400), "inflight"))
     return out.withColumn("is_open", F.col("is_open").cast("int"))
+
+
+def live_budgets(L, name):
+    """Priced requests in three files, one batch each, up to six hours early or late, restarted; every batch is written twice."""
+    priced = L.cost.select("session_id", "ts", "cost_usd")
+    files = dealt_files(priced, name, by_time(priced), 3)
+    target = f"{shared_dir(L.spark)}/usageloom/{name}-{uuid.uuid4().hex}"
+    write = SB.budget_writer(f"{target}/live", C._BUDGET, C.TZ)
+
+    def twice(batch, batch_id):
+        write(batch, batch_id)
+        write(batch, batch_id)
+
+    for shown in (1, 2, 3):
+        SW.for_each_batch(files(shown), twice, f"{target}/checkpoint").awaitTermination()
+    return f"{target}/live"
+
+
+@query("r02_pace_stream", SQL["r02_pace_landing"])
+def _(L):
+    sums = SB.live_sums(L.spark, live_budgets(L, "pace"))
+    return rounded(P.pace_landing(sums, sums, C.AS_OF, C.TZ), today_usd=8, pace_ratio=6, landing_usd=6)
+
+
+@query("r03_budget_stream", SQL["r03_budget_usage"])
+def _(L):
+    sums = SB.live_sums(L.spark, live_budgets(L, "budget"))
+    return rounded(P.budget_usage(sums, C._BUDGET, C.AS_OF, C.TZ), cost_usd=8, used_ratio=6)
+
+
+_LOCAL = "CAST(make_timestamp(us + 32400000000) AS DATE)"
+_CROSSED = with_tables("cost", extra=(
+    ("d", f"SELECT {_LOCAL} AS d, sum(cost_usd) AS c FROM cost GROUP BY 1"),
+    ("p", f"SELECT 'day' AS period, d AS start, c, {C._BUDGET['day']}::DOUBLE AS b FROM d UNION ALL SELECT 'week', CAST(date_trunc('week', d) AS DATE), sum(c), {C._BUDGET['week']}::DOUBLE FROM d "
+          f"GROUP BY 2 UNION ALL SELECT 'month', CAST(date_trunc('month', d) AS DATE), sum(c), {C._BUDGET['month']}::DOUBLE FROM d GROUP BY 2"),
+)) + "SELECT period, start, CAST(level AS INT) AS level FROM p, (VALUES (50), (80), (100)) v(level) WHERE c * 100 >= level * b"
+
+
+@query("r03_budget_crossings", _CROSSED)
+def _(L):
+    return P.budget_crossings(L.cost, C._BUDGET, C.TZ)
+
+
+@query("r03_crossings_stream", _CROSSED)
+def _(L):
+    return SB.crossings(L.spark, live_budgets(L, "crossings")).drop("batch")

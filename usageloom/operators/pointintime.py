@@ -124,6 +124,25 @@ def budget_usage(
     )
 
 
+BUDGET_LEVELS = (50, 80, 100)
+
+
+def budget_crossings(cost: DataFrame, budgets: dict[str, float | None], tz: str) -> DataFrame:
+    """Every day, week (from Monday) and month with the levels of its budget that its cost has reached (R-03).
+
+    One row per period, its first local day and level; rows of ``cost`` may be
+    requests or sums of them.
+    """
+    day = local_day("ts", tz)
+    starts = {"day": day, "week": F.date_trunc("week", day).cast("date"), "month": F.trunc(day, "month")}
+    known = [F.struct(F.lit(name).alias("period"), start.alias("start"), F.lit(float(budgets[name])).alias("budget_usd"))
+             for name, start in starts.items() if budgets.get(name)]
+    per_day = cost.groupBy(F.array(*known).alias("periods")).agg(F.sum("cost_usd").alias("cost_usd"))
+    spent = per_day.select(F.explode("periods").alias("p"), "cost_usd").groupBy("p").agg(F.sum("cost_usd").alias("cost_usd"))
+    reached = spent.withColumn("level", F.explode(F.array(*[F.lit(x) for x in BUDGET_LEVELS])))
+    return reached.where(F.col("cost_usd") * 100 >= F.col("level") * F.col("p.budget_usd")).select("p.period", "p.start", "level")
+
+
 def session_cache_state(
     req: DataFrame, price: DataFrame, as_of: dt.datetime, active_s: int = 43_200
 ) -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from usageloom.functions.scalar import nz, price_factor, utc_day
-from usageloom.session import fits
 
-INLINE_TOOL_RATES = 1000
+#: Most validity segments of tool rates that are evaluated inside the scan.
+MOST_TOOL_RATES = 1000
 PRICE_COLUMNS = (
     "in_usd", "out_usd", "cache_read_x", "cache_w5m_x", "cache_w1h_x",
     "batch_x", "fast_x", "geo_us_x",
@@ -51,8 +51,11 @@ def tool_units(server_tool_use) -> Column:
 
 
 def _inline_tool_usd(req: DataFrame, price_tool: DataFrame) -> DataFrame:
+    """Rates are looked up inside the scan; the list is read once, with the query, and its length is checked there."""
     segments = price_segments(price_tool, "tool", ("usd_per_unit",))
-    rates = segments.agg(F.expr("collect_list(struct(tool, seg_from, seg_to, usd_per_unit))")).scalar()
+    rates = segments.limit(MOST_TOOL_RATES + 1).agg(F.expr(
+        f"CASE WHEN count(*) > {MOST_TOOL_RATES} THEN raise_error('more than {MOST_TOOL_RATES} tool rates: give tool_usd=server_tool_cost(...)') "
+        "ELSE collect_list(struct(tool, seg_from, seg_to, usd_per_unit)) END")).scalar()
     day = "date_from_unix_date(CAST(floor(unix_micros(ts) / 8.64E10) AS INT))"
     usd = (
         "CASE WHEN server_tool_use IS NULL THEN 0.0D ELSE coalesce(aggregate("
@@ -79,34 +82,26 @@ def server_tool_cost(req: DataFrame, price_tool: DataFrame) -> DataFrame:
     )
 
 
-def with_tool_cost(
-    req: DataFrame, price_tool: DataFrame, inline: bool | None = None
-) -> DataFrame:
-    """Add ``server_tool_usd``.
-
-    A price list of at most ``INLINE_TOOL_RATES`` rows is evaluated inside the
-    scan of the requests; a longer one is joined and summed by request.
-    """
-    if inline is None:
-        inline = fits(price_tool, INLINE_TOOL_RATES)
-    if inline:
+def with_tool_cost(req: DataFrame, price_tool: DataFrame, tool_usd: DataFrame | None = None) -> DataFrame:
+    """Add ``server_tool_usd``: looked up inside the scan, or joined from ``tool_usd`` if that is given."""
+    if tool_usd is None:
         return _inline_tool_usd(req, price_tool)
-    usd = server_tool_cost(req, price_tool)
-    return req.join(usd, "request_id", "left").withColumn(
-        "server_tool_usd", F.coalesce("server_tool_usd", F.lit(0.0))
-    )
+    return req.join(tool_usd, "request_id", "left").withColumn("server_tool_usd", F.coalesce("server_tool_usd", F.lit(0.0)))
 
 
 def cost_requests(
-    req: DataFrame, price: DataFrame, price_tool: DataFrame, inline: bool | None = None
+    req: DataFrame, price: DataFrame, price_tool: DataFrame, tool_usd: DataFrame | None = None
 ) -> DataFrame:
     """Non-synthetic requests with rates and money columns (J-01 and J-02).
 
+    A list of more than ``MOST_TOOL_RATES`` tool rates is an error unless
+    ``tool_usd`` (``server_tool_cost``, for lists of any length) is given.
+
     Unpriced requests stay, with NULL cost.  The price segments are small and
     carry their size, so the planner broadcasts them below its threshold and
     otherwise shuffles on ``model``.
     """
-    facts = with_tool_cost(req.where("is_synthetic = 0"), price_tool, inline)
+    facts = with_tool_cost(req.where("is_synthetic = 0"), price_tool, tool_usd)
     rates = price_segments(price, "model", PRICE_COLUMNS).withColumnRenamed("model", "_model")
     priced = facts.join(
         rates, (facts["model"] == rates["_model"]) & covers(utc_day(facts["ts"])), "left"

@@ -53,8 +53,20 @@ def tool_prices(price_file: DataFrame) -> DataFrame:
 
 
 def load_prices(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Model and tool prices of a list (S-07), of one file or a folder of them.
+
+    Raises an error for a list without models and for periods that are empty or
+    overlap (S-08), naming the first of them.
+    """
     file = read_price_file(spark, path)
-    return model_prices(file), tool_prices(file)
+    models, tools = model_prices(file), tool_prices(file)
+    if models.isEmpty():
+        raise ValueError(f"no model prices in {path}")
+    for price, key in ((models, "model"), (tools, "tool")):
+        wrong = validate_price_ranges(price, key).orderBy(key, "valid_from").first()
+        if wrong:
+            raise ValueError(f"prices of {wrong[key]} from {wrong['valid_from']}: {wrong['problem']}")
+    return models, tools
 
 
 def validate_price_ranges(price: DataFrame, key: str) -> DataFrame:
