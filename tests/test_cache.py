@@ -1,15 +1,19 @@
 """Cache-break causes, one small lineage each."""
 
 import datetime as dt
+import random
 
 import pytest
 
 from test_pricing import requests
 from usageloom.model import utc
+from usageloom.operators.breakfacts import break_facts, build_breaks
 from usageloom.operators.cache import cache_identity
+from usageloom.operators.rollups import period_filter
 from usageloom.plans.overview import context_window
 from usageloom.functions.periods import PRESETS, between, iso_week, last_days, month_of
 from usageloom.model import Page, Window
+from usageloom.sources.sinks import read_ledger, write_ledger
 
 T0 = utc("2026-07-20T12:00:00")
 
@@ -78,3 +82,30 @@ def test_periods():
     for bad in (dict(limit=0), dict(limit=201), dict(page=0), dict(order="up"), dict(sort="name")):
         with pytest.raises(ValueError):
             Page(**bad)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_breaks_built_by_days_equal_one_build(spark, tmp_path, seed):
+    """Any split into batches of days, with a batch built twice; periods open only their days."""
+    pick = random.Random(seed)
+    rows = [dict(request_id=f"r{k}", lineage_id=f"l{k % 4}" if k % 9 else None, session_id=f"s{k % 4}", ts=T0 + dt.timedelta(minutes=pick.randrange(6 * 1440)), model=pick.choice("aab"),
+                 cache_read_tok=pick.choice([0, 900, 1000]), cache_w5m_tok=pick.choice([0, 100]), cache_w1h_tok=pick.choice([0, 0, 100]), is_interrupted=int(k % 11 == 0),
+                 is_synthetic=int(k % 13 == 0)) for k in range(150)]
+    for r in rows:
+        r["end_ts"] = r["ts"]
+    req = requests(spark, *rows)
+    events = spark.createDataFrame([(T0 + dt.timedelta(minutes=pick.randrange(6 * 1440)), pick.choice(["PreCompact", "SessionStart"]), f"s{pick.randrange(4)}") for _ in range(40)],
+                                   "ts timestamp, kind string, session_id string")
+    whole = sorted(map(str, cache_identity(req, events).collect()))
+    days = [T0.date() + dt.timedelta(days=k) for k in range(7)]
+    edges = sorted(pick.sample(range(1, 7), 2))
+    spans = [(days[0], days[edges[0] - 1]), (days[edges[0]], days[edges[1] - 1]), (days[edges[1]], days[6])]
+    path = str(tmp_path)
+    write_ledger({"request": req}, path)
+    stored = read_ledger(spark, path, "request")
+    for first, last in (spans[0], spans[1], spans[1], spans[2]):
+        build_breaks(stored, events, path, first, last)
+    facts = break_facts(spark, path)
+    assert sorted(map(str, facts.drop("utc_day").collect())) == whole and whole
+    plan = period_filter(facts, Window(days[2], days[3]), "UTC")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(utc_day" in plan

@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
-from usageloom.catalog.registry import query, rounded, us
+from pyspark.sql import functions as F
+
+from usageloom.catalog.registry import SQL, query, rounded, us
 from usageloom.catalog.rollups import LOCAL_DAY, TZ, W14, between, scoped
 from usageloom.fixed_values import CAUSES
 from usageloom.functions.scalar import micros
-from usageloom.operators import cache as C, rollups as A
+from usageloom.operators import breakfacts as BF, cache as C, rollups as A
+from usageloom.session import shared_dir
 from usageloom.sources.adapters import with_tables
+from usageloom.sources.sinks import read_ledger, write_ledger
 
 AS_OF = dt.datetime(2024, 1, 29, 6, 30, tzinfo=dt.timezone.utc)
 AS_OF_US = int(AS_OF.timestamp()) * 1_000_000
@@ -179,3 +184,51 @@ active_days < 10 THEN 'insufficient_data' WHEN usd / evidence_span_days < 5 OR 1
 def _(L):
     out = C.ttl_review(L.cost, priced_breaks_of(L), AS_OF, 14, TZ)
     return rounded(out, all_cache_write_usd=8, ttl_expiry_rebuild_usd=8, ttl_share_pct=6, avoidable_usd_per_calendar_day=6)
+
+
+# ---- breaks as facts, built in batches of days ----
+
+def built_breaks(L):
+    """Requests and hooks written by day; breaks built in three batches of days, the second of them twice."""
+    root = f"{shared_dir(L.spark)}/usageloom/breaks-{uuid.uuid4().hex}"
+    write_ledger({"request": L.request.drop("prompt_id"), "hook_event": L.hook_event}, root, {})
+    req, hooks = read_ledger(L.spark, root, "request"), read_ledger(L.spark, root, "hook_event")
+    first, last = req.agg(F.min("utc_day"), F.max("utc_day")).first()
+    days = (last - first).days + 1
+    edges = [first + dt.timedelta(days=days * k // 3) for k in range(4)]
+    spans = [(a, b - dt.timedelta(days=1)) for a, b in zip(edges[:-1], edges[1:]) if a < b]
+    for a, b in [*spans[:2], spans[min(1, len(spans) - 1)], *spans[2:]]:
+        BF.build_breaks(req, hooks, root, a, b)
+    return BF.break_facts(L.spark, root)
+
+
+def facts_priced(L):
+    """Breaks of the period by their days, the money from the period's requests, known sessions."""
+    return C.priced_breaks(A.period_filter(built_breaks(L), W14, TZ), scoped(L), L.session)
+
+
+@query("w01_break_facts", SQL["w01_cache_identity"])
+def _(L):
+    return rounded(built_breaks(L).withColumn("us", us("ts")).drop("ts", "utc_day"), gap_seconds=6)
+
+
+@query("a18_rebuild_from_facts", SQL["a18_rebuild_by_cause"])
+def _(L):
+    return rounded(C.rebuild_by_cause(facts_priced(L)), cost_usd=8)
+
+
+@query("a19_sessions_from_facts", SQL["a19_cache_sessions"])
+def _(L):
+    out = C.cache_sessions(scoped(L), facts_priced(L), L.session, 15)
+    return rounded(out, w5m_usd=8, w1h_usd=8, write_usd=8, read_usd=8, hit_ratio=6, blended_usd_per_mtok=6, cost_usd=8)
+
+
+@query("k03_losses_from_facts", SQL["k03_top_losses"])
+def _(L):
+    return rounded(C.top_losses(facts_priced(L), 15), gap_seconds=6, rebuild_usd=8)
+
+
+@query("a32_ttl_from_facts", SQL["a32_ttl_review"])
+def _(L):
+    out = C.ttl_review(L.cost, built_breaks(L), AS_OF, 14, TZ)
+    return rounded(out, all_cache_write_usd=8, ttl_expiry_rebuild_usd=8, ttl_share_pct=6, avoidable_usd_per_calendar_day=6)

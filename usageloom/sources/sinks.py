@@ -23,7 +23,7 @@ _GONE = "_emptied"
 _SLOTS = 64
 
 
-def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+def stored_table(spark: SparkSession, path: str) -> DataFrame | None:
     """A written table with all columns it ever had, or None if there is none yet."""
     try:
         return spark.read.option("mergeSchema", True).parquet(path)
@@ -69,10 +69,10 @@ def _write(df: DataFrame, target: str, key: list[str] | None) -> None:
     dated = utc_day("ts") if "ts" in df.columns else F.lit(None).cast("date")
     given = df.drop(DAY).withColumn(DAY, dated)
     batch = cut_lineage(latest_of_key(given, key) if key else given)
-    old = _stored(spark, data)
+    old = stored_table(spark, data)
     if key:
         pairs = batch.select(F.pmod(F.xxhash64(*key), F.lit(_SLOTS)).cast("int").alias("slot"), *key, DAY)
-        days = _stored(spark, f"{target}/days")
+        days = stored_table(spark, f"{target}/days")
         if days is not None:
             own = pairs.select(F.col("slot").alias("_slot"), *[F.col(k).alias(f"_{k}") for k in key]).distinct()
             same = (days["slot"] == F.col("_slot"))
@@ -110,7 +110,7 @@ def _whole(stored: DataFrame) -> DataFrame:
 
 def read_ledger(spark: SparkSession, path: str, name: str) -> DataFrame:
     """A ledger table with its UTC day, by which period filters prune; columns added later are NULL in older days."""
-    stored = _stored(spark, f"{path}/{name}/rows")
+    stored = stored_table(spark, f"{path}/{name}/rows")
     if stored is None:
         raise FileNotFoundError(f"no ledger table {name} under {path}")
     return _whole(stored)
@@ -118,7 +118,7 @@ def read_ledger(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 def rows_of(spark: SparkSession, path: str, name: str, wanted: DataFrame) -> DataFrame | None:
     """Ledger rows whose columns equal a row of ``wanted`` (some or all of the key); only the days they stand on are read."""
-    days = _stored(spark, f"{path}/{name}/days")
+    days = stored_table(spark, f"{path}/{name}/days")
     if days is None:
         return None
     wanted = wanted.distinct()
