@@ -1,5 +1,6 @@
 """Temporal operators against brute force, with keys split into many small buckets."""
 
+import datetime as dt
 import random
 
 import pytest
@@ -111,3 +112,27 @@ def test_global_rank(spark):
     got = {r.id: (r["rank"], r.total) for r in global_rank(df, [F.desc("v"), F.asc("id")]).collect()}
     order = sorted(data, key=lambda r: (-r[0], r[1]))
     assert got == {r[1]: (n + 1, 200) for n, r in enumerate(order)}
+
+
+@pytest.mark.parametrize("batch_rows", [7, 10_000])
+def test_throttle_of_a_long_burst_equals_the_loop(spark, batch_rows):
+    """Two days of samples every five seconds without a pause, in small batches too; repeated and unordered rows."""
+    from usageloom.operators.pointintime import throttle_seconds
+
+    start = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+    seconds = [k * 5 + (k * k) % 3 for k in range(34_560)] if batch_rows > 7 else [k * 5 + (k * k) % 3 for k in range(500)]
+    rows = [("s", start + dt.timedelta(seconds=n)) for n in seconds] + [("t", start), ("t", start + dt.timedelta(seconds=14)), ("t", start + dt.timedelta(seconds=15)), ("t", start)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch_rows)
+    try:
+        got = throttle_seconds(spark.createDataFrame(rows[::-1], "session_id string, ts timestamp"), 15).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want, last = [], None
+    for n in seconds:
+        if last is None or n - last >= 15:
+            last = n
+            want.append(n)
+    base = int(start.timestamp())
+    assert sorted(r.kept_s - base for r in got if r.session_id == "s") == want
+    assert sorted(r.kept_s - base for r in got if r.session_id == "t") == [0, 15]

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import calendar
 import datetime as dt
 
 from pyspark.sql import DataFrame, functions as F
 
-from usageloom.functions.scalar import share, utc_month
+from usageloom.functions.scalar import share
+from usageloom.model import Window
+from usageloom.operators.rollups import period_filter
 
 CALIBRATABLE_PCT = 5.0
 
@@ -36,11 +39,18 @@ def recent_nudges(nudge: DataFrame, n: int = 20) -> DataFrame:
     )
 
 
+def in_month(cost: DataFrame, month: str) -> DataFrame:
+    """Rows of a UTC month (``YYYY-MM``), between two instants that reach the scan."""
+    first = dt.datetime.strptime(month, "%Y-%m").replace(tzinfo=dt.timezone.utc)
+    last = dt.date(first.year, first.month, calendar.monthrange(first.year, first.month)[1])
+    return period_filter(cost, Window(first.date(), last), "UTC")
+
+
 def invoice_check(
     invoice: DataFrame, cost: DataFrame, unaccounted: DataFrame, month: str
 ) -> DataFrame:
     """Billed amount of a UTC month against the ledger and its known gaps (A-30)."""
-    ledger = cost.where(utc_month("ts") == month).agg(F.coalesce(F.sum("cost_usd"), F.lit(0.0))).scalar()
+    ledger = in_month(cost, month).agg(F.coalesce(F.sum("cost_usd"), F.lit(0.0))).scalar()
     lost = (
         unaccounted.where(F.col("month_utc") == month)
         .agg(F.coalesce(F.sum("input_side_lower_usd"), F.lit(0.0))).scalar()
@@ -61,7 +71,7 @@ def invoice_check(
 def invoice_allocation(check: DataFrame, cost: DataFrame, month: str) -> DataFrame:
     """Residual of a calibratable month spread over models by their cost (A-30)."""
     models = (
-        cost.where(utc_month("ts") == month)
+        in_month(cost, month)
         .groupBy(F.coalesce("model", F.lit("?")).alias("model")).agg(F.sum("cost_usd").alias("cost_usd"))
     )
     one = check.where((F.col("calibratable") == 1) & (F.col("ledger_usd") != 0))

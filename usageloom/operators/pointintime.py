@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Iterator
 from zoneinfo import ZoneInfo
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from usageloom import fixed_values as fixed
@@ -380,8 +383,10 @@ def receipts(
     min_usd: float = fixed.PROMPT_CRIT_USD, within_s: int = 600,
 ) -> DataFrame:
     """Costly prompts whose last request ended a moment ago and that were not reported yet (R-08)."""
-    last = cost.groupBy("prompt_id").agg(F.max("ts").alias("last_ts"))
     lo = as_of - dt.timedelta(seconds=within_s)
+    recent = cost.where((F.col("ts") >= F.lit(lo)) & (F.col("ts") <= F.lit(as_of))).select("prompt_id").distinct()
+    cost = cost.join(recent, "prompt_id", "left_semi")
+    last = cost.groupBy("prompt_id").agg(F.max("ts").alias("last_ts"))
     rows = (
         prompt_cost(cost).select("prompt_id", "cost_usd", "n_requests")
         .where(F.col("cost_usd") >= min_usd)
@@ -434,15 +439,28 @@ def throttle_seconds(samples: DataFrame, every_s: int = 15) -> DataFrame:
         F.floor(F.col("s") / F.lit(3600.0)).cast("bigint").alias("hour"),
     )
     bursts = last_non_null(marked, "session_id", ("hour", "s"), ("hour",), "start", "burst")
-    # A burst of d seconds has at most d rows; only its integers are gathered.
-    chain = bursts.groupBy("session_id", "burst").agg(F.sort_array(F.collect_list("s")).alias("seconds"))
-    never = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("kept"))
-
-    def step(acc: Column, s: Column) -> Column:
-        take = acc["last"].isNull() | (s - acc["last"] >= every_s)
-        return F.when(
-            take, F.struct(s.alias("last"), F.concat(acc["kept"], F.array(s)).alias("kept"))
-        ).otherwise(acc)
-
-    kept = F.aggregate("seconds", never, step, lambda acc: acc["kept"])
-    return chain.select("session_id", F.explode(kept).alias("kept_s"))
+    # Rows of a burst pass by in order, so a task holds one batch of integers and the last second it kept.
+    ordered = bursts.select("session_id", "burst", "s").repartition("session_id", "burst").sortWithinPartitions("session_id", "burst", "s")
+    return ordered.mapInArrow(_greedy(every_s), "session_id string, kept_s bigint")
+
+
+def _greedy(every_s: int):
+    """Of the ascending seconds of each (session, burst), the first and then each that is ``every_s`` after the last one kept."""
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = None, None
+        for batch in batches:
+            sessions, burst, s = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
+            codes = sessions.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.r_[True, (codes[1:] != codes[:-1]) | (burst[1:] != burst[:-1])]) if len(s) else []
+            kept = []
+            for a, b in zip(starts, [*starts[1:], len(s)]):
+                key = (sessions[a].as_py(), burst[a])
+                at = a if key != now else a + int(np.searchsorted(s[a:b], last + every_s))
+                now = key
+                while at < b:
+                    kept.append(at)
+                    last = s[at]
+                    at += int(np.searchsorted(s[at:b], last + every_s))
+            yield pa.RecordBatch.from_arrays([sessions.take(pa.array(kept, pa.int64())), pa.array(s[kept] if kept else [], pa.int64())], ["session_id", "kept_s"])
+
+    return keep

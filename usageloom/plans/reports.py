@@ -20,12 +20,17 @@ def _entries(df: DataFrame, section: str, label: Column, n: Column, usd: Column)
     )
 
 
+def of_prompts_in(cost: DataFrame, facts: DataFrame) -> DataFrame:
+    """All requests of the prompts that occur in ``facts``: only these are worth adding up."""
+    return cost.join(facts.select("prompt_id").distinct(), "prompt_id", "left_semi")
+
+
 def today(cost: DataFrame, prompt: DataFrame, day: dt.date, tz: str, top: int = 5) -> DataFrame:
     """The day's total, its models and the costliest prompts that began on it (A-36)."""
-    facts = cost.where(in_window("ts", Window(day, day), tz))
+    facts = A.period_filter(cost, Window(day, day), tz)
     total = A.daily(facts, tz)
     models = A.model_mix(facts)
-    begun = A.prompt_cost(cost).where(local_day("ts", tz) == F.lit(day))
+    begun = A.prompt_cost(of_prompts_in(cost, facts)).where(local_day("ts", tz) == F.lit(day))
     best = F.broadcast(A.top_n(begun, "cost_usd", [F.asc("prompt_id")], top))
     return A.union_rows(
         _entries(total, "total", F.col("day"), F.col("n_requests"), F.col("cost_usd")),
@@ -39,9 +44,9 @@ def week(
 ) -> DataFrame:
     """The last seven days: totals, break causes, start-up context, prompts, models (A-36)."""
     w = Window(day - dt.timedelta(days=6), day)
-    facts = cost.where(in_window("ts", w, tz))
+    facts = A.period_filter(cost, w, tz)
     lo, hi = w.instants(tz)
-    begun = A.prompt_cost(cost).where((F.col("ts") >= F.lit(lo)) & (F.col("ts") < F.lit(hi)))
+    begun = A.prompt_cost(of_prompts_in(cost, facts)).where((F.col("ts") >= F.lit(lo)) & (F.col("ts") < F.lit(hi)))
     causes = breaks.where(in_window("ts", w, tz)).groupBy("cause").agg(F.count(F.lit(1)).alias("n"))
     startup = overhead.where(in_window("first_ts", w, tz)).agg(
         F.count("startup_context_tok").alias("n"), F.avg("startup_context_tok").alias("v")
@@ -134,7 +139,7 @@ def label_candidates(
 ) -> DataFrame:
     """Costliest prompts of a week that nobody has labelled yet (A-40)."""
     begun = prompt.where(in_window("ts", w, tz) & F.col("task_label").isNull())
-    priced = A.prompt_cost(cost).select("prompt_id", "cost_usd", "n_requests")
+    priced = A.prompt_cost(of_prompts_in(cost, begun)).select("prompt_id", "cost_usd", "n_requests")
     rows = begun.select("prompt_id", "session_id", clip_text("text", 200).alias("text")).join(
         priced, "prompt_id"
     )
