@@ -142,3 +142,12 @@ def test_a_long_list_of_tool_rates_is_refused_inside_the_scan_and_joined_on_requ
     with pytest.raises(Exception, match="tool rates"):
         cost_requests(rows, p, long).collect()
     assert costs(cost_requests(rows, p, long, server_tool_cost(rows, long))) == {"r": pytest.approx(0.02)}
+
+
+def test_overlaps_pair_counted_periods_and_repeat_each_pair(spark):
+    early, late, apart = (D(2026, 1, 1), None), (D(2026, 2, 1), D(2026, 2, 5)), (D(2026, 3, 1), D(2026, 3, 2))
+    rows = [("a", *early)] * 70 + [("a", *late)] * 80 + [("b", *late)] * 3 + [("b", *apart)] * 3
+    found = price_overlaps(spark.createDataFrame(rows, "model string, valid_from date, valid_to date"), "model")
+    assert [tuple(r) for r in found.groupBy(*found.columns).count().collect()] == [("a", early[0], late[0], 5600)]
+    joined = found._jdf.queryExecution().optimizedPlan().toString().split("Join ", 1)[1]
+    assert joined.count("Aggregate") == 2  # equal periods are counted before they meet

@@ -83,20 +83,27 @@ def validate_price_ranges(price: DataFrame, key: str) -> DataFrame:
     ).where(F.col("problem").isNotNull())
 
 
+def _repeated(df: DataFrame, count: str, slice_rows: int = 4096) -> DataFrame:
+    """Each row ``count`` times; no array holds more than ``slice_rows`` values."""
+    slices = F.sequence(F.lit(0).cast("bigint"), F.col(count) - 1, F.lit(slice_rows).cast("bigint"))
+    cut = df.withColumn("_from", F.explode(slices))
+    size = F.least(F.lit(slice_rows), F.col(count) - F.col("_from")).cast("int")
+    return cut.withColumn("_copy", F.explode(F.array_repeat(F.lit(True), size))).drop("_from", "_copy", count)
+
+
 def price_overlaps(price: DataFrame, key: str) -> DataFrame:
-    """Overlapping pairs of periods of one key (J-10); price lists hold a few rows per key."""
-    a, b = price.alias("a"), price.alias("b")
+    """Overlapping pairs of periods of one key, one row per pair (J-10).
+
+    Equal periods are counted before they are paired, so the join grows with
+    the different periods of a key; its rows are then dealt over all tasks and repeated.
+    """
     open_end = F.lit(dt.date(9999, 12, 31))
-    return a.join(
-        b,
-        (F.col(f"a.{key}") == F.col(f"b.{key}"))
-        & (F.col("a.valid_from") < F.col("b.valid_from"))
-        & (F.coalesce("a.valid_to", open_end) > F.col("b.valid_from")),
-    ).select(
-        F.col(f"a.{key}").alias("identity"),
-        F.col("a.valid_from").alias("valid_from"),
-        F.col("b.valid_from").alias("other_from"),
-    )
+    a = price.groupBy(F.col(key).alias("identity"), "valid_from", F.coalesce("valid_to", open_end).alias("_end")).agg(F.count(F.lit(1)).alias("_n"))
+    b = price.groupBy(F.col(key).alias("_key"), F.col("valid_from").alias("other_from")).agg(F.count(F.lit(1)).alias("_m"))
+    pairs = a.join(b, (F.col("identity") == F.col("_key")) & (F.col("valid_from") < F.col("other_from")) & (F.col("_end") > F.col("other_from")))
+    counted = pairs.groupBy("identity", "valid_from", "other_from").agg(F.sum(F.col("_n") * F.col("_m")).alias("_pairs"))
+    tasks = 4 * int(price.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _repeated(counted.repartition(tasks), "_pairs")
 
 
 def valid_on(day: Column | dt.date) -> Column:
