@@ -63,9 +63,9 @@ def load_prices(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     if models.isEmpty():
         raise ValueError(f"no model prices in {path}")
     for price, key in ((models, "model"), (tools, "tool")):
-        wrong = validate_price_ranges(price, key).orderBy(key, "valid_from").first()
+        wrong = validate_price_ranges(price, key).orderBy("identity", "valid_from").first()
         if wrong:
-            raise ValueError(f"prices of {wrong[key]} from {wrong['valid_from']}: {wrong['problem']}")
+            raise ValueError(f"prices of {wrong['identity']} from {wrong['valid_from']}: {wrong['problem']}")
     return models, tools
 
 
