@@ -7,6 +7,7 @@ every query, ``USAGELOOM_SF_DIR`` chooses the folder.
 import os
 import pathlib
 
+import duckdb
 import parity
 import pytest
 
@@ -39,3 +40,12 @@ def test_every_query_has_sql():
 def test_query_equals_sql(spark, con, name):
     ok, message = parity.compare(spark, name, REGISTRY.QUERIES[name], REGISTRY.SQL.get(name), FOLDER, con)
     assert ok, message
+
+
+def test_cache_state_of_requests_at_one_instant_equals_sql(spark, tmp_path):
+    """Every event stands three times at its instant: the largest request id counts on both sides."""
+    copies = duckdb.sql(f"SELECT e.* REPLACE (event_id + k * 1000 AS event_id) FROM '{FOLDER}/events.parquet' e, range(3) r(k)")
+    copies.write_parquet(str(tmp_path / "events.parquet"))
+    name = "r04_cache_state_stream"
+    ok, message = parity.compare(spark, name, REGISTRY.QUERIES[name], REGISTRY.SQL[name], str(tmp_path), parity.connect(str(tmp_path)))
+    assert ok, message

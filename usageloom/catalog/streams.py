@@ -120,8 +120,8 @@ _CTX = "coalesce(input_tok,0) + coalesce(cache_read_tok,0) + coalesce(cache_w5m_
 
 @query("r04_cache_state_stream", with_tables("request", extra=(
     ("mn", f"SELECT *, {_CTX} AS ctx FROM request WHERE agent_id IS NULL"),
-    ("l", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY us DESC) AS rn FROM mn) WHERE rn = 1"),
-    ("w", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY us DESC) AS rn FROM mn WHERE cache_w5m_tok > 0 OR cache_w1h_tok > 0) WHERE rn = 1"),
+    ("l", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY us DESC, request_id DESC) AS rn FROM mn) WHERE rn = 1"),
+    ("w", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY us DESC, request_id DESC) AS rn FROM mn WHERE cache_w5m_tok > 0 OR cache_w1h_tok > 0) WHERE rn = 1"),
     ("k", "SELECT l.session_id, l.ctx AS context_tok, CASE WHEN w.us IS NULL THEN 'unknown' WHEN w.cache_w5m_tok > 0 AND w.cache_w1h_tok > 0 THEN 'mixed' WHEN w.cache_w1h_tok > 0 THEN '1h' ELSE "
           "'5m' END AS ttl_kind, CASE WHEN w.us IS NOT NULL THEN CASE WHEN l.cache_read_tok > 0 OR l.cache_w5m_tok > 0 OR l.cache_w1h_tok > 0 THEN l.us ELSE w.us END END AS a FROM l LEFT JOIN w "
           "USING (session_id)"),
