@@ -33,11 +33,12 @@ count(*) FILTER (has_cut) + count(*) FILTER (id % 2 = 0) + count(*) FILTER (id %
 AS n_lines, count(DISTINCT path) AS n_paths FROM ev""")
 def _(L):
     """Lines written to text files, one folder per project, and read back."""
-    root = f"{shared_dir(L.spark)}/usageloom/s01"
-    lines = RL.transcript_lines(L)
-    lines.select(F.substring_index("path", "/", 1).alias("project"), "value").write.mode("overwrite").partitionBy("project").text(root)
+    root = f"{shared_dir(L.spark)}/usageloom/s01-{uuid.uuid4().hex}"
+    lines = RL.transcript_lines(L).select(F.substring_index("path", "/", 1).alias("project"), "value")
+    # The lines of a project meet first, else each task would leave a file in every folder.
+    lines.hint("rebalance", "project").write.partitionBy("project").text(root)
     back = S.read_lines(L.spark, root, "*.txt")
-    paths = lines.agg(F.countDistinct("path")).scalar()
+    paths = RL.line_paths(L).agg(F.countDistinct("path")).scalar()
     return back.agg(F.count(F.lit(1)).alias("n_lines")).withColumn("n_paths", paths)
 
 

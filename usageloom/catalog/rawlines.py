@@ -112,14 +112,24 @@ _PARTS = (
 )
 
 
-def transcript_lines(L: DriverLedger) -> DataFrame:
-    """Lines with the path they would be stored under and their arrival order."""
-    # The driver's table is a single row group: spread its events before they become text.
-    events = L.base.repartition("id").selectExpr(*[f"{e} AS {n}" for n, e in EVENT.items()]).selectExpr(
+def _with_path(base: DataFrame) -> DataFrame:
+    return base.selectExpr(*[f"{e} AS {n}" for n, e in EVENT.items()]).selectExpr(
         "*",
         "CASE WHEN hexid IS NULL THEN concat('proj-', CAST(usr AS STRING), '/', sess, '.jsonl') ELSE concat('proj-', "
         "CAST(usr AS STRING), '/', sess, '/subagents/agent-', hexid, '.jsonl') END AS path",
     )
+
+
+def line_paths(L: DriverLedger) -> DataFrame:
+    """Path of each event; every event leaves a line there at least."""
+    return _with_path(L.base).select("path")
+
+
+def transcript_lines(L: DriverLedger) -> DataFrame:
+    """Lines with the path they would be stored under and their arrival order."""
+    # Spread the events before they become text; by number, since slim events would be joined into a few tasks again.
+    tasks = int(L.spark.conf.get("spark.sql.shuffle.partitions"))
+    events = _with_path(L.base.repartition(tasks, "id"))
     entries = ", ".join(
         f"CASE WHEN {when} THEN named_struct('part', CAST({part} AS BIGINT), 'value', {value}) END"
         for when, part, value in _PARTS
