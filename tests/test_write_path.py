@@ -19,3 +19,12 @@ def test_a_project_is_written_by_one_task(spark, tmp_path, monkeypatch):
     QUERIES["s01_read_transcripts"](spark, FOLDER).collect()
     folders = list(tmp_path.glob("usageloom/s01*/project=*"))
     assert folders and all(len(list(f.glob("*.txt"))) == 1 for f in folders)
+
+
+def test_a_filter_on_records_parses_no_line_again(spark):
+    from usageloom.operators import merge as M
+    from usageloom.sources import ingest as I
+
+    raw = spark.createDataFrame([("p/s.jsonl", ("p/s.jsonl", 0, 1), "{}")], "path string, seq struct<path: string, block: bigint, line: bigint>, value string")
+    plan = M.normalize_usage(I.parse(raw).good)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(StructField(type") == 1

@@ -80,11 +80,9 @@ def parse_records(raw: DataFrame) -> DataFrame:
     A record's own ids win over those of its path.
     """
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    parsed = raw.select(
-        "path", "seq", "value",
-        F.from_json("value", RECORD_SCHEMA, options).alias("rec"),
-        path_context(F.col("path")).alias("ctx"),
-    )
+    record = F.struct(F.from_json("value", RECORD_SCHEMA, options).alias("rec"), path_context(F.col("path")).alias("ctx"))
+    # Filters on a record stay above the generator; below it each of their terms would parse the line again.
+    parsed = raw.select("path", "seq", "value", F.explode(F.array(record)).alias("r")).select("path", "seq", "value", "r.rec", "r.ctx")
     rows = parsed.select(
         "*",
         F.col("ctx.project").alias("project"),
