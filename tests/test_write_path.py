@@ -21,6 +21,12 @@ def test_a_project_is_written_by_one_task(spark, tmp_path, monkeypatch):
     assert folders and all(len(list(f.glob("*.txt"))) == 1 for f in folders)
 
 
+@pytest.mark.parametrize("name", ["t04_mark_interrupted", "t06_merge_tool_calls", "t08_merge_agents", "t15_regime_events"])
+def test_tables_read_the_stored_records_instead_of_parsing_again(spark, name):
+    plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json(StructField(type" not in plan and "StructsToJsonEvaluator(Map(),StructType(StructField(type" not in plan
+
+
 def test_a_filter_on_records_parses_no_line_again(spark):
     from usageloom.operators import merge as M
     from usageloom.sources import ingest as I

@@ -22,6 +22,11 @@ def parsed(L):
     return I.parse(RL.transcript_lines(L))
 
 
+def stored(L):
+    """For queries that take several tables from the records."""
+    return I.parse(RL.transcript_lines(L), store=True)
+
+
 @query("s02_path_context", WITH_EV + "SELECT DISTINCT path, concat('proj-', CAST(usr AS STRING)) AS project, sess AS session_id, hexid AS agent_id FROM ev")
 def _(L):
     lines = RL.transcript_lines(L).select("path").distinct()
@@ -90,7 +95,7 @@ def _(L):
 @query("t04_mark_interrupted", with_tables("base", extra=EVP + (("u", USAGE), ("mg", MERGED))) +
        "SELECT request_id, stop_reason, output_tok, is_interrupted FROM mg")
 def _(L):
-    return I.merged_requests(parsed(L)).select("request_id", "stop_reason", "output_tok", "is_interrupted")
+    return I.merged_requests(stored(L)).select("request_id", "stop_reason", "output_tok", "is_interrupted")
 
 
 _TIMES = """SELECT sess, us - 1000000 AS t FROM ev WHERE has_ask UNION ALL SELECT sess, us + j * 1000000 FROM ev, generate_series(1, n) g(j) UNION ALL SELECT sess, us +
@@ -112,7 +117,7 @@ ELSE 'Bash' END END AS name, CASE WHEN valid THEN us + 1000000 END AS us, CAST(i
 result_us, CASE WHEN valid AND id % 4 = 0 THEN concat('/f', tid) END AS file_path, CASE WHEN valid AND id % 4 = 0 THEN CASE WHEN id % 8 = 0 THEN 3 ELSE 2 END END::BIGINT AS
 lines_changed, CASE WHEN id % 10 <> 0 AND id % 18 = 4 THEN concat('wf_', CAST(id % 5 AS STRING)) END AS workflow_run_id FROM ep WHERE id % 2 = 0""")
 def _(L):
-    p = parsed(L)
+    p = stored(L)
     out = M.merge_tool_calls(M.tool_uses(p.good), M.tool_results(p.good))
     return out.withColumn("us", us("ts")).withColumn("result_us", us("result_ts")).drop("ts", "result_ts")
 
@@ -153,7 +158,7 @@ def _(L):
 )) + """SELECT agent_id, session_id, agent_type, spawn_depth, resolved_model, workflow_run_id, CASE WHEN workflow_run_id IS NOT NULL THEN fc.tid ELSE par END AS
 parent_tool_use_id FROM ag LEFT JOIN fc USING (workflow_run_id)""")
 def _(L):
-    p = parsed(L)
+    p = stored(L)
     tools = M.merge_tool_calls(M.tool_uses(p.good), M.tool_results(p.good))
     return M.merge_agents(M.spawn_results(p.good), S.read_agent_meta(RL.sidecar_files(L))[0], tools)
 
@@ -178,7 +183,7 @@ version, 0 AS o, t, path || lpad(CAST(id AS STRING), 12, '0') || p AS pos FROM (
 path, id, us + 1000000, '20' FROM ev)) GROUP BY 1, 2 UNION ALL SELECT 'cc_version', '9.9', NULL FROM ev WHERE id % 101 = 1 GROUP BY 1, 2 UNION ALL SELECT 'model_new', model, arg_min(us
 + 1000000, path || lpad(CAST(id AS STRING), 12, '0')) FROM ev WHERE valid AND model = 'px-new-9' GROUP BY 1, 2""")
 def _(L):
-    p = parsed(L)
+    p = stored(L)
     out = M.regime_events(S.readable(p.parsed), p.usage, L.price)
     return out.withColumn("us", us("ts")).drop("ts")
 
@@ -360,7 +365,7 @@ AS BIGINT) AS interrupted FROM mg""")
 def _(L):
     """Written twice to the shared folder and read back: the second write changes nothing."""
     target = f"{shared_dir(L.spark)}/usageloom/s10-{uuid.uuid4().hex}"
-    requests = I.merged_requests(parsed(L))
+    requests = cut_lineage(I.merged_requests(stored(L)))
     for _ in range(2):
         sinks.write_ledger({"request": requests}, target)
     back = sinks.read_ledger(L.spark, target, "request")
@@ -372,7 +377,7 @@ us, strftime(make_timestamp(us), '%Y-%m-%d') AS day FROM mg""")
 def _(L):
     """Three overlapping batches, in the first of which a quarter of the requests stand a day late; the end state is one full build."""
     target = f"{shared_dir(L.spark)}/usageloom/s10-{uuid.uuid4().hex}"
-    requests = cut_lineage(I.merged_requests(parsed(L)))
+    requests = cut_lineage(I.merged_requests(stored(L)))
     slot = F.pmod(F.xxhash64("request_id"), F.lit(4))
     late = F.when(slot == 0, F.col("ts") + F.expr("INTERVAL 1 DAY")).otherwise(F.col("ts"))
     for batch in (requests.where(slot <= 1).withColumn("ts", late).withColumn("output_tok", F.lit(None).cast("bigint")),

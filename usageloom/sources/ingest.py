@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from usageloom.fixed_values import SECRET_PATTERNS
 from usageloom.operators import merge as M
 from usageloom.operators.attribution import causal_attribution
+from usageloom.session import cut_lineage
 from usageloom.sources.transcripts import (
     parse_records, quarantine_split, read_agent_meta, readable,
 )
@@ -24,8 +25,15 @@ class Parsed:
     usage: DataFrame
 
 
-def parse(raw: DataFrame, patterns=SECRET_PATTERNS) -> Parsed:
+def parse(raw: DataFrame, patterns=SECRET_PATTERNS, store: bool = False) -> Parsed:
+    """Parsed records and what is taken from them.
+
+    With ``store`` each line is read and parsed once, into the shared folder, and
+    the tables read only their columns of it; the text is kept where it is rejected.
+    """
     parsed = parse_records(raw)
+    if store:
+        parsed = cut_lineage(parsed.withColumn("value", F.when(F.col("reason").isNotNull(), F.col("value"))))
     good, bad = quarantine_split(parsed, patterns)
     return Parsed(parsed, good, bad, M.carried_usage(good))
 
@@ -42,7 +50,7 @@ def build_ledger(
 
     Replaying everything and adding what is new therefore give the same state.
     """
-    p = parse(raw, patterns)
+    p = parse(raw, patterns, store=True)
     spark = raw.sparkSession
     meta = (
         read_agent_meta(sidecars)[0] if sidecars is not None
