@@ -34,3 +34,11 @@ def test_a_filter_on_records_parses_no_line_again(spark):
     raw = spark.createDataFrame([("p/s.jsonl", ("p/s.jsonl", 0, 1), "{}")], "path string, seq struct<path: string, block: bigint, line: bigint>, value string")
     plan = M.normalize_usage(I.parse(raw).good)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json(StructField(type") == 1
+
+
+def test_carrying_prompts_parses_no_line_again(spark):
+    from usageloom.sources import ingest as I
+
+    raw = spark.createDataFrame([("p/s.jsonl", ("p/s.jsonl", 0, 1), "{}")], "path string, seq struct<path: string, block: bigint, line: bigint>, value string")
+    plan = I.parse(raw).usage._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json(StructField(type" not in plan

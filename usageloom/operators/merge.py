@@ -9,6 +9,7 @@ from usageloom.functions.jsontext import spaced_ascii_json_length
 from usageloom.functions.redaction import redact
 from usageloom.functions.scalar import normalize_model, nz
 from usageloom.operators.temporal import last_non_null
+from usageloom.session import cut_lineage
 
 INTERRUPTION_TEXT = "[Request interrupted"
 
@@ -40,9 +41,10 @@ def carry_prompt(rows: DataFrame) -> DataFrame:
     ``rows`` has lineage_id, seq, own_prompt and named_prompt, and only those
     further columns that are needed afterwards: all of them are shuffled.  Order
     is arrival order.  A lineage is cut at file blocks, so no task sees more
-    than one block of it.
+    than one block of it.  The ends of blocks are looked up apart, so the rows
+    are stored first: otherwise every line would be read and parsed again for them.
     """
-    marked = rows.withColumn("_path", F.col("seq.path")).withColumn("_block", F.col("seq.block"))
+    marked = cut_lineage(rows).withColumn("_path", F.col("seq.path")).withColumn("_block", F.col("seq.block"))
     filled = last_non_null(
         marked, "lineage_id", ("seq",), ("_path", "_block"), "named_prompt", "_carried"
     )

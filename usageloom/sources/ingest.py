@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -22,7 +23,11 @@ class Parsed:
     parsed: DataFrame
     good: DataFrame
     bad: DataFrame
-    usage: DataFrame
+
+    @cached_property
+    def usage(self) -> DataFrame:
+        """Usage rows with their prompts; stored when first asked for."""
+        return M.carried_usage(self.good)
 
 
 def parse(raw: DataFrame, patterns=SECRET_PATTERNS, store: bool = False) -> Parsed:
@@ -35,7 +40,7 @@ def parse(raw: DataFrame, patterns=SECRET_PATTERNS, store: bool = False) -> Pars
     if store:
         parsed = cut_lineage(parsed.withColumn("value", F.when(F.col("reason").isNotNull(), F.col("value"))))
     good, bad = quarantine_split(parsed, patterns)
-    return Parsed(parsed, good, bad, M.carried_usage(good))
+    return Parsed(parsed, good, bad)
 
 
 def merged_requests(p: Parsed) -> DataFrame:
