@@ -4,7 +4,7 @@ import datetime as dt
 import random
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 from usageloom.operators import merge as M
 from usageloom.operators.pricing import cost_requests
@@ -130,3 +130,22 @@ def test_carry_starts_from_the_ledger(spark, tmp_path, carried):
     out = run_over_files(spark, tmp_path, slices, schema, lambda df: ST.carry_prompt_stream(df, start), idle_batches=False)
     first = None if carried is None else "p0"
     assert sorted((r.request_id, r.prompt_id) for r in out.collect()) == [("r1", first), ("r2", "px"), ("r3", "p1"), ("r4", "p1"), ("r5", None)]
+
+
+def test_carry_takes_and_gives_plain_rows():
+    """No pandas frame per lineage and batch."""
+    class Kept:
+        now = ("p0",)
+
+        def get(self):
+            return self.now
+
+        def update(self, value):
+            self.now = value
+
+    carry = ST._CarryPrompt(1)
+    carry.current = Kept()
+    given = [Row(lineage_id="a", ord=3, is_user=False, own_prompt=None, request_id="r3"), Row(lineage_id="a", ord=1, is_user=False, own_prompt=None, request_id="r1"),
+             Row(lineage_id="a", ord=2, is_user=True, own_prompt="p1", request_id=None)]
+    assert [tuple(r) for r in carry.handleInputRows(("a",), iter(given), None)] == [("r1", 1, "p0"), ("r3", 3, "p1")]
+    assert carry.current.now == ("p1",)

@@ -82,14 +82,16 @@ def _(L):
 @query("t09_carry_prompt_stream", with_tables("base", extra=EVP) + "SELECT rid AS request_id, prompt_id FROM ep WHERE valid")
 def _(L):
     """The first half of the events is in the ledger, the rest arrives in three files with a restart after each."""
-    records = cut_lineage(S.parse_records(RL.transcript_lines(L)).where("reason IS NULL"))
+    good = S.parse_records(RL.transcript_lines(L)).where("reason IS NULL AND rec.type IN ('user', 'assistant')")
+    records = cut_lineage(good.select("seq", "lineage_id", "request_id", F.struct("rec.type", "rec.promptId").alias("rec")))
     half = records.agg(F.max("seq.line")).first()[0] // 2
     early, later = records.where(F.col("seq.line") < half), records.where(F.col("seq.line") >= half)
     rows = ST.carry_rows(later, F.col("seq.line"))
     files = dealt_files(rows, "records", F.least(F.lit(2), F.floor((F.col("ord") - half) * 3 / half)), 3)
     carried = cut_lineage(ST.carried_prompts(early))
     streamed = over_restarts(files, lambda df: ST.carry_prompt_stream(df, carried), "carry", idle_batches=False)
-    before = M.carried_usage(early).where("request_id IS NOT NULL").select("request_id", F.col("seq.line").alias("ord"), "prompt_id")
+    named = early.select("seq", "lineage_id", "request_id", M.own_prompt().alias("own_prompt"), M.named_prompt().alias("named_prompt"), (F.col("rec.type") == "assistant").alias("_use"))
+    before = M.carry_prompt(named).where("_use AND request_id IS NOT NULL").select("request_id", F.col("seq.line").alias("ord"), "prompt_id")
     return before.union(streamed).groupBy("request_id").agg(F.min_by("prompt_id", "ord").alias("prompt_id"))
 
 

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from usageloom.fixed_values import NUDGE_DAILY_CAP
@@ -78,24 +78,21 @@ class _CarryPrompt(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.current = handle.getValueState("prompt", "prompt_id string", self.ttl_ms)
 
-    def handleInitialState(self, key: Any, initialState: pd.DataFrame, timerValues: Any) -> None:
-        for prompt in initialState["prompt_id"].dropna().tolist():
-            self.current.update((prompt,))
+    def handleInitialState(self, key: Any, initialState: Row, timerValues: Any) -> None:
+        if initialState.prompt_id is not None:
+            self.current.update((initialState.prompt_id,))
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         kept = self.current.get()
         prompt = kept[0] if kept else None
-        out = []
         # The micro-batch of a lineage, in arrival order: texts are gone, three short columns are left.
-        for ord_, is_user, own, request_id in sorted(_records(r[["ord", "is_user", "own_prompt", "request_id"]] for r in rows)):
-            own = None if _missing(own) else own
+        for ord_, is_user, own, request_id in sorted((r.ord, r.is_user, r.own_prompt, r.request_id) for r in rows):
             if is_user:
                 prompt = own or prompt
             else:
-                out.append((request_id, ord_, own or prompt))
+                yield Row(request_id=request_id, ord=ord_, prompt_id=own or prompt)
         if prompt is not None:
             self.current.update((prompt,))
-        yield pd.DataFrame(out, columns=["request_id", "ord", "prompt_id"])
 
     def close(self) -> None:
         pass
@@ -110,7 +107,8 @@ def carry_prompt_stream(records: DataFrame, carried: DataFrame | None = None, ke
     processing time, so run it without ``idle_batches``.
     """
     start = carried.select("lineage_id", "prompt_id").groupBy("lineage_id") if carried is not None else None
-    return records.groupBy("lineage_id").transformWithStateInPandas(
+    # By rows: most lineages have a few rows in a batch, for which a pandas frame each costs more than the work.
+    return records.groupBy("lineage_id").transformWithState(
         _CarryPrompt(keep_days * 86_400_000), "request_id string, ord bigint, prompt_id string", "append", "ProcessingTime", start
     )
 
