@@ -74,3 +74,12 @@ def test_only_touched_days_are_read_and_rewritten(spark, tmp_path):
     left = {p.parent.name for p in files if p.exists() and p.stat().st_mtime_ns == files[p]}
     assert left == {"utc_day=2024-01-01", "utc_day=2024-01-04", "utc_day=2024-01-05"}
     assert state(spark, tmp_path) == [("r0", 0, 0), ("r1", 2, 9), ("r2", 2, 2), ("r3", 3, 3), ("r4", 4, 4)]
+
+
+def test_a_stored_batch_is_not_stored_again(spark, tmp_path, monkeypatch):
+    stores = []
+    monkeypatch.setattr(sinks, "cut_lineage", lambda df, own=sinks.cut_lineage: stores.append(df.columns) or own(df))
+    for day, n in ((0, 1), (0, 2), (3, 3)):
+        sinks.write_ledger({"request": rows(spark, ("r1", day, n))}, str(tmp_path), stored=True)
+        assert state(spark, tmp_path) == [("r1", day, n)]
+    assert not [c for c in stores if "output_tok" in c]

@@ -28,13 +28,16 @@ def _(L):
 
 
 def dealt_files(df, name, slot, files):
-    """The rows of ``df`` in ``files`` files by ``slot``; returns ``stream(n)`` over the first ``n``, one file per batch."""
+    """The rows of ``df`` dealt into ``files`` folders by ``slot``; returns ``stream(n)`` over the first ``n`` of them.
+
+    A stream restarted with one folder more takes it as one batch; its files follow the size of the folder.
+    """
     root = f"{shared_dir(df.sparkSession)}/usageloom/files-{name}-{uuid.uuid4().hex}"
-    df.withColumn("_file", slot.cast("int")).repartition("_file").write.partitionBy("_file").parquet(root)
+    df.withColumn("_file", slot.cast("int")).hint("rebalance", "_file").write.partitionBy("_file").parquet(root)
 
     def stream(n):
         shown = "{" + ",".join(map(str, range(n))) + "}"
-        return SW.stream_parquet(df.sparkSession, f"{root}/_file={shown}/*.parquet", df.schema, 1)
+        return SW.stream_parquet(df.sparkSession, f"{root}/_file={shown}/*.parquet", df.schema)
 
     return stream
 
@@ -57,11 +60,11 @@ def over_restarts(stream, build, name, files=3, **options):
 @query("r10_stream_requests", with_tables("base", extra=EVP + (("u", USAGE), ("mg", MERGED))) + """SELECT * EXCLUDE (is_interrupted, output_tok, prompt_id), (SELECT
 max(output_tok) FROM u WHERE u.request_id = mg.request_id) AS output_tok FROM mg""")
 def _(L):
-    """Records dealt over four files in any order, one file per batch, with a restart after the second."""
+    """Records dealt over four folders in any order, one folder per batch, with a restart after each."""
     usage = M.normalize_usage(S.parse_records(RL.transcript_lines(L)).where(F.col("reason").isNull()))
     files = dealt_files(usage, "usage", F.pmod(F.xxhash64("request_id", "seq"), F.lit(4)), 4)
     target = f"{shared_dir(L.spark)}/usageloom/r10-{uuid.uuid4().hex}"
-    for shown in (2, 4):
+    for shown in (1, 2, 3, 4):
         parts = SR.stream_request_parts(files(shown), "90 days", "10 days")
         SW.for_each_batch(parts, SR.request_writer(f"{target}/ledger"), f"{target}/checkpoint", "update").awaitTermination()
     out = sinks.read_ledger(L.spark, f"{target}/ledger", "request")

@@ -18,7 +18,7 @@ KEYS = {
     "request": ["request_id"], "tool_call": ["tool_use_id"], "prompt": ["prompt_id"], "session": ["session_id"],
     "agent": ["session_id", "agent_id"],
 }
-#: Marks the row that keeps the place of a day which a batch has emptied; readers leave it out.
+#: Marks the row that keeps the place of a day which a batch has rewritten and perhaps emptied; readers leave it out.
 _GONE = "_emptied"
 _SLOTS = 64
 
@@ -47,7 +47,7 @@ def latest_of_key(df: DataFrame, key: list[str]) -> DataFrame:
     return df.groupBy(*[F.col(k).alias(f"_key_{k}") for k in key]).agg(F.max_by(F.struct(*df.columns), order).alias("row")).select("row.*")
 
 
-def write_ledger(tables: dict[str, DataFrame], path: str, keys: dict[str, list[str]] = KEYS) -> None:
+def write_ledger(tables: dict[str, DataFrame], path: str, keys: dict[str, list[str]] = KEYS, stored: bool = False) -> None:
     """Add a batch to the ledger (S-10): its rows replace those of the same key, wherever they stand.
 
     Writing a batch again changes nothing, and overlapping batches end in the
@@ -58,17 +58,18 @@ def write_ledger(tables: dict[str, DataFrame], path: str, keys: dict[str, list[s
     overwrite; files follow the size of a day and are sorted by session and time.
     Tables without ``ts`` are one day without a date; tables without a key are
     replaced day by day.  One writer at a time; a batch that failed half-way is
-    put right by writing it again.
+    put right by writing it again.  ``stored`` says that the tables were read from
+    files and hold each key once: they are neither reduced nor stored again.
     """
     for name, df in tables.items():
-        _write(df, f"{path}/{name}", keys.get(name))
+        _write(df, f"{path}/{name}", keys.get(name), stored)
 
 
-def _write(df: DataFrame, target: str, key: list[str] | None) -> None:
+def _write(df: DataFrame, target: str, key: list[str] | None, stored: bool) -> None:
     spark, data = df.sparkSession, f"{target}/rows"
     dated = utc_day("ts") if "ts" in df.columns else F.lit(None).cast("date")
     given = df.drop(DAY).withColumn(DAY, dated)
-    batch = cut_lineage(latest_of_key(given, key) if key else given)
+    batch = given if stored else cut_lineage(latest_of_key(given, key) if key else given)
     old = stored_table(spark, data)
     if key:
         pairs = batch.select(F.pmod(F.xxhash64(*key), F.lit(_SLOTS)).cast("int").alias("slot"), *key, DAY)
@@ -89,11 +90,9 @@ def _write(df: DataFrame, target: str, key: list[str] | None) -> None:
             of_day = F.col(DAY).isin([d for d in touched if d]) | (F.col(DAY).isNull() if None in touched else F.lit(False))
             before = _whole(old).where(of_day)
             stay = before.join(batch.select(*key), _same_key(before, batch, key), "left_anti")
-            batch = cut_lineage(stay.unionByName(batch, allowMissingColumns=True))
-            emptied = touched - {r[0] for r in batch.select(DAY).distinct().collect()}
-            if emptied:
-                gone = spark.createDataFrame([(d, True) for d in emptied], f"{DAY} date, {_GONE} boolean")
-                batch = batch.unionByName(gone, allowMissingColumns=True)
+            # Any of these days may end up empty.  A dynamic overwrite moves files when all are written, so the table may be read by it.
+            gone = spark.createDataFrame([(d, True) for d in touched], f"{DAY} date, {_GONE} boolean")
+            batch = stay.unionByName(batch, allowMissingColumns=True).unionByName(gone, allowMissingColumns=True)
     if _GONE not in batch.columns:
         batch = batch.withColumn(_GONE, F.lit(None).cast("boolean"))
     order = [c for c in ("session_id", "ts") if c in batch.columns]

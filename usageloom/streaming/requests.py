@@ -42,8 +42,8 @@ def request_writer(path: str):
         parts = cut_lineage(batch)
         if parts.isEmpty():
             return
-        write_ledger({"request_part": parts}, path, PART_KEYS)
+        write_ledger({"request_part": parts}, path, PART_KEYS, stored=True)
         own = rows_of(batch.sparkSession, path, "request_part", parts.select("request_id"))
-        write_ledger({"request": merge_parts(joined_parts(own))}, path, PART_KEYS)
+        write_ledger({"request": cut_lineage(merge_parts(joined_parts(own)))}, path, PART_KEYS, stored=True)
 
     return write
