@@ -42,3 +42,13 @@ def test_carrying_prompts_parses_no_line_again(spark):
     raw = spark.createDataFrame([("p/s.jsonl", ("p/s.jsonl", 0, 1), "{}")], "path string, seq struct<path: string, block: bigint, line: bigint>, value string")
     plan = I.parse(raw).usage._jdf.queryExecution().optimizedPlan().toString()
     assert "from_json(StructField(type" not in plan
+
+
+def test_causal_rounds_send_no_table_through_the_driver(spark):
+    from usageloom.operators import attribution as AT
+
+    nodes = spark.createDataFrame([("agent", "a1", None, True, "p1", "p2", None)], "kind string, node string, on_agent string, has_request boolean, work string, call string, moved string")
+    notes = spark.createDataFrame([("p1", "t1", "a1", "p1")], "prompt_id string, tool_use_id string, agent_id string, at string")
+    for df in AT._round(nodes, notes):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan

@@ -55,8 +55,8 @@ def _links(agents: DataFrame, notes: DataFrame, tool_calls: DataFrame, req: Data
         "request_id", F.col("prompt_id").alias("seen_prompt"), F.col("agent_id").alias("on_agent"),
         F.lit(True).alias("has_request"),
     )
-    linked = wanted.join(calls, "tool_use_id")
-    return linked.join(requests, "request_id", "left").select(
+    linked = wanted.hint("merge").join(calls, "tool_use_id")
+    return linked.hint("merge").join(requests, "request_id", "left").select(
         "kind", "node", "on_agent", F.coalesce("has_request", F.lit(False)).alias("has_request"),
         F.col("seen_prompt").alias("work"), F.col("call_prompt").alias("call"),
         F.lit(None).cast("string").alias("moved"),
@@ -69,8 +69,8 @@ def _origins(notes: DataFrame, nodes: DataFrame) -> DataFrame:
     by_agent = nodes.where("kind = 'agent'").select(F.col("node").alias("agent_id"), F.col("call").alias("b"))
     found = (
         notes.select("prompt_id", "agent_id")
-        .join(by_call, "prompt_id", "left")
-        .join(by_agent, "agent_id", "left")
+        .join(by_call.hint("merge"), "prompt_id", "left")
+        .join(by_agent.hint("merge"), "agent_id", "left")
         .select(F.col("prompt_id").alias("_note"), F.coalesce("a", "b").alias("_origin"))
     )
     return found.where(F.col("_origin").isNotNull() & (F.col("_origin") != F.col("_note")))
@@ -79,7 +79,7 @@ def _origins(notes: DataFrame, nodes: DataFrame) -> DataFrame:
 def _fold(rows: DataFrame, column: str, origins: DataFrame) -> DataFrame:
     """Replace a notification's id in ``column`` by the prompt it came from, where that is known."""
     return (
-        rows.join(origins, F.col(column) == F.col("_note"), "left")
+        rows.join(origins.hint("merge"), F.col(column) == F.col("_note"), "left")
         .withColumn(column, F.coalesce("_origin", column))
         .drop("_note", "_origin")
     )
@@ -91,6 +91,7 @@ def _round(nodes: DataFrame, notes: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``work`` is the prompt of the request a node hangs on, ``call`` that of the
     tool call, and ``moved`` the prompt an agent's own requests were given.
     Work folds first and then follows its spawning call; calls follow their request.
+    The joins merge, as a broadcast would send its table through the driver once a round.
     """
     origins = _origins(notes, nodes)
     parents = nodes.where("kind = 'agent'").select(
@@ -99,7 +100,7 @@ def _round(nodes: DataFrame, notes: DataFrame) -> tuple[DataFrame, DataFrame]:
     before = nodes.select("*", F.struct("work", "call", "moved").alias("_old"))
     folded = _fold(_fold(before, "work", origins), "moved", origins)
     stepped = (
-        folded.join(parents, F.col("on_agent") == F.col("_agent"), "left")
+        folded.join(parents.hint("merge"), F.col("on_agent") == F.col("_agent"), "left")
         .withColumn("work", F.coalesce("_parent_call", "work"))
         .withColumn("moved", F.when(F.col("kind") == "agent", F.coalesce("call", "moved")))
         .withColumn("call", F.when(F.col("has_request"), F.col("work")).otherwise(F.col("call")))
@@ -150,9 +151,9 @@ def causal_attribution(
     )
     moved = (
         req.withColumn("_key", salted_null_key("agent_id", "request_id"))
-        .join(spawned, F.col("_key") == F.col("_agent"), "left")
+        .join(spawned.hint("merge"), F.col("_key") == F.col("_agent"), "left")
         .withColumn("_seen", salted_null_key("prompt_id", "request_id"))
-        .join(folded, F.col("_seen") == F.col("_note"), "left")
+        .join(folded.hint("merge"), F.col("_seen") == F.col("_note"), "left")
         .withColumn("prompt_id", F.coalesce("_cause", "_at", "prompt_id"))
         .drop("_key", "_agent", "_cause", "_seen", "_note", "_at")
     )
@@ -161,7 +162,7 @@ def causal_attribution(
     )
     calls = (
         tool_calls.withColumn("_key", salted_null_key("request_id", "tool_use_id"))
-        .join(owners, F.col("_key") == F.col("_rid"), "left")
+        .join(owners.hint("merge"), F.col("_key") == F.col("_rid"), "left")
         .withColumn("prompt_id", F.when(F.col("_has"), F.col("_owner")).otherwise(F.col("prompt_id")))
         .drop("_key", "_rid", "_owner", "_has")
     )
