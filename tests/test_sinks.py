@@ -83,3 +83,10 @@ def test_a_stored_batch_is_not_stored_again(spark, tmp_path, monkeypatch):
         sinks.write_ledger({"request": rows(spark, ("r1", day, n))}, str(tmp_path), stored=True)
         assert state(spark, tmp_path) == [("r1", day, n)]
     assert not [c for c in stores if "output_tok" in c]
+
+
+def test_a_table_without_key_is_written_without_being_stored_before(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "cut_lineage", None)
+    sinks.write_ledger({"request": rows(spark, ("r1", 0, 1), ("r1", 0, 1), ("r2", 3, 2))}, str(tmp_path), {})
+    sinks.write_ledger({"request": rows(spark, ("r3", 0, 3))}, str(tmp_path), {})
+    assert state(spark, tmp_path) == [("r2", 3, 2), ("r3", 0, 3)]

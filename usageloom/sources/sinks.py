@@ -69,7 +69,8 @@ def _write(df: DataFrame, target: str, key: list[str] | None, stored: bool) -> N
     spark, data = df.sparkSession, f"{target}/rows"
     dated = utc_day("ts") if "ts" in df.columns else F.lit(None).cast("date")
     given = df.drop(DAY).withColumn(DAY, dated)
-    batch = given if stored else cut_lineage(latest_of_key(given, key) if key else given)
+    # Without a key the batch is read only once, by the write itself.
+    batch = given if stored or not key else cut_lineage(latest_of_key(given, key))
     old = stored_table(spark, data)
     if key:
         pairs = batch.select(F.pmod(F.xxhash64(*key), F.lit(_SLOTS)).cast("int").alias("slot"), *key, DAY)
