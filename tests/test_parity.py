@@ -49,3 +49,12 @@ def test_cache_state_of_requests_at_one_instant_equals_sql(spark, tmp_path):
     name = "r04_cache_state_stream"
     ok, message = parity.compare(spark, name, REGISTRY.QUERIES[name], REGISTRY.SQL[name], str(tmp_path), parity.connect(str(tmp_path)))
     assert ok, message
+
+
+def test_cache_state_of_requests_that_touch_no_cache_equals_sql(spark, tmp_path):
+    """A session whose cache expired before its last request, which neither read nor wrote, has expired."""
+    rows = duckdb.sql(f"SELECT e.* REPLACE (CASE WHEN event_id % 4 = 0 THEN 0 ELSE value END AS value) FROM '{FOLDER}/events.parquet' e")
+    rows.write_parquet(str(tmp_path / "events.parquet"))
+    name = "r04_cache_state_stream"
+    ok, message = parity.compare(spark, name, REGISTRY.QUERIES[name], REGISTRY.SQL[name], str(tmp_path), parity.connect(str(tmp_path)))
+    assert ok, message

@@ -30,14 +30,15 @@ def _(L):
 def dealt_files(df, name, slot, files):
     """The rows of ``df`` dealt into ``files`` folders by ``slot``; returns ``stream(n)`` over the first ``n`` of them.
 
-    A stream restarted with one folder more takes it as one batch; its files follow the size of the folder.
+    A stream restarted with one folder more takes it as one batch, of however many files it is; else the
+    watermark could pass rows of a folder before they are read.
     """
     root = f"{shared_dir(df.sparkSession)}/usageloom/files-{name}-{uuid.uuid4().hex}"
     df.withColumn("_file", slot.cast("int")).hint("rebalance", "_file").write.partitionBy("_file").parquet(root)
 
     def stream(n):
         shown = "{" + ",".join(map(str, range(n))) + "}"
-        return SW.stream_parquet(df.sparkSession, f"{root}/_file={shown}/*.parquet", df.schema)
+        return SW.stream_parquet(df.sparkSession, f"{root}/_file={shown}/*.parquet", df.schema, max_files=2**31 - 1)
 
     return stream
 

@@ -267,7 +267,8 @@ class _CacheState(_Kept):
         due = self.due(state, expiredTimerInfo)
         if "expire" in due:
             row = self._row(key, "expired", state, state["latest"][0])
-            row["as_of_us"] = row["expires_us"].astype("int64")
+            # A latest request that touched no cache may be younger than the expiry.
+            row["as_of_us"] = row["expires_us"].astype("int64").clip(lower=state["latest"][0])
             yield row
         if "forget" in due:
             self.stored.clear()
