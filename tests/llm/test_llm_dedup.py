@@ -16,7 +16,8 @@ from helpers import awkward, clashing, empty  # noqa: E402
 
 from usageloom.llm.components import connected_components  # noqa: E402
 from usageloom.llm.exactdedup import directory, exact_groups  # noqa: E402
-from usageloom.llm.jaccard import jaccard_groups, search_block  # noqa: E402
+from usageloom.llm import jaccard  # noqa: E402
+from usageloom.llm.jaccard import jaccard_groups, search_block, verified_links  # noqa: E402
 from usageloom.llm.linededup import dedup_lines  # noqa: E402
 
 
@@ -153,3 +154,17 @@ def test_jaccard_groups_of_awkward_rows(spark):
     n = len(helpers.shingles(awkward(spark).where("doc_id = 2").first()["text"]))
     assert by[2, n] == 1 and by[11, 1] == 10 and by[10, 1] == 10 and by[3, 0] == 3 and by[4, 0] == 4 and by[None, 0] is None
     assert jaccard_groups(empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize("copies", [1, 6])
+def test_jaccard_candidates_do_not_hang_together_by_chance(spark, monkeypatch, copies):
+    """Every phrase stands in several documents and more of them than the exact table holds, but no two documents are alike."""
+    rnd = random.Random(5)
+    phrases = [" ".join(f"p{k}w{j}" for j in range(5)) for k in range(600)]
+    texts = [" ".join(rnd.sample(phrases, 12)) for _ in range(400)]
+    rows = [(400 * c + k, text) for c in range(copies) for k, text in enumerate(texts)]
+    seen = []
+    monkeypatch.setattr(jaccard, "verified_links", lambda members, *rest: seen.append(members.count()) or verified_links(members, *rest))
+    out = jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), most=3).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in out} == {(k, k % 400) for k, _ in rows}
+    assert seen[0] < 20

@@ -7,7 +7,8 @@ again; this is what keeps big groups of near copies from growing as their square
 1. Documents with equal sets form a class; its smallest id stands for it.
 2. How many documents have each shingle is counted over all of them.  The most
    frequent ones (a bounded number, broadcast) come last in the order of
-   shingles; the order only decides how much work there is, never the result.
+   shingles, before them others that are not rare (an array of bits); the order
+   only decides how much work there is, never the result.
 3. Linked sets have several shingles in common among the first ones in that
    order, a prefix of about a third.  Documents that do, and are not too
    different in size, belong to one cluster (not yet verified).
@@ -42,6 +43,12 @@ PROBE = 0.5
 WINDOW = 1 << 14
 #: Bytes of text that a task hashes at a time.
 SLICE = 4 << 20
+#: Longest list of documents whose pairs are formed and counted; beyond, a list is chained.
+PAIRED = 32
+#: Pairs that a task holds before it counts them.
+HELD = 1 << 21
+#: Most bits of an array of hashed keys, and those that a task puts together at a time.
+BITS, CHUNK = 1 << 29, 1 << 20
 
 
 def required(n, percent: int):
@@ -100,6 +107,59 @@ def _runs(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(change)
 
 
+class HashedKeys:
+    """A set of 64-bit keys as an array of bits: holds every key put in, and by chance some others."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits  # 8 to a byte, a power of two of them
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        at = self.place(keys, len(self.bits) * 8)
+        return (self.bits[at >> 3] >> (at & 7).astype(np.uint8) & np.uint8(1)).astype(bool)
+
+    @staticmethod
+    def place(keys: np.ndarray, size: int) -> np.ndarray:
+        return (mix64(keys.astype(np.uint64)) & np.uint64(size - 1)).astype(np.int64)
+
+    @staticmethod
+    def size_for(n: int) -> int:
+        return min(BITS, max(CHUNK, 1 << (8 * n).bit_length()))
+
+    @classmethod
+    def of(cls, keys: DataFrame, size: int) -> HashedKeys:
+        """The one column of ``keys``; each chunk of bits is put together by a task, so the driver gets ``size`` bits however many keys there are."""
+        def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = np.unique(cls.place(batch.column(0).to_numpy(zero_copy_only=False), size))
+                yield pa.RecordBatch.from_arrays([pa.array(at // CHUNK), pa.array((at % CHUNK).astype(np.int32))], ["chunk", "at"])
+
+        def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            chunks: dict[int, np.ndarray] = {}
+            for batch in batches:
+                chunk, at = (c.to_numpy() for c in batch.columns)
+                for k in np.unique(chunk).tolist():
+                    chunks.setdefault(k, np.zeros(CHUNK, bool))[at[chunk == k]] = True
+            for k, bits in chunks.items():
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([np.packbits(bits, bitorder="little").tobytes()])], ["chunk", "bits"])
+
+        bits = np.zeros(size // 8, np.uint8)
+        rows = keys.mapInArrow(placed, "chunk long, at int").repartition("chunk").mapInArrow(put, "chunk long, bits binary")
+        for k, part in zip(*(c.to_pylist() for c in rows.toArrow().columns)):
+            bits[k * (CHUNK // 8):][:CHUNK // 8] = np.frombuffer(part, np.uint8)
+        return cls(bits)
+
+
+def held_by(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is one of the column ``ids``, and by chance some others: what a join would drop need not be shuffled for it."""
+    known = docs.sparkSession.sparkContext.broadcast(HashedKeys.of(ids, HashedKeys.size_for(2 * ids.count())))
+
+    @F.pandas_udf("boolean")
+    def held(doc_id: pd.Series) -> pd.Series:
+        return pd.Series(known.value(doc_id.to_numpy()))
+
+    return docs.where(held("doc_id"))
+
+
 def describe(docs: DataFrame, width: int) -> DataFrame:
     """``doc_id, n_shingles`` and a 128-bit digest of each document's set."""
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,9 +174,11 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(digest, "doc_id long, n_shingles long, set_a long, set_b long")
 
 
-def frequent_shingles(docs: DataFrame, width: int, buckets: int, more_than: int, most: int) -> np.ndarray:
+def frequent_shingles(docs: DataFrame, width: int, buckets: int, more_than: int, most: int) -> tuple[np.ndarray, HashedKeys | None]:
     """Keys of the most frequent shingles (at most ``most``) of more than ``more_than`` documents, rarest first.
 
+    If there are more of them than ``most``, also those below as hashed keys: as many of
+    the most frequent ones as leave their array of ``BITS`` sparse.
     Tasks send each bucket's distinct values as packed arrays, so a shingle
     arrives at its owner once per batch however frequent it is.
     """
@@ -154,24 +216,29 @@ def frequent_shingles(docs: DataFrame, width: int, buckets: int, more_than: int,
     counted = cut_lineage(packed.repartition(buckets, "bucket").mapInArrow(own, "key long, documents long"))
     # The least frequency at which no more than ``most`` are left, from how many shingles have each power of 1.1.
     step = F.floor(F.log(1.1, "documents"))
-    kept, least = 0, None
+    kept, least, hashed, hashed_least = 0, None, 0, None
     steps = counted.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()
     for r in sorted(steps, key=lambda r: -r["step"]):
-        kept += r["n"]
-        if kept > most:
+        if hashed_least is None and kept + r["n"] <= most:
+            kept, least = kept + r["n"], r["step"]
+        elif hashed + r["n"] <= BITS // 8 or hashed_least is None:
+            hashed, hashed_least = hashed + r["n"], r["step"]
+        else:
             break
-        least = r["step"]
+    exact = F.lit(False) if least is None else step >= least
+    rest = None if hashed_least is None else HashedKeys.of(counted.where((step >= hashed_least) & ~exact).select("key"), HashedKeys.size_for(hashed))
     if least is None:
-        return np.empty(0, np.uint64)
-    top = counted.where(step >= least).toArrow()
+        return np.empty(0, np.uint64), rest
+    top = counted.where(exact).toArrow()
     keys, documents = (top.column(c).to_numpy() for c in ("key", "documents"))
-    return keys[np.lexsort((keys, documents))].astype(np.uint64)
+    return keys[np.lexsort((keys, documents))].astype(np.uint64), rest
 
 
 class ShingleOrder:
-    """Place of a shingle in the common order: by hash, then the frequent ones, rarest first (those of one key by hash)."""
+    """Place of a shingle in the common order: by hash, then hashed ones by hash, then the frequent ones, rarest first (those of one key by hash)."""
 
-    def __init__(self, frequent: np.ndarray):
+    def __init__(self, frequent: np.ndarray, hashed: HashedKeys | None):
+        self.hashed = hashed
         by_key = np.argsort(frequent)
         self.keys, self.places = frequent[by_key], by_key.astype(np.uint64)
         self.maybe = np.zeros(1 << 22, bool)
@@ -182,7 +249,9 @@ class ShingleOrder:
         return (keys & np.uint64((1 << 22) - 1)).astype(np.int64)
 
     def __call__(self, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
-        out = mix64(values) >> np.uint64(1)
+        out = mix64(values) >> np.uint64(2)
+        if self.hashed is not None:
+            out += self.hashed(keys).astype(np.uint64) << np.uint64(62)
         some = np.flatnonzero(self.maybe[self._slot(keys)])
         if len(some):
             at = np.minimum(np.searchsorted(self.keys, keys[some]), len(self.keys) - 1)
@@ -206,18 +275,20 @@ def _leading(n, percent: int):
     return np.where(n > 0, np.minimum(n, n - required(n, percent) + _in_common(n, percent)), 0)
 
 
-def candidate_edges(docs: DataFrame, frequent: np.ndarray, width: int, percent: int, buckets: int, short: int) -> DataFrame:
+def candidate_edges(docs: DataFrame, frequent: np.ndarray, hashed: HashedKeys | None, width: int, percent: int, buckets: int, short: int) -> DataFrame:
     """Edges (a, b) whose components hold every pair of documents that link.
 
     Linked sets have ``_in_common`` leading shingles in common.  The owner of a
     shingle forms the pairs of a list of at most ``short`` documents and counts
     them; longer lists are chained by size instead, without pairs.  So a linked
     pair either meets in a long list, or its pairs add up to the number needed.
+    Chance puts unlike documents on a list, so chains of lists that are not long
+    would hang most of a large corpus together.
     Before, tasks join those of their own batch that share a frequent shingle
     and a size class: one member goes on for them, with the smallest and the
     largest size.  Chains have ``common`` null.
     """
-    known = docs.sparkSession.sparkContext.broadcast(ShingleOrder(frequent))
+    known = docs.sparkSession.sparkContext.broadcast(ShingleOrder(frequent, hashed))
     entry = "bucket int, low binary, ids binary, sizes binary, long binary, a long, b long"
 
     def leading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,6 +330,18 @@ def candidate_edges(docs: DataFrame, frequent: np.ndarray, width: int, percent:
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, chained, met = defaultdict(list), [], []
+        names = ["a", "b", "smaller", "common"]
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            a, b, smaller = np.concatenate(met, axis=1)
+            met.clear()
+            sort = np.lexsort((b, a))
+            a, b, smaller = a[sort], b[sort], smaller[sort]
+            first = _runs(a, b)
+            columns = a[first], b[first], np.minimum.reduceat(smaller, first), np.diff(np.append(first, len(a)))
+            for x in range(0, len(first), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(c[x:x + (1 << 16)]) for c in columns], names)
+
         for batch in batches:
             direct = batch.filter(batch.column("a").is_valid())
             if direct.num_rows:
@@ -275,30 +358,27 @@ def candidate_edges(docs: DataFrame, frequent: np.ndarray, width: int, percent:
             length = np.diff(np.append(first, len(low)))
             # A member that stands for others makes its list a long one.
             chain = (length > short) | np.logical_or.reduceat(merged, first) if len(first) else np.empty(0, bool)
-            for n in range(2, short + 1):
-                own = first[(length == n) & ~chain][:, None] + np.arange(n)
-                for i in range(n):
-                    for j in range(i + 1, n):
-                        near = (100 * sizes[own[:, i]] >= percent * sizes[own[:, j]]) & (ids[own[:, i]] != ids[own[:, j]])
-                        x, y = ids[own[near, i]], ids[own[near, j]]
-                        met.append(np.stack([np.minimum(x, y), np.maximum(x, y), sizes[own[near, i]]]))
+            for n in np.unique(length[~chain & (length > 1)]).tolist():
+                own = first[(length == n) & ~chain]
+                i, j = np.triu_indices(n, 1)
+                some = max(1, HELD // len(i))
+                for x in range(0, len(own), some):
+                    left, right = ((own[x:x + some, None] + k).ravel() for k in (i, j))
+                    near = (100 * sizes[left] >= percent * sizes[right]) & (ids[left] != ids[right])
+                    left, right = left[near], right[near]
+                    if len(left):
+                        met.append(np.stack([np.minimum(ids[left], ids[right]), np.maximum(ids[left], ids[right]), sizes[left]]))
+                    if sum(m.shape[1] for m in met) > HELD:
+                        yield from counted()
             inside = np.repeat(chain, length)
             low, ids, sizes = low[inside], ids[inside], sizes[inside]
             if len(low):
                 starts = np.flatnonzero(np.r_[True, (low[1:] != low[:-1]) | (100 * sizes[:-1] < percent * sizes[1:])])
                 chained.append(_forest(ids, np.repeat(np.minimum.reduceat(ids, starts), np.diff(np.append(starts, len(ids))))))
         pairs = _forest(*np.concatenate(chained).T) if chained else np.empty((0, 2), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), pa.int64()), pa.nulls(len(pairs), pa.int64())], ["a", "b", "smaller", "common"])
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), pa.int64()), pa.nulls(len(pairs), pa.int64())], names)
         if met:
-            a, b, smaller = np.concatenate(met, axis=1)
-            sort = np.lexsort((b, a))
-            a, b, smaller = a[sort], b[sort], smaller[sort]
-            first = _runs(a, b)
-            count = np.diff(np.append(first, len(a)))
-            for x in range(0, len(first), 1 << 16):
-                own = slice(x, x + (1 << 16))
-                some = first[own]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (a[some], b[some], np.minimum.reduceat(smaller, first)[own], count[own])], ["a", "b", "smaller", "common"])
+            yield from counted()
 
     packed = docs.select("doc_id", "text").mapInArrow(leading, entry)
     met = packed.repartition(buckets, "bucket").mapInArrow(meet, "a long, b long, smaller long, common long")
@@ -444,8 +524,8 @@ def verified_links(members: DataFrame, texts: DataFrame, width: int, percent: in
     only the others meet all blocks: ``others x all`` comparisons of blocks.
     """
     sizes = cut_lineage(members.groupBy("cluster").agg(F.sum("n_shingles").alias("total"), F.min(F.struct(F.xxhash64("doc_id"), "doc_id"))["doc_id"].alias("pivot")))
-    # Members have no bound, so texts meet them in a merge join at every size.
-    placed = cut_lineage(texts.join(members.join(sizes, "cluster").hint("merge"), "doc_id"))
+    # Members have no bound, so texts meet them in a merge join at every size; texts of others are not shuffled for it.
+    placed = cut_lineage(held_by(texts, members.select("doc_id")).join(members.join(sizes, "cluster").hint("merge"), "doc_id"))
     small = placed.where(F.col("total") <= block).select("cluster", "doc_id", "text", F.lit(0).alias("task"), F.lit(False).alias("hangs"))
     output = "a long, b long"
     links = small.groupBy("cluster", "task").applyInArrow(_search_group(width, percent), output)
@@ -500,8 +580,10 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 75, more_than
     classes = cut_lineage(described.where("n_shingles > 0").groupBy(*identity).agg(F.min("doc_id").alias("stands"), F.count("*").alias("copies")))
     named = docs.where(F.col("doc_id").isNotNull())
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    frequent = frequent_shingles(named, width, buckets, more_than, most)
-    near = candidate_edges(named, frequent, width, percent, buckets, more_than)
+    # A copy shares every list with the one that stands for it.
+    standing_for = held_by(named, classes.where(F.col("stands").isNotNull()).select("stands"))
+    frequent, hashed = frequent_shingles(standing_for, width, buckets, more_than, most)
+    near = candidate_edges(standing_for, frequent, hashed, width, percent, buckets, max(more_than, PAIRED))
     found = cut_lineage(described.join(classes, identity, "left").drop("set_a", "set_b"))
     copies = found.where("copies > 1 AND doc_id != stands").select(F.col("doc_id").alias("a"), F.col("stands").alias("b"))
     clusters = cut_lineage(connected_components(near.union(copies)))
