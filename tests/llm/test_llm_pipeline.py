@@ -112,3 +112,21 @@ def test_every_operator_is_registered():
 
     names = list(entry.queries())
     assert "pipeline" in names and all(any(k.startswith(f"op{n}_") for k in names) for n in range(1, 11))
+
+
+def test_unlike_documents_do_not_meet_in_the_stage_of_near_copies(spark, monkeypatch):
+    """Phrases stand in many documents; a table of 3 keys stands for one that a large corpus outgrows."""
+    import random
+
+    from usageloom.llm import jaccard
+
+    rnd = random.Random(5)
+    phrases = [" ".join(f"p{k}w{j}" for j in range(5)) for k in range(600)]
+    rows = [(k, " ".join(rnd.sample(phrases, 12)), "en", "s", 1) for k in range(400)]
+    seen, verified = [], jaccard.verified_links
+    monkeypatch.setattr(jaccard, "verified_links", lambda members, *rest: seen.append(members.count()) or verified(members, *rest))
+    monkeypatch.setattr(corpus_pipeline, "jaccard_groups", lambda docs: jaccard.jaccard_groups(docs, most=3))
+    docs = spark.createDataFrame([*rows, rows[7]], helpers.DOCS).repartition(4)
+    out = dict(corpus_pipeline.STAGES)["ngram_jaccard"](spark, docs, SF)
+    assert sorted(r["doc_id"] for r in out.collect()) == list(range(400))
+    assert seen[0] < 20

@@ -149,15 +149,15 @@ class HashedKeys:
         return cls(bits)
 
 
-def held_by(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is one of the column ``ids``, and by chance some others: what a join would drop need not be shuffled for it."""
-    known = docs.sparkSession.sparkContext.broadcast(HashedKeys.of(ids, HashedKeys.size_for(2 * ids.count())))
+def held_by(ids: DataFrame, column: str):
+    """A function that says of a column of ids whether it is one of ``column`` (or, by chance, another): what a join would drop need not be shuffled for it."""
+    known = ids.sparkSession.sparkContext.broadcast(HashedKeys.of(ids.select(column), HashedKeys.size_for(2 * ids.count())))
 
     @F.pandas_udf("boolean")
-    def held(doc_id: pd.Series) -> pd.Series:
-        return pd.Series(known.value(doc_id.to_numpy()))
+    def held(values: pd.Series) -> pd.Series:
+        return pd.Series(known.value(values.to_numpy()))
 
-    return docs.where(held("doc_id"))
+    return held
 
 
 def describe(docs: DataFrame, width: int) -> DataFrame:
@@ -525,7 +525,7 @@ def verified_links(members: DataFrame, texts: DataFrame, width: int, percent: in
     """
     sizes = cut_lineage(members.groupBy("cluster").agg(F.sum("n_shingles").alias("total"), F.min(F.struct(F.xxhash64("doc_id"), "doc_id"))["doc_id"].alias("pivot")))
     # Members have no bound, so texts meet them in a merge join at every size; texts of others are not shuffled for it.
-    placed = cut_lineage(held_by(texts, members.select("doc_id")).join(members.join(sizes, "cluster").hint("merge"), "doc_id"))
+    placed = cut_lineage(texts.where(held_by(members, "doc_id")("doc_id")).join(members.join(sizes, "cluster").hint("merge"), "doc_id"))
     small = placed.where(F.col("total") <= block).select("cluster", "doc_id", "text", F.lit(0).alias("task"), F.lit(False).alias("hangs"))
     output = "a long, b long"
     links = small.groupBy("cluster", "task").applyInArrow(_search_group(width, percent), output)
@@ -581,7 +581,7 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 75, more_than
     named = docs.where(F.col("doc_id").isNotNull())
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # A copy shares every list with the one that stands for it.
-    standing_for = held_by(named, classes.where(F.col("stands").isNotNull()).select("stands"))
+    standing_for = named.where(held_by(classes.where(F.col("stands").isNotNull()), "stands")("doc_id"))
     frequent, hashed = frequent_shingles(standing_for, width, buckets, more_than, most)
     near = candidate_edges(standing_for, frequent, hashed, width, percent, buckets, max(more_than, PAIRED))
     found = cut_lineage(described.join(classes, identity, "left").drop("set_a", "set_b"))
