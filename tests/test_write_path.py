@@ -52,3 +52,20 @@ def test_causal_rounds_send_no_table_through_the_driver(spark):
     for df in AT._round(nodes, notes):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("name", ["s10_write_ledger"])
+def test_requests_of_the_ledger_are_stored_once_and_without_contents(spark, monkeypatch, name):
+    """Batches of merged requests go into the ledger as they are, and no step before them stores texts of records."""
+    import parity
+
+    from usageloom.sources import ingest, sinks
+
+    registry = load()
+    kept = {"sinks": [], "ingest": []}
+    for module, stored in ((sinks, kept["sinks"]), (ingest, kept["ingest"])):
+        monkeypatch.setattr(module, "cut_lineage", lambda df, stored=stored: stored.append(df.schema.simpleString()) or session.cut_lineage(df))
+    ok, message = parity.compare(spark, name, QUERIES[name], registry.SQL[name], FOLDER, parity.connect(FOLDER))
+    assert ok, message
+    assert not any("output_tok" in schema for schema in kept["sinks"])
+    assert kept["ingest"] and not any("content:" in schema or "toolUseResult" in schema for schema in kept["ingest"])

@@ -360,14 +360,19 @@ def _(L):
 
 # ---- whole path, sinks, manifest ----
 
+def stored_requests(L):
+    """One row per request, in files."""
+    return cut_lineage(I.merged_requests(I.parse(RL.transcript_lines(L), store=True, contents=False)))
+
+
 @query("s10_write_ledger", with_tables("base", extra=EVP + (("u", USAGE), ("mg", MERGED))) + """SELECT count(*) AS n, CAST(sum(output_tok) AS BIGINT) AS output_tok, CAST(sum(is_interrupted)
 AS BIGINT) AS interrupted FROM mg""")
 def _(L):
     """Written twice to the shared folder and read back: the second write changes nothing."""
     target = f"{shared_dir(L.spark)}/usageloom/s10-{uuid.uuid4().hex}"
-    requests = cut_lineage(I.merged_requests(stored(L)))
+    requests = stored_requests(L)
     for _ in range(2):
-        sinks.write_ledger({"request": requests}, target)
+        sinks.write_ledger({"request": requests}, target, stored=True)
     back = sinks.read_ledger(L.spark, target, "request")
     return back.agg(F.count(F.lit(1)).alias("n"), F.sum("output_tok").alias("output_tok"), F.sum("is_interrupted").cast("bigint").alias("interrupted"))
 

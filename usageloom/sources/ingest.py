@@ -30,13 +30,16 @@ class Parsed:
         return M.carried_usage(self.good)
 
 
-def parse(raw: DataFrame, patterns=SECRET_PATTERNS, store: bool = False) -> Parsed:
+def parse(raw: DataFrame, patterns=SECRET_PATTERNS, store: bool = False, contents: bool = True) -> Parsed:
     """Parsed records and what is taken from them.
 
     With ``store`` each line is read and parsed once, into the shared folder, and
     the tables read only their columns of it; the text is kept where it is rejected.
+    Requests need no ``contents``: without them records have no texts, tools and results.
     """
     parsed = parse_records(raw)
+    if not contents:
+        parsed = parsed.withColumn("rec", F.col("rec").dropFields("message.content", "toolUseResult"))
     if store:
         parsed = cut_lineage(parsed.withColumn("value", F.when(F.col("reason").isNotNull(), F.col("value"))))
     good, bad = quarantine_split(parsed, patterns)
@@ -44,7 +47,8 @@ def parse(raw: DataFrame, patterns=SECRET_PATTERNS, store: bool = False) -> Pars
 
 
 def merged_requests(p: Parsed) -> DataFrame:
-    return M.mark_interrupted(M.merge_requests(p.usage), p.usage, p.good)
+    """Merged once, since marking looks at them twice; it needs no prompts, so these are not carried again for it."""
+    return M.mark_interrupted(cut_lineage(M.merge_requests(p.usage)), M.normalize_usage(p.good), p.good)
 
 
 def build_ledger(
