@@ -54,7 +54,7 @@ def test_causal_rounds_send_no_table_through_the_driver(spark):
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
-@pytest.mark.parametrize("name", ["s10_write_ledger"])
+@pytest.mark.parametrize("name", ["s10_write_ledger", "s10_incremental"])
 def test_requests_of_the_ledger_are_stored_once_and_without_contents(spark, monkeypatch, name):
     """Batches of merged requests go into the ledger as they are, and no step before them stores texts of records."""
     import parity

@@ -382,12 +382,12 @@ us, strftime(make_timestamp(us), '%Y-%m-%d') AS day FROM mg""")
 def _(L):
     """Three overlapping batches, in the first of which a quarter of the requests stand a day late; the end state is one full build."""
     target = f"{shared_dir(L.spark)}/usageloom/s10-{uuid.uuid4().hex}"
-    requests = cut_lineage(I.merged_requests(stored(L)))
+    requests = stored_requests(L)
     slot = F.pmod(F.xxhash64("request_id"), F.lit(4))
     late = F.when(slot == 0, F.col("ts") + F.expr("INTERVAL 1 DAY")).otherwise(F.col("ts"))
     for batch in (requests.where(slot <= 1).withColumn("ts", late).withColumn("output_tok", F.lit(None).cast("bigint")),
                   requests.where(slot <= 2), requests.where("pmod(xxhash64(request_id), 4) IN (0, 3)"), requests.where(slot == 3)):
-        sinks.write_ledger({"request": batch}, target)
+        sinks.write_ledger({"request": batch}, target, stored=True)
     back = sinks.read_ledger(L.spark, target, "request")
     return back.select("request_id", "output_tok", "is_interrupted", us("ts").alias("us"), F.col("utc_day").cast("string").alias("day"))
 
